@@ -37,15 +37,13 @@ def chunk_sizes(spec: Column, dim_size: Column) -> Column:
 
 
 def boundaries(sizes: Column) -> Column:
-    """Inner and final chunk ends of an explicit size list.
+    """Chunk ends of an explicit size list; lists have one entry per chunk of one dimension."""
+    start = F.array().cast("array<bigint>")
 
-    ``slice`` per element keeps it row-local; lists have one entry per chunk of one dimension.
-    """
-    zero = F.lit(0).cast("bigint")
-    return F.transform(
-        sizes,
-        lambda _, i: F.aggregate(F.slice(sizes, F.lit(1), i + F.lit(1)), zero, lambda a, b: a + b),
-    )
+    def add(ends: Column, size: Column) -> Column:
+        return F.array_append(ends, F.coalesce(F.try_element_at(ends, F.lit(-1)), F.lit(0).cast("bigint")) + size)
+
+    return F.aggregate(sizes, start, add)
 
 
 def lists_equal(sizes1: Column, sizes2: Column) -> Column:
@@ -71,7 +69,7 @@ def no_split(spec1: Column, spec2: Column) -> Column:
 def no_split_lists(sizes1: Column, sizes2: Column) -> Column:
     """List form: every end of a target chunk is an end of a source chunk, and the totals agree."""
     ends1, ends2 = boundaries(sizes1), boundaries(sizes2)
-    same_total = F.element_at(ends1, -1) == F.element_at(ends2, -1)
+    same_total = F.try_element_at(ends1, F.lit(-1)) == F.try_element_at(ends2, F.lit(-1))
     return same_total & (F.size(F.array_except(ends2, ends1)) == 0)
 
 

@@ -34,31 +34,41 @@ def _key(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(ANY))
 
 
-def _accepted(r: Column, domain: Column, rule: str) -> Column:
+def _mergeable_into(domain: Column, target: Column, lists: bool) -> Column:
+    """The chunk keys of ``domain`` that merge into ``target`` without a split."""
+    if lists:
+        return F.filter(domain, lambda v: ch.no_split_text(v, target))
+    number = target.cast("bigint")
+    return F.filter(domain, lambda v: ch.no_split(v.cast("bigint"), number))
+
+
+def _accepted(r: Column, domain: Column, rule: str, lists: bool) -> Column:
     """Keys of the version values that the request value accepts."""
     everything = F.array_append(domain, F.lit(ANY))
     if rule == SAME_IF_SET:
         return F.when(r.isNull(), everything).otherwise(F.array(_key(r)))
     if rule == SAME_OR_UNSET:
         return F.when(r.isNull(), everything).otherwise(F.array(_key(r), F.lit(ANY)))
-    return F.array_append(_mergeable_into(domain, r.cast("string")), F.lit(ANY))
-
-
-def _mergeable_into(domain: Column, target: Column) -> Column:
-    return F.filter(domain, lambda v: ch.no_split_text(v, target))
+    return F.array_append(_mergeable_into(domain, r, lists), F.lit(ANY))
 
 
 def _chunk_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c.startswith("chunk_")]
 
 
+def _has_lists(df: DataFrame, attr: str) -> bool:
+    """Chunk columns of type string may hold explicit lists; numeric ones use the plain arithmetic."""
+    return df.schema[attr].dataType.typeName() == "string"
+
+
 def match_versions(
     versions: DataFrame, requests: DataFrame, rules: Mapping[str, str], ignore_chunks_unless: str | None = None
 ) -> DataFrame:
     """Matching pairs of distinct combinations.
 
     Rows: the request combination as keys ``r_<attr>``, the version's as ``v_<attr>``, the number of versions that
-    have it and the least of their names. With ``ignore_chunks_unless`` chunk columns only count for that format.
+    have it, the one with the least name (``first``: name and attributes) and the values of each chunk column that
+    occur (``d_<attr>``). With ``ignore_chunks_unless`` chunk columns only count for that format.
     """
     attrs = list(rules)
 
@@ -69,15 +79,20 @@ def match_versions(
         return _key(F.col(a))
 
     sigs = versions.groupBy(*[version_key(a).alias(f"v_{a}") for a in attrs]).agg(
-        F.count("*").alias("versions"), F.min("name").alias("name")
+        F.count("*").alias("versions"), F.min(F.struct("name", *attrs)).alias("first")
     )
     wanted = requests.select(*attrs).distinct()
     # one row: the distinct values of each attribute
     domains = sigs.agg(*[F.array_remove(F.collect_set(f"v_{a}"), ANY).alias(f"d_{a}") for a in attrs])
-    grown = wanted.join(F.broadcast(domains))
-    out = grown.select(
+    out = wanted.join(F.broadcast(domains)).select(
         *[_key(F.col(a)).alias(f"r_{a}") for a in attrs],
-        *[_accepted(F.col(a), F.col(f"d_{a}"), rules[a]).alias(f"v_{a}") for a in attrs],
+        *[
+            _accepted(F.col(a), F.col(f"d_{a}"), rules[a], a.startswith("chunk_") and _has_lists(requests, a)).alias(
+                f"v_{a}"
+            )
+            for a in attrs
+        ],
+        *[f"d_{a}" for a in attrs if a.startswith("chunk_")],
     )
     for a in attrs:
         out = out.withColumn(f"v_{a}", F.explode(f"v_{a}"))
@@ -102,7 +117,7 @@ def count_matches(
     """Requests with the number of versions they accept and the least name among them."""
     pairs = match_versions(versions, requests, rules, ignore_chunks_unless)
     answers = pairs.groupBy(*[f"r_{a}" for a in rules]).agg(
-        F.sum("versions").cast("bigint").alias("matches"), F.min("name").alias("first_name")
+        F.sum("versions").cast("bigint").alias("matches"), F.min("first.name").alias("first_name")
     )
     out = per_request(requests, answers, list(rules))
     return out.withColumn("matches", F.coalesce("matches", F.lit(0).cast("bigint")))
@@ -136,33 +151,29 @@ def resolve_versions(versions: DataFrame, requests: DataFrame, source: Mapping[s
     version_keys = [f"v_{a}" for a in rules]
     if chunks:
         # each candidate names the candidates it beats: same attributes, finer chunks that merge into its own
-        zarr = pairs.filter(F.col("v_format") == "zarr").select(*request_keys, *version_keys)
-        domains = zarr.agg(*[F.array_remove(F.collect_set(f"v_{c}"), ANY).alias(f"d_{c}") for c in chunks])
-        beats = zarr.join(F.broadcast(domains))  # one row
+        beats = pairs.filter(F.col("v_format") == "zarr")
+        others = F.lit(False)
         for c in chunks:
             own = F.when(F.col(f"v_{c}") != ANY, F.col(f"v_{c}"))
-            keep = F.when(own.isNull(), F.array(F.lit(ANY))).otherwise(_mergeable_into(F.col(f"d_{c}"), own))
-            beats = beats.withColumn(f"b_{c}", F.explode(keep))
-        same = [F.col(f"b_{c}") == F.col(f"v_{c}") for c in chunks]
-        is_self = same[0]
-        for s in same[1:]:
-            is_self = is_self & s
-        beaten = beats.filter(~is_self).select(
+            finer = _mergeable_into(F.col(f"d_{c}"), own, _has_lists(requests, c))
+            beats = beats.withColumn(f"b_{c}", F.explode(F.when(own.isNull(), F.array(F.lit(ANY))).otherwise(finer)))
+            others = others | (F.col(f"b_{c}") != F.col(f"v_{c}"))
+        beaten = beats.filter(others).select(
             *request_keys,
             *[f"v_{a}" for a in ATTRIBUTES],
             *[F.col(f"b_{c}").alias(f"v_{c}") for c in chunks],
         )
-        pairs = pairs.join(beaten.distinct(), [*request_keys, *version_keys], "left_anti")
-    best = pairs.groupBy(*request_keys).agg(F.min("name").alias("name"))
+        pairs = pairs.join(beaten, [*request_keys, *version_keys], "left_anti")
+    best = pairs.groupBy(*request_keys).agg(F.min("first").alias("_best"))
     chosen = per_request(requests, best, list(rules))
-    stored = versions.select("name", *[F.col(a).alias(f"_s_{a}") for a in rules])
-    joined = chosen.join(stored, "name", "left")
     keep = [c for c in requests.columns if c not in rules]
-    found = F.col("name").isNotNull()
     filled = [
-        F.coalesce(F.col(a), F.when(found, F.col(f"_s_{a}")).otherwise(F.lit(source.get(a)))).alias(a) for a in rules
+        F.coalesce(
+            F.col(a), F.when(F.col("_best").isNotNull(), F.col(f"_best.{a}")).otherwise(F.lit(source.get(a)))
+        ).alias(a)
+        for a in rules
     ]
-    return joined.select(*keep, F.coalesce("name", F.lit("source")).alias("name"), *filled)
+    return chosen.select(*keep, F.coalesce("_best.name", F.lit("source")).alias("name"), *filled)
 
 
 def incomplete_versions(versions: DataFrame, required: Sequence[str]) -> DataFrame:
@@ -260,11 +271,13 @@ class FieldStore:
         return f"name string, format string, dim_order string, coords boolean, {chunk}"
 
     def _frame(self, v: Version) -> DataFrame:
-        return self.spark.createDataFrame([{"name": v.name, **self._row(v)}], self._schema())
+        row = {"name": v.name, **self._row(v)}
+        types = {"coords": "boolean"}
+        return self.spark.range(1).select(*[F.lit(x).cast(types.get(k, "string")).alias(k) for k, x in row.items()])
 
     def _stored(self) -> DataFrame:
         if not self._exists():
-            return self.spark.createDataFrame([], self._schema())
+            return self._frame(self.source_version).filter(F.lit(False))
         return self.spark.read.schema(self._schema()).parquet(f"{self.path}/catalogue")
 
     def _exists(self) -> bool:

@@ -384,7 +384,7 @@ def impose_version(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def add_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Store two versions of the derived grid, ask for a third and read it from the closest stored one."""
-    source_version = catalog.Version("grib", "zyx", {"x": -1, "y": -1, "z": 1}, "source", True)
+    source_version = catalog.Version("grib", "zyx", {"x": -1, "y": -1, "z": -1}, "source", True)
     cells = fx.grid_cells(spark, sf_dir).select("x", "y", "z", "t")
     store = catalog.FieldStore(spark, "grid", lambda _: cells, source_version)
     store.add_version(catalog.Version("zarr", "xyz", {"x": 10}, "by-ten", False))
