@@ -35,15 +35,19 @@ def reduce_iterations(
     return rows.groupBy(*config).agg(*[REDUCTIONS[reduction](F.col(p)).alias(p) for p in parts])
 
 
-def config_grid(spark: SparkSession, **values: Any) -> DataFrame:
-    """Every combination of the given value lists; a scalar is a list of one."""
-    lists = {k: v if isinstance(v, list) else [v] for k, v in values.items()}
-    df = spark.range(1).select()
-    for name, vals in lists.items():
-        df = df.select("*", F.explode(F.array(*[F.lit(v) for v in vals])).alias(name))
+def add_options(df: DataFrame, **values: Any) -> DataFrame:
+    """Each row with every combination of the given value lists; a scalar is a list of one."""
+    for name, given in values.items():
+        options = given if isinstance(given, list) else [given]
+        df = df.select("*", F.explode(F.array(*[F.lit(v) for v in options])).alias(name))
     return df
 
 
+def config_grid(spark: SparkSession, **values: Any) -> DataFrame:
+    """Every combination of the given value lists."""
+    return add_options(spark.range(1).select(), **values)
+
+
 def label_grid(df: DataFrame, dims: Sequence[str]) -> DataFrame:
     """Every combination of the labels that occur per dimension.
 

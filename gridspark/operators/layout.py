@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from gridspark.functions import chunks as ch
 
 
+NUMBERS_PER_BLOCK = 1 << 16
+
+
 def with_chunks(cells: DataFrame, chunks: Mapping[str, int | list[int]]) -> DataFrame:
     """Add ``chunk_<dim>`` for each specified dimension; a narrow projection."""
     return cells.withColumns({f"chunk_{d}": ch.chunk_of(F.col(d), spec) for d, spec in chunks.items()})
@@ -27,12 +30,22 @@ def rechunk(cells: DataFrame, chunks: Mapping[str, int | list[int]], current: Ma
 
 
 def explode_chunks(layouts: DataFrame, keys: Sequence[str], spec: Column, dim_size: Column) -> DataFrame:
-    """One row per chunk of each layout: number, start and size."""
+    """One row per chunk of each layout: number, start and size.
+
+    Numbers are expanded in blocks, so a dimension with very many chunks never becomes one long array.
+    """
+    zero, block = F.lit(0).cast("bigint"), F.lit(NUMBERS_PER_BLOCK).cast("bigint")
     step = F.when(spec == -1, dim_size).otherwise(spec).cast("bigint")
-    numbers = F.sequence(F.lit(0).cast("bigint"), ch.chunk_count(spec, dim_size) - 1)
-    rows = layouts.filter(spec.isNotNull()).select(
-        *keys, step.alias("_step"), dim_size.cast("bigint").alias("_size"), F.explode(numbers).alias("chunk_idx")
+    last = ch.chunk_count(spec, dim_size) - 1
+    blocks = layouts.filter(spec.isNotNull()).select(
+        *keys,
+        step.alias("_step"),
+        dim_size.cast("bigint").alias("_size"),
+        last.alias("_last"),
+        F.explode(F.sequence(zero, last, block)).alias("_from"),
     )
+    numbers = F.sequence(F.col("_from"), F.least(F.col("_from") + block - 1, F.col("_last")))
+    rows = blocks.select(*keys, "_step", "_size", F.explode(numbers).alias("chunk_idx"))
     start = F.col("chunk_idx") * F.col("_step")
     return rows.select(
         *keys, "chunk_idx", start.alias("start"), F.least(F.col("_step"), F.col("_size") - start).alias("size")

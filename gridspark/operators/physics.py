@@ -65,14 +65,14 @@ def thetav_arrow(cells: DataFrame, dims: Sequence[str], name: str = "thetav") ->
 
 def level_count(cells: DataFrame, keys: Sequence[str], name: str = "levels") -> DataFrame:
     """Number of levels from ``z`` to the last one."""
-    counted = with_group_stats(cells.select(*keys, "z"), keys, "z", _n=F.count("*"))
+    counted = with_group_stats(cells.select(*keys, "z"), keys, "z", {"_n": F.count("*")})
     return counted.select(*keys, "z", (F.col("_n") - F.col("z")).cast("bigint").alias(name))
 
 
 def last_level_anomaly(cells: DataFrame, variable: Column, keys: Sequence[str], name: str = "anomaly") -> DataFrame:
     """Difference from the value at the last level of the column."""
     values = cells.select(*keys, "z", variable.alias("_v"))
-    joined = with_group_stats(values, keys, "z", _last=F.max_by("_v", "z"))
+    joined = with_group_stats(values, keys, "z", {"_last": F.max_by("_v", "z")})
     return joined.select(*keys, "z", (F.col("_v") - F.col("_last")).alias(name))
 
 
@@ -130,14 +130,26 @@ def vertical_cumsum_rev(
 # ---------------------------------------------------------------- bulk Richardson number
 
 
+def _brn_parts(cells: DataFrame, keys: Sequence[str], carry: Sequence[str]) -> DataFrame:
+    height = F.col("hhl") - F.col("hsurf")
+    return cells.select(*keys, "z", *carry, _theta().alias("_v"), height.alias("_h"), _wind().alias("_w"))
+
+
+def _brn_value() -> Column:
+    anomaly, levels = F.col("_v") - F.col("_last"), F.col("_n") - F.col("z")
+    return phys.richardson(F.col("_h"), anomaly, levels, F.col("_s"), F.col("_w")).alias("brn")
+
+
 def brn_segmented(
-    cells: DataFrame, keys: Sequence[str], aligned: bool = False, segment: int | None = None
+    cells: DataFrame,
+    keys: Sequence[str],
+    aligned: bool = False,
+    carry: Sequence[str] = (),
+    segment: int | None = None,
 ) -> DataFrame:
     """Columns of any depth: segment sums, then a join of each level with its mirrored one on (column, level)."""
     keys = list(keys)
-    parts = cells.select(
-        *keys, "z", _theta().alias("_v"), (F.col("hhl") - F.col("hsurf")).alias("_h"), _wind().alias("_w")
-    )
+    parts = _brn_parts(cells, keys, carry)
     sums = _suffix_sums(parts, keys, segment or max_group_rows(cells.sparkSession))
     if not aligned:
         mirrored = sums.select(
@@ -146,20 +158,25 @@ def brn_segmented(
         sums = sums.drop("_suffix").join(mirrored, [*keys, "z"])
     else:
         sums = sums.withColumnRenamed("_suffix", "_s")
-    value = phys.richardson(
-        F.col("_h"), F.col("_v") - F.col("_last"), F.col("_n") - F.col("z"), F.col("_s"), F.col("_w")
-    )
-    return sums.select(*keys, "z", value.alias("brn"))
+    return sums.select(*keys, "z", *carry, _brn_value())
 
 
-def _or_segmented(cells: DataFrame, keys: Sequence[str], aligned: bool, short: Callable) -> DataFrame:
-    """Apply ``short`` to columns one task can hold and the segmented form to deeper ones."""
-    if levels_bounded(cells, "z"):
+def _or_segmented(
+    cells: DataFrame,
+    keys: Sequence[str],
+    aligned: bool,
+    short: Callable,
+    limit: int | None = None,
+    carry: Sequence[str] = (),
+) -> DataFrame:
+    """Apply ``short`` to columns of at most ``limit`` levels and the segmented form to deeper ones."""
+    limit = limit or max_group_rows(cells.sparkSession)
+    if levels_bounded(cells, "z", limit):
         return short(cells)
     keys = list(keys)
-    deep = cells.filter(F.col("z") >= max_group_rows(cells.sparkSession)).select(*keys).distinct()
+    deep = cells.filter(F.col("z") >= limit).select(*keys).distinct()
     rest = short(cells.join(deep, keys, "left_anti"))
-    return rest.unionByName(brn_segmented(cells.join(deep, keys, "left_semi"), keys, aligned))
+    return rest.unionByName(brn_segmented(cells.join(deep, keys, "left_semi"), keys, aligned, carry))
 
 
 def to_profiles(cells: DataFrame, keys: Sequence[str], variables: Sequence[str], surface: Sequence[str] = ()) -> DataFrame:
@@ -171,8 +188,10 @@ def to_profiles(cells: DataFrame, keys: Sequence[str], variables: Sequence[str],
 
 
 def from_profiles(profiles: DataFrame, keys: Sequence[str], variable: str) -> DataFrame:
-    """Back to one row per cell."""
-    return profiles.select(*keys, F.posexplode(variable).alias("z", variable)).withColumn("z", F.col("z").cast("bigint"))
+    """Back to one row per cell. The outer form keeps the planner from adding a filter that would compute the
+    array a second time; columns are never empty."""
+    rows = profiles.select(*keys, F.posexplode_outer(variable).alias("z", variable))
+    return rows.withColumn("z", F.col("z").cast("bigint"))
 
 
 def _reverse_cumsum(values: Column) -> Column:
@@ -207,6 +226,10 @@ def brn_of_profiles(profiles: DataFrame, carry: Sequence[str], aligned: bool = F
     return with_sums.select(*carry, F.transform(zipped, at_level).alias("brn"))
 
 
+#: Deepest column of the array form, whose running sum copies its array at each level.
+PROFILE_LEVELS = 2048
+
+
 def brn_profile(cells: DataFrame, keys: Sequence[str], aligned: bool = False) -> DataFrame:
     """Collect short columns into arrays and compute with array functions."""
 
@@ -214,35 +237,59 @@ def brn_profile(cells: DataFrame, keys: Sequence[str], aligned: bool = False) ->
         profiles = to_profiles(part, keys, ("p", "t", "qv", "u", "v", "hhl"), ("hsurf",))
         return from_profiles(brn_of_profiles(profiles, keys, aligned), keys, "brn")
 
-    return _or_segmented(cells, keys, aligned, short)
+    return _or_segmented(cells, keys, aligned, short, min(PROFILE_LEVELS, max_group_rows(cells.sparkSession)))
+
 
+def brn_windows(
+    cells: DataFrame, keys: Sequence[str], aligned: bool = False, carry: Sequence[str] = ()
+) -> DataFrame:
+    """Windows over the column, one exchange in all; columns named in ``carry`` are passed through.
 
-def brn_windows(cells: DataFrame, keys: Sequence[str], aligned: bool = False) -> DataFrame:
-    """Windows over the column; the mirrored sum is picked from the column's sums, collected once per row."""
+    The mirrored sum comes from a second window over the pair of levels ``z`` and ``n - 1 - z``: partitioning by
+    column already satisfies it, so only a sort is added and memory stays linear in the depth.
+    """
 
     def short(part: DataFrame) -> DataFrame:
         column = Window.partitionBy(*keys)
         down = column.orderBy(F.desc("z")).rowsBetween(Window.unboundedPreceding, 0)
-        parts = part.select(
-            *keys, "z", _theta().alias("_v"), (F.col("hhl") - F.col("hsurf")).alias("_h"), _wind().alias("_w")
+        summed = _brn_parts(part, keys, carry).select(
+            "*",
+            F.sum("_v").over(down).alias("_suffix"),
+            F.count("*").over(column).alias("_n"),
+            F.first("_v").over(down).alias("_last"),
         )
-        summed = parts.withColumn("_suffix", F.sum("_v").over(down))
-        stats = [F.count("*").over(column).alias("_n"), F.max_by("_v", "z").over(column).alias("_last")]
         if aligned:
-            picked = summed.select("*", *stats, F.col("_suffix").alias("_s"))
+            picked = summed.withColumn("_s", F.col("_suffix"))
         else:
-            # whole-column frame, entries arrive in the order of descending z
-            whole = column.orderBy(F.desc("z")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-            sums = F.collect_list("_suffix").over(whole)
-            picked = summed.select("*", *stats, sums.alias("_all")).withColumn(
-                "_s", F.get("_all", F.col("z").cast("int"))
-            )
-        value = phys.richardson(
-            F.col("_h"), F.col("_v") - F.col("_last"), F.col("_n") - F.col("z"), F.col("_s"), F.col("_w")
-        )
-        return picked.select(*keys, "z", value.alias("brn"))
+            summed = summed.withColumn("_pair", F.least(F.col("z"), F.col("_n") - 1 - F.col("z")))
+            pair = Window.partitionBy(*keys, "_pair").orderBy("z")
+            mirrored = F.coalesce(F.lead("_suffix").over(pair), F.lag("_suffix").over(pair), F.col("_suffix"))
+            picked = summed.withColumn("_s", mirrored)
+        return picked.select(*keys, "z", *carry, _brn_value())
+
+    return _or_segmented(cells, keys, aligned, short, carry=carry)
 
-    return _or_segmented(cells, keys, aligned, short)
+
+def _reverse_sums(starts: np.ndarray, sizes: np.ndarray, theta: np.ndarray, aligned: bool) -> np.ndarray:
+    """Running sums from each column's last level, stored mirrored (or in place if ``aligned``).
+
+    Many short columns advance together level by level; few deep ones are summed one by one.
+    """
+    sums = np.empty_like(theta)
+    depth = int(sizes.max(initial=0))
+    if depth > len(sizes):
+        for s, n in zip(starts, sizes):
+            run = theta[s : s + n][::-1].cumsum()
+            sums[s : s + n] = run[::-1] if aligned else run
+        return sums
+    order = np.argsort(-sizes, kind="stable")
+    acc = np.zeros(len(sizes))
+    ends = starts + sizes - 1
+    for k in range(depth):
+        alive = order[: np.searchsorted(-sizes[order], -k, side="left")]
+        acc[alive] += theta[ends[alive] - k]
+        sums[ends[alive] - k if aligned else starts[alive] + k] = acc[alive]
+    return sums
 
 
 def _block_brn(starts: np.ndarray, theta: np.ndarray, height: np.ndarray, wind: np.ndarray, aligned: bool) -> np.ndarray:
@@ -253,16 +300,7 @@ def _block_brn(starts: np.ndarray, theta: np.ndarray, height: np.ndarray, wind:
     level = np.arange(len(theta)) - first
     last = first + depth - 1
     with np.errstate(all="ignore"):
-        sums = np.empty_like(theta)
-        # levels are added one by one from the last, all columns at once, so each column has its own sum
-        order = np.argsort(-sizes, kind="stable")
-        acc = np.zeros(len(sizes))
-        ends = starts + sizes - 1
-        for k in range(int(sizes.max(initial=0))):
-            alive = order[: np.searchsorted(-sizes[order], -k, side="left")]
-            acc[alive] += theta[ends[alive] - k]
-            target = ends[alive] - k if aligned else starts[alive] + k
-            sums[target] = acc[alive]
+        sums = _reverse_sums(starts, sizes, theta, aligned)
         return phys.GRAVITY * height * (theta - theta[last]) * (depth - level) / (sums * wind)
 
 
@@ -337,17 +375,18 @@ def iterate_thetav(cells: DataFrame, dims: Sequence[str], n: int, carry: str = "
     return out.select(*dims, F.col(carry).alias("thetav"))
 
 
-def repeated_brn(cells: DataFrame, keys: Sequence[str], n: int, base: Callable | None = None) -> DataFrame:
-    """``n`` rounds of the Richardson number, each round's output being the next round's pressure."""
-    base = base or brn
-    dims = [*keys, "z"]
-    fixed = cells.select(*dims, *BRN_INPUTS[1:])
+def repeated_brn(cells: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
+    """``n`` rounds of the Richardson number, each round's output being the next round's pressure.
+
+    The other inputs ride along, so all rounds share one partitioning by column.
+    """
+    others = BRN_INPUTS[1:]
 
     def step(state: DataFrame) -> DataFrame:
-        return base(state, keys).withColumnRenamed("brn", "p").join(fixed, dims)
+        return brn(state, keys, carry=others).withColumnRenamed("brn", "p")
 
-    state = iterate(cells.select(*dims, *BRN_INPUTS), step, n - 1)
-    return base(state, keys)
+    state = cells.select(*keys, "z", *BRN_INPUTS)
+    return brn(iterate(state, step, n - 1), keys)
 
 
 def repeated_brn_of_profiles(profiles: DataFrame, carry: Sequence[str], n: int) -> DataFrame:

@@ -6,7 +6,7 @@ or level segments (running sums); what crosses a partition is one carry row per
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from gridspark.session import materialize, max_group_rows
 
-#: Column metadata set on a position column whose groups are known to be at most ``max_group_rows`` deep.
-BOUNDED = "gridspark.bounded"
+#: Column metadata of a position column: no group has more rows than this.
+BOUND = "gridspark.bound"
 
 
 @dataclass(frozen=True)
@@ -50,7 +50,7 @@ def positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: st
     """0-based position of each row in its group; for groups that one task may sort."""
     by_key = Window.partitionBy(*keys)
     pos = (F.row_number().over(by_key.orderBy(*order)) - 1).cast("bigint")
-    out = df.withColumn(name, pos.alias(name, metadata={BOUNDED: True}))
+    out = df.withColumn(name, pos.alias(name, metadata={BOUND: max_group_rows(df.sparkSession)}))
     return out if count is None else out.withColumn(count, F.count("*").over(by_key).cast("bigint"))
 
 
@@ -97,24 +97,28 @@ def with_positions(
     return out.unionByName(heavy_positions(split, keys, order, name, count))
 
 
-def levels_bounded(df: DataFrame, dim: str) -> bool:
-    """Whether every column along ``dim`` is short enough for one task.
+def levels_bounded(df: DataFrame, dim: str, limit: int | None = None) -> bool:
+    """Whether every column along ``dim`` has at most ``limit`` (default ``max_group_rows``) levels.
 
     Known from the metadata that :func:`positions` leaves on the dimension column; otherwise one filter on the
     position, which Parquet statistics answer for nearly all row groups.
     """
-    if df.schema[dim].metadata.get(BOUNDED):
+    limit = limit or max_group_rows(df.sparkSession)
+    known = df.schema[dim].metadata.get(BOUND)
+    if known is not None and known <= limit:
         return True
-    return df.filter(F.col(dim) >= max_group_rows(df.sparkSession)).isEmpty()
+    return df.filter(F.col(dim) >= limit).isEmpty()
 
 
-def with_group_stats(df: DataFrame, keys: Sequence[str], dim: str, **stats: Column) -> DataFrame:
-    """Attach aggregates of each row's group.
+def with_group_stats(
+    df: DataFrame, keys: Sequence[str], dim: str, stats: Mapping[str, Column], limit: int | None = None
+) -> DataFrame:
+    """Attach aggregates of each row's group, a column of at most ``limit`` levels or not.
 
     Short columns: a window, which needs a single exchange. Otherwise aggregate with map-side combine and join back;
     the adaptive planner splits the hot side of that join.
     """
-    if levels_bounded(df, dim):
+    if levels_bounded(df, dim, limit):
         by_key = Window.partitionBy(*keys)
         return df.select("*", *[agg.over(by_key).alias(n) for n, agg in stats.items()])
     return df.join(df.groupBy(*keys).agg(*[agg.alias(n) for n, agg in stats.items()]), list(keys))

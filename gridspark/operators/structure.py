@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridspark.operators.ranks import with_group_stats
+from gridspark.session import max_group_rows
 
 
 def select_vars(df: DataFrame, dims: Sequence[str], names: Sequence[str]) -> DataFrame:
@@ -39,7 +40,7 @@ def isel(df: DataFrame, dim: str, index: int, group: Sequence[str]) -> DataFrame
         rest = [c for c in df.columns if c not in group]
         last = F.max_by(F.struct(*rest), F.col(dim)).alias("_last")
         return df.groupBy(*group).agg(last).select(*group, "_last.*").select(*df.columns)
-    counted = with_group_stats(df, group, dim, _last=F.max(dim))
+    counted = with_group_stats(df, group, dim, {"_last": F.max(dim)})
     return counted.filter(F.col(dim) == F.col("_last") + (index + 1)).drop("_last")
 
 
@@ -50,13 +51,14 @@ def isel_range(df: DataFrame, dim: str, start: int, stop: int) -> DataFrame:
 
 
 def isel_reverse(df: DataFrame, dim: str, group: Sequence[str]) -> DataFrame:
-    counted = with_group_stats(df, group, dim, _last=F.max(dim))
+    counted = with_group_stats(df, group, dim, {"_last": F.max(dim)})
     return counted.withColumn(dim, F.col("_last") - F.col(dim)).drop("_last")
 
 
 def drop_last(df: DataFrame, dim: str, group: Sequence[str]) -> DataFrame:
     """Remove the last position of each column."""
-    counted = with_group_stats(df, group, dim, _last=F.max(dim))
+    limit = max_group_rows(df.sparkSession) + 1  # one level more than the fields it is aligned with
+    counted = with_group_stats(df, group, dim, {"_last": F.max(dim)}, limit)
     return counted.filter(F.col(dim) < F.col("_last")).drop("_last")
 
 

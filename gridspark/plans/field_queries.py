@@ -405,7 +405,7 @@ def _np_thetav(p: np.ndarray, t: np.ndarray, qv: np.ndarray) -> np.ndarray:
 @query(GRID + f"SELECT col_id, z, round({THETA}, 6) + 0.0e0 AS thetav FROM grid_cells")
 def map_blocks_np(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A NumPy function on chunks of many columns; depth is cut too, so a deep column spreads over chunks."""
-    chunks = {"col_id": 4096, "z": 4096}
+    chunks = {"col_id": 1024, "z": 1024}
     out = blocks.map_blocks(_np_thetav, fx.grid_cells(spark, sf_dir), CELL, ["p", "t", "qv"], chunks, "thetav")
     return out.select(*CELL, r6("thetav", "thetav"))
 
@@ -425,7 +425,7 @@ def map_blocks_coords(spark: SparkSession, sf_dir: str) -> DataFrame:
         return chunk["t"] * chunk["hsurf"] + 0.5 * chunk.index.get_level_values("z") + chunk["lon"]
 
     cells = fx.grid_cells(spark, sf_dir).withColumn("lon", F.col("x") * 0.25)
-    chunks = {"col_id": 4096, "z": 4096}
+    chunks = {"col_id": 1024, "z": 1024}
     out = blocks.map_blocks_coords(tilt, cells, CELL, ["t", "hsurf"], chunks, "tilted", coords=["lon"])
     return out.select(*CELL, r6("tilted", "tilted"))
 

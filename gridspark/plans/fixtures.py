@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridspark.operators.cube import reduce_iterations
-from gridspark.operators.ranks import heavy_positions, positions, split_heavy, with_positions
+from gridspark.operators.ranks import BOUND, heavy_positions, positions, split_heavy, with_positions
 
 PARTS = ("full_rt", "input_loading", "compute", "graph_construction", "optimization", "serialization")
 CONFIG = ("impl", "workers", "cores_per_worker")
@@ -97,7 +97,9 @@ def field_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     ground = message("HSURF", "surface", F.lit(0), "hsurf")
     always = F.array(*layers, half)
     once = F.when(F.col("z") == 0, F.array(extra, ground)).otherwise(F.array().cast(MESSAGES))
-    return cells.select("col_id", F.inline(F.concat(always, once)))
+    rows = cells.select("col_id", F.inline(F.concat(always, once)))
+    bound = cells.schema["z"].metadata.get(BOUND)
+    return rows if bound is None else rows.withMetadata("level", {BOUND: bound + 1})
 
 
 def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:

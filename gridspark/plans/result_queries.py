@@ -94,8 +94,7 @@ def result_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
 def config_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels that occur, combined with given option lists."""
     grid = cube.label_grid(fx.measurements(spark, sf_dir), ["impl", "workers"])
-    options = cube.config_grid(spark, iterations=[1, 5], warmup=True)
-    return grid.join(F.broadcast(options))  # two literal rows
+    return cube.add_options(grid, iterations=[1, 5], warmup=True)
 
 
 @query(RES + f"SELECT impl, workers, cores_per_worker, {_sums()} FROM results WHERE impl <> 'view'")
