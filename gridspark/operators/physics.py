@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridspark.functions import physics as phys
-from gridspark.operators.ranks import levels_bounded, with_group_stats
+from gridspark.operators.ranks import levels_bounded, small, with_group_stats
 from gridspark.session import materialize, max_group_rows
 
 THETAV_INPUTS = ("p", "t", "qv")
@@ -174,7 +174,7 @@ def _or_segmented(
     if levels_bounded(cells, "z", limit):
         return short(cells)
     keys = list(keys)
-    deep = cells.filter(F.col("z") >= limit).select(*keys).distinct()
+    deep = small(materialize(cells.filter(F.col("z") >= limit).select(*keys).distinct(), "deep-columns"))
     rest = short(cells.join(deep, keys, "left_anti"))
     return rest.unionByName(brn_segmented(cells.join(deep, keys, "left_semi"), keys, aligned, carry))
 

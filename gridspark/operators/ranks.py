@@ -18,6 +18,13 @@ from gridspark.session import materialize, max_group_rows
 BOUND = "gridspark.bound"
 
 
+#: A key list up to this many rows is sent to every executor.
+BROADCAST_ROWS = 1_000_000
+
+#: Copies of one row are numbered in runs of this length.
+COPIES_PER_RUN = 1 << 16
+
+
 @dataclass(frozen=True)
 class Split:
     """Rows of ordinary groups, rows of oversized groups (None if there are none) and those groups' sizes."""
@@ -27,11 +34,18 @@ class Split:
     heavy_sizes: DataFrame | None
 
 
+def small(stored: DataFrame) -> DataFrame:
+    """Mark a stored table for broadcast if its row count allows; otherwise the planner decides."""
+    return F.broadcast(stored) if stored.count() <= BROADCAST_ROWS else stored
+
+
 def split_heavy(df: DataFrame, keys: Sequence[str]) -> Split:
     """Separate the groups that are too large for one task.
 
-    Counting a bare Parquet scan reads footers only; the per-group count runs only for tables that could hold an
-    oversized group, reads the key columns and combines on the map side.
+    Counting a bare Parquet scan needs no column data; the per-group count runs only for tables that could hold an
+    oversized group, reads the key columns and combines on the map side. The list of oversized groups has at most
+    rows / ``max_group_rows`` entries; it is stored, counted and broadcast if small, so that rows of a hot group are
+    told apart without gathering them.
     """
     limit = max_group_rows(df.sparkSession)
     if df.count() <= limit:
@@ -41,8 +55,7 @@ def split_heavy(df: DataFrame, keys: Sequence[str]) -> Split:
     sizes = materialize(sizes, "heavy-keys")
     if sizes.isEmpty():
         return Split(df, None, None)
-    # No broadcast hint: the adaptive planner broadcasts the key list if its measured size allows.
-    names = sizes.select(*keys)
+    names = small(sizes.select(*keys))
     return Split(df.join(names, keys, "left_anti"), df.join(names, keys, "left_semi"), sizes)
 
 
@@ -59,31 +72,50 @@ def heavy_positions(
 ) -> DataFrame:
     """As :func:`positions` for the oversized groups of ``split``.
 
-    One range shuffle on (keys, order) spreads each group over many tasks; a random last sort column spreads equal
-    rows too. The numbered rows are written once, so numbering is stable under retries. A row's position is its
-    running id minus the first id of its segment plus the rows of the group in earlier segments.
+    Equal rows are counted first (on the map side), so copies weigh nothing. One range shuffle on (keys, order,
+    remaining columns) spreads the distinct rows of a group over many tasks. They are numbered and written once; as
+    their order is total, a retried task numbers them alike. A row's position is the number of rows before it in its
+    range partition plus the rows of the group in earlier partitions.
     """
     keys, order = list(keys), list(order)
     limit = max_group_rows(split.heavy.sparkSession)
     total = split.heavy_sizes.agg(F.sum("_rows")).first()[0]
     parts = max(2, -(-2 * total // limit))
-    ranged = split.heavy.withColumn("_tie", F.rand(17))
-    sort = [*keys, *order, "_tie"]
+    columns = split.heavy.columns
+    sort = [*keys, *order, *[c for c in columns if c not in keys and c not in order]]
     numbered = (
-        ranged.repartitionByRange(int(parts), *sort)
+        split.heavy.groupBy(*columns)
+        .agg(F.count("*").alias("_copies"))
+        .repartitionByRange(int(parts), *sort)
         .sortWithinPartitions(*sort)
         .withColumn("_id", F.monotonically_increasing_id())
-        .drop("_tie")
     )
     numbered = materialize(numbered, "numbered").withColumn("_seg", F.shiftright("_id", 33))
-    segments = numbered.groupBy(*keys, "_seg").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
-    earlier = Window.partitionBy(*keys).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
-    segments = segments.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-    if count is not None:
-        segments = segments.withColumn(count, F.sum("_n").over(Window.partitionBy(*keys)).cast("bigint"))
-    out = numbered.join(segments, [*keys, "_seg"])
-    out = out.withColumn(name, (F.col("_id") - F.col("_first") + F.col("_before")).cast("bigint"))
-    return out.drop("_id", "_seg", "_first", "_n", "_before")
+    group = Window.partitionBy(*keys)
+    earlier = group.orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
+    segments = numbered.groupBy(*keys, "_seg").agg(F.sum("_copies").alias("_n")).select(
+        *keys,
+        "_seg",
+        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
+        F.sum("_n").over(group).cast("bigint").alias("_size"),
+    )
+    inside = Window.partitionBy(*keys, "_seg").orderBy("_id").rowsBetween(Window.unboundedPreceding, 0)
+    placed = numbered.withColumn("_run", F.sum("_copies").over(inside)).join(segments, [*keys, "_seg"])
+    placed = placed.withColumn("_first", (F.col("_before") + F.col("_run") - F.col("_copies")).cast("bigint"))
+    out = _number_copies(placed, keys, name)
+    return out.select(*columns, name, *([] if count is None else [F.col("_size").alias(count)]))
+
+
+def _number_copies(placed: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """One row per copy, numbered from ``_first``; long runs of copies are spread over tasks."""
+    last = F.col("_first") + F.col("_copies") - 1
+    run = F.lit(COPIES_PER_RUN).cast("bigint")
+    few = placed.filter(F.col("_copies") <= run).withColumn(name, F.explode(F.sequence("_first", last)))
+    many = placed.filter(F.col("_copies") > run).withColumn("_from", F.explode(F.sequence(F.col("_first"), last, run)))
+    many = many.repartition(*keys, "_from").withColumn(
+        name, F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + run - 1, last)))
+    )
+    return few.unionByName(many.drop("_from"))
 
 
 def with_positions(
@@ -110,15 +142,33 @@ def levels_bounded(df: DataFrame, dim: str, limit: int | None = None) -> bool:
     return df.filter(F.col(dim) >= limit).isEmpty()
 
 
+def join_columns(
+    cells: DataFrame, per_column: DataFrame, keys: Sequence[str], dim: str, limit: int | None = None
+) -> DataFrame:
+    """Attach one row per column to the column's cells.
+
+    A plain join if columns are short. Otherwise cells beyond ``limit`` are joined on their own with the few rows of
+    deep columns, so the plain join never sees more than ``limit`` cells of a column.
+    """
+    keys = list(keys)
+    limit = limit or max_group_rows(cells.sparkSession)
+    if dim not in cells.columns or levels_bounded(cells, dim, limit):
+        return cells.join(per_column, keys)
+    below = cells.filter(F.col(dim) < limit).join(per_column, keys)
+    beyond = cells.filter(F.col(dim) >= limit)
+    deep = materialize(beyond.select(*keys).distinct().join(per_column, keys), "deep-columns")
+    return below.unionByName(beyond.join(small(deep), keys).select(*below.columns))
+
+
 def with_group_stats(
     df: DataFrame, keys: Sequence[str], dim: str, stats: Mapping[str, Column], limit: int | None = None
 ) -> DataFrame:
     """Attach aggregates of each row's group, a column of at most ``limit`` levels or not.
 
-    Short columns: a window, which needs a single exchange. Otherwise aggregate with map-side combine and join back;
-    the adaptive planner splits the hot side of that join.
+    Short columns: a window, which needs a single exchange. Otherwise aggregate with map-side combine and join back.
     """
     if levels_bounded(df, dim, limit):
         by_key = Window.partitionBy(*keys)
         return df.select("*", *[agg.over(by_key).alias(n) for n, agg in stats.items()])
-    return df.join(df.groupBy(*keys).agg(*[agg.alias(n) for n, agg in stats.items()]), list(keys))
+    per_column = df.groupBy(*keys).agg(*[agg.alias(n) for n, agg in stats.items()])
+    return join_columns(df, per_column, keys, dim, limit)

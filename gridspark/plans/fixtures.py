@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridspark.operators.cube import reduce_iterations
-from gridspark.operators.ranks import BOUND, heavy_positions, positions, split_heavy, with_positions
+from gridspark.operators.ranks import BOUND, heavy_positions, positions, small, split_heavy, with_positions
+from gridspark.session import materialize
 
 PARTS = ("full_rt", "input_loading", "compute", "graph_construction", "optimization", "serialization")
 CONFIG = ("impl", "workers", "cores_per_worker")
@@ -47,8 +48,8 @@ def grid_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
     split = split_heavy(lines, keys)
 
-    def cells(ranked: DataFrame) -> DataFrame:
-        joined = ranked.join(orders, ranked["l_orderkey"] == orders["col_id"])
+    def cells(ranked: DataFrame, ground: DataFrame) -> DataFrame:
+        joined = ranked.join(ground, ranked["l_orderkey"] == ground["col_id"])
         return joined.select(
             "col_id",
             _x("col_id"),
@@ -64,10 +65,12 @@ def grid_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
             "hsurf",
         )
 
-    out = cells(positions(split.light, keys, order, "z", "n"))
+    out = cells(positions(split.light, keys, order, "z", "n"), orders)
     if split.heavy is None:
         return out
-    return out.unionByName(cells(heavy_positions(split, keys, order, "z", "n")))
+    few = split.heavy_sizes.select(F.col("l_orderkey").alias("col_id")).join(orders, "col_id")
+    ground = small(materialize(few, "heavy-orders"))
+    return out.unionByName(cells(heavy_positions(split, keys, order, "z", "n"), ground))
 
 
 def surface(spark: SparkSession, sf_dir: str) -> DataFrame:

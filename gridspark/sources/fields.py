@@ -12,7 +12,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridspark.operators.align import with_surface
+from gridspark.operators.align import merge_fields, with_surface
 from gridspark.operators.structure import drop_last, rename_dims
 
 # Names and level types of the diagnostics' inputs.
@@ -65,7 +65,7 @@ def diagnostics_input(messages: DataFrame, half_levels: DataFrame, keys: Sequenc
     hhl = scan_field(half_levels, "HHL", [*keys, "level"], {"type_of_level": HALF_LEVEL})
     hhl = drop_last(hhl, "level", keys)
     hsurf = scan_field(half_levels, "HSURF", keys)
-    merged = rename_dims(fields.join(hhl, [*keys, "level"], "full_outer"), level)
+    merged = rename_dims(merge_fields([fields, hhl], [*keys, "level"]), level)
     return with_surface(merged, hsurf, keys)
 
 
