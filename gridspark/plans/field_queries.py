@@ -50,14 +50,15 @@ def field_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     with_views("field_messages")
-    + "SELECT short_name, count(*) AS messages, round(avg(value), 6) + 0.0e0 AS mean_value FROM field_messages GROUP BY short_name"
+    + """SELECT short_name, count(*) AS messages, round(min(value), 6) + 0.0e0 AS low,
+                round(max(value), 6) + 0.0e0 AS high FROM field_messages GROUP BY short_name"""
 )
 def multi_file_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     messages = fx.field_messages(spark, sf_dir)
     path = scratch_path(spark, "messages")
     messages.withColumn("file", F.col("level") % 2).write.partitionBy("file").parquet(path)
     both = fields.scan_files(spark, [f"{path}/file=0", f"{path}/file=1"])
-    return both.groupBy("short_name").agg(F.count("*").alias("messages"), r6(F.avg("value"), "mean_value"))
+    return both.groupBy("short_name").agg(F.count("*").alias("messages"), r6(F.min("value"), "low"), r6(F.max("value"), "high"))
 
 
 @query(
@@ -81,7 +82,7 @@ def load_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def brn_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     messages = fx.field_messages(spark, sf_dir)
-    assembled = fields.diagnostics_input(messages, messages, KEYS)
+    assembled = fields.diagnostics_input(messages, KEYS)
     return assembled.select("col_id", "z", *[r6(n, n.lower()) for n in fields.INPUT_NAMES])
 
 

@@ -12,8 +12,9 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridspark.operators.align import merge_fields, with_surface
-from gridspark.operators.structure import drop_last, rename_dims
+from gridspark.functions.ieee import NAN
+from gridspark.operators.ranks import with_group_stats
+from gridspark.session import max_group_rows
 
 # Names and level types of the diagnostics' inputs.
 LAYER_FIELDS = ("P", "T", "QV", "U", "V")
@@ -53,20 +54,40 @@ def load_fields(
     )
 
 
-def diagnostics_input(messages: DataFrame, half_levels: DataFrame, keys: Sequence[str]) -> DataFrame:
+def diagnostics_input(messages: DataFrame, keys: Sequence[str], half_levels: DataFrame | None = None) -> DataFrame:
     """Assemble the input of the column diagnostics.
 
-    Layer fields from ``messages``; heights of the half levels (one more than layers) from ``half_levels`` without
-    the last; surface height without a level filter; the vertical dimension renamed to ``z``.
+    Layer fields; heights of the half levels (one more than layers) without the last, from ``half_levels`` if they
+    are kept apart; the surface height without a level filter; the vertical dimension renamed to ``z``. Positions
+    that a variable lacks are NaN.
+
+    All variables are taken from one scan and merged by one aggregation per position; what a whole column decides
+    (its last half level, its surface height) is attached to the merged rows.
     """
     keys = list(keys)
-    level = {"level": "z"}
-    fields = load_fields(messages, LAYER_FIELDS, [*keys, "level"], {"type_of_level": LAYER})
-    hhl = scan_field(half_levels, "HHL", [*keys, "level"], {"type_of_level": HALF_LEVEL})
-    hhl = drop_last(hhl, "level", keys)
-    hsurf = scan_field(half_levels, "HSURF", keys)
-    merged = rename_dims(merge_fields([fields, hhl], [*keys, "level"]), level)
-    return with_surface(merged, hsurf, keys)
+    layer = (F.col("type_of_level") == LAYER) & F.col("short_name").isin(list(LAYER_FIELDS))
+    half = (F.col("type_of_level") == HALF_LEVEL) & (F.col("short_name") == "HHL")
+    ground = F.col("short_name") == "HSURF"
+    if half_levels is None:
+        wanted = messages.filter(layer | half | ground)
+    else:
+        wanted = messages.filter(layer).unionByName(half_levels.filter(half | ground))
+    merged = wanted.groupBy(*keys, "level").agg(
+        *[F.max(F.when(layer & (F.col("short_name") == n), F.col("value"))).alias(n) for n in LAYER_FIELDS],
+        F.max(F.when(half, F.col("value"))).alias("HHL"),
+        F.max(F.when(ground, F.col("value"))).alias("_ground"),
+    )
+    column = {
+        "_last": F.max(F.when(F.col("HHL").isNotNull(), F.col("level"))),
+        "HSURF": F.max("_ground"),
+    }
+    # half levels are one more than the layers of a column
+    placed = with_group_stats(merged, keys, "level", column, max_group_rows(messages.sparkSession) + 1)
+    volume = [*LAYER_FIELDS, "HHL"]
+    cut = placed.withColumn("HHL", F.when(F.col("level") < F.col("_last"), F.col("HHL")))
+    cut = cut.filter(F.coalesce(*volume).isNotNull())
+    filled = [F.coalesce(n, F.lit(NAN)).alias(n) for n in (*volume, "HSURF")]
+    return cut.select(*keys, F.col("level").alias("z"), *filled)
 
 
 def uniform(seed: int, *keys: Column) -> Column:

@@ -160,3 +160,27 @@ def test_ieee_division(spark):
     got = [r[0] for r in df.select(ieee_div(F.col("a"), F.col("b"))).collect()]
     inf = float("inf")
     assert got == [inf, -inf, pytest.approx(float("nan"), nan_ok=True), 2.0, -inf]
+
+
+def test_diagnostics_input_from_two_tables(spark, small_groups):
+    """Half levels in their own table, one column deeper than one task may hold, no surface height in another."""
+    depths = {1: 2, 2: 60, 3: 1}
+    layers = [
+        (n, "generalVerticalLayer", z, c, 100.0 * c + z + k)
+        for c, depth in depths.items()
+        for z in range(depth)
+        for k, n in enumerate(fields.LAYER_FIELDS)
+    ]
+    noise = [("P", "surface", 0, c, -1.0) for c in depths]
+    half = [("HHL", "generalVertical", z, c, 5000.0 - z) for c, depth in depths.items() for z in range(depth + 1)]
+    ground = [("HSURF", "surface", 0, c, 7.0) for c in (1, 2)]
+    schema = "short_name string, type_of_level string, level bigint, c bigint, value double"
+    first, second = spark.createDataFrame(layers + noise, schema), spark.createDataFrame(half + ground, schema)
+    both = fields.diagnostics_input(first, ["c"], second)
+    single = fields.diagnostics_input(first.unionByName(second), ["c"])
+    for out in (both, single):
+        rows = {(r.c, r.z): r for r in out.collect()}
+        assert rows.keys() == {(c, z) for c, depth in depths.items() for z in range(depth)}
+        for (c, z), r in rows.items():
+            assert (r.P, r.V, r.HHL) == (100.0 * c + z, 100.0 * c + z + 4, 5000.0 - z)
+            assert r.HSURF == 7.0 if c != 3 else np.isnan(r.HSURF)
