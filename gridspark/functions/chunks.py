@@ -73,33 +73,34 @@ def no_split_lists(sizes1: Column, sizes2: Column) -> Column:
     return same_total & (F.size(F.array_except(ends2, ends1)) == 0)
 
 
-def spec_numbers(text: Column) -> Column:
-    """Textual specification as an array: one number, or an explicit list such as ``10,20,30``."""
-    return F.transform(F.split(text, ","), lambda n: n.cast("bigint"))
+def spec_ends(text: Column) -> Column:
+    """Textual specification as an array: a number as itself, an explicit list (``10,20,30``) as its chunk ends."""
+    return boundaries(F.transform(F.split(text, ","), lambda n: n.cast("bigint")))
 
 
-def no_split_text(spec1: Column, spec2: Column) -> Column:
-    """:func:`no_split` for textual specifications, either of which may be an explicit list.
+def ends_merge(ends1: Column, ends2: Column) -> Column:
+    """:func:`no_split` on the arrays of :func:`spec_ends`, where a single entry is a number.
 
-    A single number next to a list is expanded to the list's total.
+    Next to a list a number stands for equal chunks of the list's total, whose inner ends are its multiples.
     """
-    a, b = spec_numbers(spec1), spec_numbers(spec2)
-    first_a, first_b = F.element_at(a, 1), F.element_at(b, 1)
-    zero = F.lit(0).cast("bigint")
-
-    def total(sizes: Column) -> Column:
-        return F.aggregate(sizes, zero, lambda x, y: x + y)
-
-    sizes_a = F.when(F.size(a) == 1, chunk_sizes(first_a, total(b))).otherwise(a)
-    sizes_b = F.when(F.size(b) == 1, chunk_sizes(first_b, total(a))).otherwise(b)
+    one1, one2 = F.size(ends1) == 1, F.size(ends2) == 1
+    number1, number2 = F.get(ends1, F.lit(0)), F.get(ends2, F.lit(0))
+    total1, total2 = F.get(ends1, F.size(ends1) - 1), F.get(ends2, F.size(ends2) - 1)
+    multiples = F.filter(ends1, lambda e: (e == total1) | (e % number2 == 0))
     return (
-        F.when(spec1.isNull() | spec2.isNull() | (spec2 == "-1"), F.lit(True))
-        .when(spec1 == "-1", F.lit(False))
-        .when((F.size(a) == 1) & (F.size(b) == 1), no_split(first_a, first_b))
-        .otherwise(no_split_lists(sizes_a, sizes_b))
+        F.when(ends1.isNull() | ends2.isNull() | (one2 & (number2 == -1)), F.lit(True))
+        .when(one1 & (number1 == -1), F.lit(False))
+        .when(one1, F.forall(ends2, lambda e: (e % number1 == 0) | (~one2 & (e == total2))))
+        .when(one2, F.size(multiples) == F.ceil(total1 / number2))
+        .otherwise((total1 == total2) & (F.size(F.array_except(ends2, ends1)) == 0))
     )
 
 
+def no_split_text(spec1: Column, spec2: Column) -> Column:
+    """:func:`no_split` for textual specifications, either of which may be an explicit list."""
+    return ends_merge(spec_ends(spec1), spec_ends(spec2))
+
+
 def chunk_of(position: Column, spec: int | list[int]) -> Column:
     """Chunk number of a position along one dimension."""
     if isinstance(spec, int):

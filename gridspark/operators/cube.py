@@ -219,9 +219,8 @@ def relative_runtime(results: DataFrame, main: str, dim: str, part: str, referen
 
 def linear_baseline(results: DataFrame, dim: str) -> DataFrame:
     """Perfect scaling: each tick over the first one."""
-    ticks = results.select(dim).distinct()
-    first = results.agg(F.min(dim).alias("_first"))
-    return ticks.join(F.broadcast(first)).select(dim, (F.col(dim) / F.col("_first")).alias("linear"))  # one row
+    first = results.agg(F.min(dim)).scalar()
+    return results.select(dim).distinct().select(dim, (F.col(dim) / first).alias("linear"))
 
 
 def runtime_shares(results: DataFrame, keys: Sequence[str], parts: Sequence[str]) -> DataFrame:

@@ -34,7 +34,10 @@ def serial_fraction(
         base = df.groupBy(*series).agg(
             F.min(cores).alias("base_cores"), F.min_by(runtime, cores).alias("base_runtime")
         )
-    joined = df.join(base, series) if series else df.join(F.broadcast(base))  # no series: a single base row
+    if series:
+        joined = df.join(base, series)
+    else:
+        joined = df.withColumns({c: base.select(c).scalar() for c in ("base_cores", "base_runtime")})
     c = F.col(cores) / F.col("base_cores")
     w = (c - 1) / c
     return joined.groupBy(*series, "base_runtime").agg(

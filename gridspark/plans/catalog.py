@@ -34,41 +34,32 @@ def _key(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(ANY))
 
 
-def _mergeable_into(domain: Column, target: Column, lists: bool) -> Column:
-    """The chunk keys of ``domain`` that merge into ``target`` without a split."""
-    if lists:
-        return F.filter(domain, lambda v: ch.no_split_text(v, target))
-    number = target.cast("bigint")
-    return F.filter(domain, lambda v: ch.no_split(v.cast("bigint"), number))
+def _accepted(r: Column, domain: Column, rule: str) -> Column:
+    """Keys of the version values that the request value accepts; for chunks the value is its ends."""
+    if rule == MERGEABLE:
+        return F.array_append(_mergeable_into(domain, r), F.lit(ANY))
+    everything = F.array_append(domain, F.lit(ANY))
+    own = F.array(_key(r)) if rule == SAME_IF_SET else F.array(_key(r), F.lit(ANY))
+    return F.when(r.isNull(), everything).otherwise(own)
 
 
-def _accepted(r: Column, domain: Column, rule: str, lists: bool) -> Column:
-    """Keys of the version values that the request value accepts."""
-    everything = F.array_append(domain, F.lit(ANY))
-    if rule == SAME_IF_SET:
-        return F.when(r.isNull(), everything).otherwise(F.array(_key(r)))
-    if rule == SAME_OR_UNSET:
-        return F.when(r.isNull(), everything).otherwise(F.array(_key(r), F.lit(ANY)))
-    return F.array_append(_mergeable_into(domain, r, lists), F.lit(ANY))
+def _mergeable_into(domain: Column, ends: Column) -> Column:
+    """Keys of the chunk specifications (key and ends) that merge into the one with these ends."""
+    return F.filter(domain, lambda v: ch.ends_merge(v["ends"], ends))["key"]
 
 
 def _chunk_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c.startswith("chunk_")]
 
 
-def _has_lists(df: DataFrame, attr: str) -> bool:
-    """Chunk columns of type string may hold explicit lists; numeric ones use the plain arithmetic."""
-    return df.schema[attr].dataType.typeName() == "string"
-
-
 def match_versions(
     versions: DataFrame, requests: DataFrame, rules: Mapping[str, str], ignore_chunks_unless: str | None = None
 ) -> DataFrame:
     """Matching pairs of distinct combinations.
 
     Rows: the request combination as keys ``r_<attr>``, the version's as ``v_<attr>``, the number of versions that
-    have it, the one with the least name (``first``: name and attributes) and the values of each chunk column that
-    occur (``d_<attr>``). With ``ignore_chunks_unless`` chunk columns only count for that format.
+    have it, the one with the least name (``first``: name and attributes) and the values of each mergeable column
+    that occur (``d_<attr>``: key and ends). With ``ignore_chunks_unless`` chunk columns only count for that format.
     """
     attrs = list(rules)
 
@@ -82,17 +73,27 @@ def match_versions(
         F.count("*").alias("versions"), F.min(F.struct("name", *attrs)).alias("first")
     )
     wanted = requests.select(*attrs).distinct()
-    # one row: the distinct values of each attribute
-    domains = sigs.agg(*[F.array_remove(F.collect_set(f"v_{a}"), ANY).alias(f"d_{a}") for a in attrs])
-    out = wanted.join(F.broadcast(domains)).select(
+    merged = [a for a in attrs if rules[a] == MERGEABLE]
+    values = [F.array_remove(F.collect_set(f"v_{a}"), ANY).alias(a) for a in attrs]
+    found = sigs.agg(*values).select(
+        F.struct(
+            *[
+                F.transform(a, lambda k: F.struct(k.alias("key"), ch.spec_ends(k).alias("ends"))).alias(a)
+                if a in merged
+                else F.col(a)
+                for a in attrs
+            ]
+        )
+    )
+    asked = wanted.select(
         *[_key(F.col(a)).alias(f"r_{a}") for a in attrs],
-        *[
-            _accepted(F.col(a), F.col(f"d_{a}"), rules[a], a.startswith("chunk_") and _has_lists(requests, a)).alias(
-                f"v_{a}"
-            )
-            for a in attrs
-        ],
-        *[f"d_{a}" for a in attrs if a.startswith("chunk_")],
+        *[ch.spec_ends(F.col(a).cast("string")).alias(a) if a in merged else F.col(a) for a in attrs],
+        found.scalar().alias("_d"),
+    )
+    out = asked.select(
+        *[f"r_{a}" for a in attrs],
+        *[_accepted(F.col(a), F.col(f"_d.{a}"), rules[a]).alias(f"v_{a}") for a in attrs],
+        *[F.col(f"_d.{a}").alias(f"d_{a}") for a in merged],
     )
     for a in attrs:
         out = out.withColumn(f"v_{a}", F.explode(f"v_{a}"))
@@ -155,7 +156,7 @@ def resolve_versions(versions: DataFrame, requests: DataFrame, source: Mapping[s
         others = F.lit(False)
         for c in chunks:
             own = F.when(F.col(f"v_{c}") != ANY, F.col(f"v_{c}"))
-            finer = _mergeable_into(F.col(f"d_{c}"), own, _has_lists(requests, c))
+            finer = _mergeable_into(F.col(f"d_{c}"), ch.spec_ends(own))
             beats = beats.withColumn(f"b_{c}", F.explode(F.when(own.isNull(), F.array(F.lit(ANY))).otherwise(finer)))
             others = others | (F.col(f"b_{c}") != F.col(f"v_{c}"))
         beaten = beats.filter(others).select(
@@ -273,12 +274,13 @@ class FieldStore:
     def _frame(self, v: Version) -> DataFrame:
         row = {"name": v.name, **self._row(v)}
         types = {"coords": "boolean"}
-        return self.spark.range(1).select(*[F.lit(x).cast(types.get(k, "string")).alias(k) for k, x in row.items()])
+        return self.spark.range(0, 1, 1, 1).select(*[F.lit(x).cast(types.get(k, "string")).alias(k) for k, x in row.items()])
 
     def _stored(self) -> DataFrame:
         if not self._exists():
             return self._frame(self.source_version).filter(F.lit(False))
-        return self.spark.read.schema(self._schema()).parquet(f"{self.path}/catalogue")
+        # one row per stored version of this dataset; a single partition spares the shuffles
+        return self.spark.read.schema(self._schema()).parquet(f"{self.path}/catalogue").coalesce(1)
 
     def _exists(self) -> bool:
         jvm = self.spark._jvm
@@ -289,7 +291,7 @@ class FieldStore:
         """Source and stored versions."""
         source = self.source_version
         first = self._frame(Version(source.format, source.dim_order, source.chunks, "source", source.coords))
-        return list_versions([first, self._stored()], self._row(source))
+        return list_versions([first, self._stored()], self._row(source)).coalesce(1)
 
     def has_version(self, version: Version) -> bool:
         return not has_version(self.list_versions(), self._frame(version).drop("name")).isEmpty()

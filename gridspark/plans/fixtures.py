@@ -151,7 +151,7 @@ def layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("p_partkey")
-    return table(spark, sf_dir, "part").filter(key % 10 < 3).select(
+    return table(spark, sf_dir, "part").select(
         F.concat(F.lit("v"), key.cast("string")).alias("name"),
         F.when(key % 2 == 0, "zarr").otherwise("netcdf").alias("format"),
         F.when(key % 3 == 0, "xyz").when(key % 3 == 1, "zyx").otherwise("yxz").alias("dim_order"),
@@ -231,7 +231,7 @@ VIEWS = {
                CASE p_partkey % 2 WHEN 0 THEN 'zarr' ELSE 'netcdf' END AS format,
                CASE p_partkey % 3 WHEN 0 THEN 'xyz' WHEN 1 THEN 'zyx' ELSE 'yxz' END AS dim_order,
                CAST(p_size AS BIGINT) AS chunk_x, p_partkey % 5 = 0 AS coords
-        FROM part WHERE p_partkey % 10 < 3""",
+        FROM part""",
     "requests": """
         SELECT s_suppkey AS request_id,
                CASE s_suppkey % 3 WHEN 0 THEN 'zarr' WHEN 1 THEN 'netcdf' ELSE NULL END AS format,

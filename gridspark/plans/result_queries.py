@@ -109,15 +109,16 @@ def results_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     MEAS
     + """, labels AS (SELECT DISTINCT 'impl' AS dim, impl AS label FROM measurements
-                      UNION ALL SELECT DISTINCT 'workers', CAST(workers AS VARCHAR) FROM measurements WHERE workers = 2
-                      UNION ALL SELECT DISTINCT 'cores_per_worker', CAST(cores_per_worker AS VARCHAR) FROM measurements)
+                      UNION ALL SELECT DISTINCT 'workers', CAST(workers AS VARCHAR) FROM measurements
+                      UNION ALL SELECT DISTINCT 'cores_per_worker', CAST(cores_per_worker AS VARCHAR) FROM measurements
+                      UNION ALL SELECT DISTINCT 'warmup', 'true' FROM measurements)
          SELECT dim, label, count(*) OVER (PARTITION BY dim) = 1 AS scalar FROM labels"""
 )
 def config_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels per dimension of an experiment run with two workers, written as JSON and read back."""
-    rows = fx.measurements(spark, sf_dir).filter("workers = 2")
+    """Labels per dimension, one of them with a single label, written as JSON and read back."""
+    rows = fx.measurements(spark, sf_dir).withColumn("warmup", F.lit(True))
     path = scratch_path(spark, "config")
-    store.save_config(rows, DIMS, path)
+    store.save_config(rows, [*DIMS, "warmup"], path)
     return spark.read.schema("label string, scalar boolean, dim string").json(path).select("dim", "label", "scalar")
 
 
@@ -133,11 +134,13 @@ def dim_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     MEAS
-    + """SELECT 'impl' AS dim, count(DISTINCT impl) AS labels FROM measurements WHERE workers = 2
-         UNION ALL SELECT 'cores_per_worker', count(DISTINCT cores_per_worker) FROM measurements WHERE workers = 2"""
+    + """SELECT 'impl' AS dim, count(DISTINCT impl) AS labels FROM measurements
+         UNION ALL SELECT 'workers', count(DISTINCT workers) FROM measurements
+         UNION ALL SELECT 'cores_per_worker', count(DISTINCT cores_per_worker) FROM measurements"""
 )
 def varying_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cube.varying_dims(fx.measurements(spark, sf_dir).filter("workers = 2"), DIMS)
+    rows = fx.measurements(spark, sf_dir).withColumn("warmup", F.lit(True))
+    return cube.varying_dims(rows, [*DIMS, "warmup"])
 
 
 @query(CORES + "SELECT impl, cores, round(full_rt, 6) + 0.0e0 AS full_rt, round(compute, 6) + 0.0e0 AS compute FROM cored")
@@ -248,10 +251,10 @@ def sort_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cube.sort_series(_cored(spark, sf_dir), "impl", "cores").select("impl", "cores", r6("full_rt", "full_rt"))
 
 
-@query(RES + "SELECT impl, workers, cores_per_worker, round(full_rt, 6) + 0.0e0 AS full_rt FROM results WHERE workers IN (1, 4)")
+@query(RES + "SELECT impl, workers, cores_per_worker, round(full_rt, 6) + 0.0e0 AS full_rt FROM results")
 def concat_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
     results = fx.results(spark, sf_dir).select(*DIMS, "full_rt")
-    out = cube.concat_dim([results.filter("workers = 4"), results.filter("workers = 1")])
+    out = cube.concat_dim([results.filter("workers > 2"), results.filter("workers <= 2")])
     return out.select(*DIMS, r6("full_rt", "full_rt"))
 
 
@@ -395,7 +398,11 @@ def scaling_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     MEAS
-    + "SELECT * FROM (VALUES ('impl', 'bar'), ('workers', 'line'), ('cores_per_worker', 'line')) t(dim, kind)"
+    + """, labels AS (SELECT 'impl' AS dim, impl AS label FROM measurements
+                      UNION ALL SELECT 'workers', CAST(workers AS VARCHAR) FROM measurements
+                      UNION ALL SELECT 'cores_per_worker', CAST(cores_per_worker AS VARCHAR) FROM measurements)
+         SELECT dim, CASE WHEN bool_and(TRY_CAST(label AS DOUBLE) IS NOT NULL) THEN 'line' ELSE 'bar' END AS kind
+         FROM labels GROUP BY dim"""
 )
 def axis_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cube.axis_kind(fx.measurements(spark, sf_dir), DIMS)

@@ -130,9 +130,10 @@ def complete_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     VER
-    + """SELECT name, CASE WHEN dim_order = 'xyz' THEN 'time' WHEN dim_order = 'zyx' THEN 'time' ELSE 'time' END AS added,
-                'z' AS dropped, left(array_to_string(string_split(dim_order, ''), ','), 5) || ',time' AS merged
-         FROM (SELECT name, dim_order || '' AS dim_order FROM versions) v"""
+    + """SELECT name, array_to_string(list_filter(want, lambda d: NOT list_contains(have, d)), ',') AS added,
+                array_to_string(list_filter(have, lambda d: NOT list_contains(want, d)), ',') AS dropped,
+                array_to_string(list_concat(have, list_filter(want, lambda d: NOT list_contains(have, d))), ',') AS merged
+         FROM (SELECT name, string_split(dim_order, '') AS have, ['x', 'y', 'time'] AS want FROM versions) v"""
 )
 def dim_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dimensions to add and to drop to get from each version's order to x, y, time; all dimensions in order."""
