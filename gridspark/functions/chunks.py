@@ -73,32 +73,34 @@ def no_split_lists(sizes1: Column, sizes2: Column) -> Column:
     return same_total & (F.size(F.array_except(ends2, ends1)) == 0)
 
 
-def spec_ends(text: Column) -> Column:
-    """Textual specification as an array: a number as itself, an explicit list (``10,20,30``) as its chunk ends."""
-    return boundaries(F.transform(F.split(text, ","), lambda n: n.cast("bigint")))
+def spec_ends(text: str) -> str:
+    """SQL for a textual specification as an array: a number as itself, an explicit list (``10,20,30``) as its chunk
+    ends. Written as text because it is used inside lambdas over many specifications."""
+    sizes = f"transform(split({text}, ','), n -> bigint(n))"
+    return f"aggregate({sizes}, cast(array() AS array<bigint>), (e, n) -> array_append(e, n + coalesce(array_max(e), 0)))"
 
 
-def ends_merge(ends1: Column, ends2: Column) -> Column:
-    """:func:`no_split` on the arrays of :func:`spec_ends`, where a single entry is a number.
+def ends_merge(ends1: str, ends2: str) -> str:
+    """SQL for :func:`no_split` on the arrays of :func:`spec_ends`, where a single entry is a number.
 
     Next to a list a number stands for equal chunks of the list's total, whose inner ends are its multiples.
     """
-    one1, one2 = F.size(ends1) == 1, F.size(ends2) == 1
-    number1, number2 = F.get(ends1, F.lit(0)), F.get(ends2, F.lit(0))
-    total1, total2 = F.get(ends1, F.size(ends1) - 1), F.get(ends2, F.size(ends2) - 1)
-    multiples = F.filter(ends1, lambda e: (e == total1) | (e % number2 == 0))
-    return (
-        F.when(ends1.isNull() | ends2.isNull() | (one2 & (number2 == -1)), F.lit(True))
-        .when(one1 & (number1 == -1), F.lit(False))
-        .when(one1, F.forall(ends2, lambda e: (e % number1 == 0) | (~one2 & (e == total2))))
-        .when(one2, F.size(multiples) == F.ceil(total1 / number2))
-        .otherwise((total1 == total2) & (F.size(F.array_except(ends2, ends1)) == 0))
-    )
-
-
-def no_split_text(spec1: Column, spec2: Column) -> Column:
-    """:func:`no_split` for textual specifications, either of which may be an explicit list."""
-    return ends_merge(spec_ends(spec1), spec_ends(spec2))
+    first1, first2 = f"get({ends1}, 0)", f"get({ends2}, 0)"
+    total1, total2 = f"get({ends1}, size({ends1}) - 1)", f"get({ends2}, size({ends2}) - 1)"
+    return f"""CASE
+        WHEN {ends1} IS NULL OR {ends2} IS NULL OR {first2} = -1 THEN true
+        WHEN {first1} = -1 THEN false
+        WHEN size({ends1}) = 1 AND size({ends2}) = 1 THEN {first2} % {first1} = 0
+        WHEN size({ends1}) = 1 THEN forall({ends2}, e -> e % {first1} = 0 OR e = {total2})
+        WHEN size({ends2}) = 1
+          THEN size(filter({ends1}, e -> e % {first2} = 0 OR e = {total1})) = ceil({total1} / {first2})
+        ELSE {total1} = {total2} AND size(array_except({ends2}, {ends1})) = 0
+        END"""
+
+
+def no_split_text(spec1: str, spec2: str) -> Column:
+    """:func:`no_split` for columns with textual specifications, either of which may be an explicit list."""
+    return F.expr(ends_merge(spec_ends(spec1), spec_ends(spec2)))
 
 
 def chunk_of(position: Column, spec: int | list[int]) -> Column:

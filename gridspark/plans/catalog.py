@@ -34,18 +34,18 @@ def _key(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(ANY))
 
 
-def _accepted(r: Column, domain: Column, rule: str) -> Column:
-    """Keys of the version values that the request value accepts; for chunks the value is its ends."""
+def _accepted(attr: str, rule: str) -> Column:
+    """Keys of the version values (``_d.<attr>``) that the request value accepts; for chunks that value is its ends."""
     if rule == MERGEABLE:
-        return F.array_append(_mergeable_into(domain, r), F.lit(ANY))
-    everything = F.array_append(domain, F.lit(ANY))
+        return F.array_append(_mergeable_into(f"_d.{attr}", attr), F.lit(ANY))
+    r, everything = F.col(attr), F.array_append(f"_d.{attr}", F.lit(ANY))
     own = F.array(_key(r)) if rule == SAME_IF_SET else F.array(_key(r), F.lit(ANY))
     return F.when(r.isNull(), everything).otherwise(own)
 
 
-def _mergeable_into(domain: Column, ends: Column) -> Column:
+def _mergeable_into(domain: str, ends: str) -> Column:
     """Keys of the chunk specifications (key and ends) that merge into the one with these ends."""
-    return F.filter(domain, lambda v: ch.ends_merge(v["ends"], ends))["key"]
+    return F.expr(f"transform(filter({domain}, v -> {ch.ends_merge('v.ends', ends)}), v -> v.key)")
 
 
 def _chunk_columns(df: DataFrame) -> list[str]:
@@ -75,24 +75,19 @@ def match_versions(
     wanted = requests.select(*attrs).distinct()
     merged = [a for a in attrs if rules[a] == MERGEABLE]
     values = [F.array_remove(F.collect_set(f"v_{a}"), ANY).alias(a) for a in attrs]
-    found = sigs.agg(*values).select(
-        F.struct(
-            *[
-                F.transform(a, lambda k: F.struct(k.alias("key"), ch.spec_ends(k).alias("ends"))).alias(a)
-                if a in merged
-                else F.col(a)
-                for a in attrs
-            ]
-        )
-    )
+    with_ends = [
+        F.expr(f"transform({a}, k -> struct(k AS key, {ch.spec_ends('k')} AS ends))").alias(a) if a in merged else a
+        for a in attrs
+    ]
+    found = sigs.agg(*values).select(F.struct(*with_ends))
     asked = wanted.select(
         *[_key(F.col(a)).alias(f"r_{a}") for a in attrs],
-        *[ch.spec_ends(F.col(a).cast("string")).alias(a) if a in merged else F.col(a) for a in attrs],
+        *[F.expr(ch.spec_ends(f"string({a})")).alias(a) if a in merged else a for a in attrs],
         found.scalar().alias("_d"),
     )
     out = asked.select(
         *[f"r_{a}" for a in attrs],
-        *[_accepted(F.col(a), F.col(f"_d.{a}"), rules[a]).alias(f"v_{a}") for a in attrs],
+        *[_accepted(a, rules[a]).alias(f"v_{a}") for a in attrs],
         *[F.col(f"_d.{a}").alias(f"d_{a}") for a in merged],
     )
     for a in attrs:
@@ -155,9 +150,10 @@ def resolve_versions(versions: DataFrame, requests: DataFrame, source: Mapping[s
         beats = pairs.filter(F.col("v_format") == "zarr")
         others = F.lit(False)
         for c in chunks:
-            own = F.when(F.col(f"v_{c}") != ANY, F.col(f"v_{c}"))
-            finer = _mergeable_into(F.col(f"d_{c}"), ch.spec_ends(own))
-            beats = beats.withColumn(f"b_{c}", F.explode(F.when(own.isNull(), F.array(F.lit(ANY))).otherwise(finer)))
+            unset = F.col(f"v_{c}") == ANY
+            beats = beats.withColumn("_ends", F.expr(ch.spec_ends(f"nullif(v_{c}, '{ANY}')")))
+            finer = F.when(unset, F.array(F.lit(ANY))).otherwise(_mergeable_into(f"d_{c}", "_ends"))
+            beats = beats.withColumn(f"b_{c}", F.explode(finer))
             others = others | (F.col(f"b_{c}") != F.col(f"v_{c}"))
         beaten = beats.filter(others).select(
             *request_keys,

@@ -10,7 +10,7 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session("4", shuffle_partitions=4, memory="4g")
+    session = local_session("4", shuffle_partitions=2, memory="4g")
     yield session
     session.stop()
 
