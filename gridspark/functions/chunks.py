@@ -46,10 +46,6 @@ def boundaries(sizes: Column) -> Column:
     return F.aggregate(sizes, start, add)
 
 
-def lists_equal(sizes1: Column, sizes2: Column) -> Column:
-    return sizes1 == sizes2
-
-
 def specs_equal(spec1: Column, spec2: Column, dim_size: Column) -> Column:
     """Whether two single-number specifications give the same chunks; no preference matches anything."""
     step1 = F.when((spec1 == -1) | (spec1 > dim_size), dim_size).otherwise(spec1)
@@ -57,6 +53,20 @@ def specs_equal(spec1: Column, spec2: Column, dim_size: Column) -> Column:
     return spec1.isNull() | spec2.isNull() | (step1 == step2)
 
 
+def sizes_of_text(text: Column, dim_size: Column) -> Column:
+    """Explicit sizes of a textual specification, a number or a list."""
+    listed = F.transform(F.split(text, ","), lambda n: n.cast("bigint"))
+    return F.when(F.size(listed) == 1, chunk_sizes(F.get(listed, F.lit(0)), dim_size)).otherwise(listed)
+
+
+def texts_equal(spec1: Column, spec2: Column, dim_size: Column) -> Column:
+    """:func:`specs_equal` for textual specifications; ``auto`` is no preference here."""
+    undecided = spec1.isNull() | spec2.isNull() | (spec1 == "auto") | (spec2 == "auto")
+    numbers = [F.when(s != "auto", s) for s in (spec1, spec2)]
+    same = sizes_of_text(numbers[0], dim_size) == sizes_of_text(numbers[1], dim_size)
+    return undecided | F.coalesce(same, F.lit(False))
+
+
 def no_split(spec1: Column, spec2: Column) -> Column:
     """Whether chunks of size ``spec1`` can be merged into chunks of size ``spec2`` without splitting any."""
     return (

@@ -85,6 +85,14 @@ def test_sizes_and_equality(spark):
         assert r.same == (expand(r.s1, r.d) == expand(r.s2, r.d))
 
 
+def test_equality_of_lists(spark):
+    rows = [("5", "5,5,2", 12), ("5,5,2", "5", 12), ("5,7", "7,5", 12), ("12", "-1", 12), ("6,6", "6", 12),
+            ("auto", "5,7", 12), (None, "3", 12), ("4", "6", 12)]
+    df = spark.createDataFrame(rows, "a string, b string, d bigint")
+    got = [r[0] for r in df.select(ch.texts_equal(F.col("a"), F.col("b"), F.col("d"))).collect()]
+    assert got == [True, True, False, True, True, True, True, False]
+
+
 def test_explode_chunks_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(layout, "NUMBERS_PER_BLOCK", 3)
     df = spark.createDataFrame([(1, 2, 15), (2, -1, 15), (3, None, 15), (4, 1, 7)], "id int, s bigint, d bigint")

@@ -151,6 +151,17 @@ def test_flatten_record(spark):
     assert records.flatten_record(df).first().asDict() == {"r_n": 1, "r_in_b": "True", "r_in_s": "t"}
 
 
+def test_attribute_comparison(spark):
+    rows = [("a", 1, "a", 1), ("a", None, "a", 2), ("a", 1, "b", 1), ("a", 1, "a", None), (None, None, None, None)]
+    df = spark.createDataFrame(rows, "p string, q int, r string, s int")
+    x, y = {"p": F.col("p"), "q": F.col("q")}, {"p": F.col("r"), "q": F.col("s")}
+    got = df.select(records.has_attributes(x, y).alias("h"), records.equals_not_none(x, y).alias("e")).collect()
+    assert [r.h for r in got] == [True, True, False, False, True]
+    assert [r.e for r in got] == [True, True, False, True, True]
+    lacking = df.select(records.has_attributes(x, {"p": F.col("r")})).collect()
+    assert [r[0] for r in lacking] == [False, True, False, False, True]
+
+
 def test_overlay(spark):
     def merge(base, upd):
         """Deep merge of nested dictionaries."""
