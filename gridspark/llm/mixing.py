@@ -4,7 +4,8 @@ A document of a source is copied ``target / source_size`` times on average: the
 its copy probability. Two documents at a time transfer mass, one way or the other at random so that expectations hold,
 until one probability is 0 or 1. Mass is measured in words, so the words a source takes stay at the target. Blocks of
 documents fold to one undecided document each; these residuals are blocked again, level by level: a reduction tree that
-ends in one residual per source, which is decided by its probability. Random numbers are hashes of ids, so reruns agree.
+ends in one residual per source, which is rounded to the nearer integer: a source misses its target by half a document at
+most. Random numbers are hashes of ids, so reruns agree.
 """
 
 from __future__ import annotations
@@ -124,7 +125,7 @@ def round_copies(units: DataFrame, count: int) -> DataFrame:
             break
         blocks = -(-blocks // BLOCK)
         level = stored(_level(residuals, F.floor(F.col("block") / BLOCK)), "mix")
-    last = residuals.withColumn("p", (_random(F.lit(11), F.col("key")) < F.col("p")).cast("double"))
+    last = residuals.withColumn("p", (F.col("p") >= 0.5).cast("double"))
     out = last
     for part in decided:
         out = out.unionByName(part)

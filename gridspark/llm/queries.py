@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridspark.llm import decontamination, language, licences, mixing, pii, quality
+from gridspark.llm import decontamination, language, licences, mixing, pii, quality, urls
 from gridspark.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,6 +49,12 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query
+def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = urls.train(urls.labelled(spark))
+    return urls.judge(table(spark, sf_dir, "pages"), model)
+
+
 @query
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
