@@ -49,7 +49,8 @@ LABELLED = (
       for host, path in (("news", "en/2024/07/article"), ("university", "library/catalogue"), ("wiki", "wiki/Main_Page"),
                          ("docs", "en/latest/index.html"), ("recipes", "fr/825?page=2"), ("museum", "es/670"),
                          ("garden", "de/412.html"), ("weather", "en/853/"), ("thering", "en/25#top"), ("tionand", "fr/960"),
-                         ("history", "books/3"), ("science", "papers/11"), ("thnder", "en/771?ref=x"), ("music", "albums/12"))
+                         ("history", "books/3"), ("science", "papers/11"), ("thnder", "en/771?ref=x"), ("music", "albums/12"), ("thertion", "de/3"),
+                         ("tiontion", "en/9"), ("ththor", "fr/41"), ("ththti", "es/7/"), ("ththnt", "en/88"), ("theron", "de/1"))
       for prefix, end in (("", "example.com"), ("www.", "example.net"), ("m.", "example.org"), ("blog.", "com"))
       for own in (path, "en/474.html", "es/25#top")),
 )
