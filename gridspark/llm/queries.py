@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridspark.llm import decontamination, language, licences, mixing, pii, quality, urls
+from gridspark.llm import decontamination, language, licences, mixing, pii, quality, urls, warc
 from gridspark.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,6 +43,14 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op6_decontamination"] = decontamination.CONTAMINATION_SQL
 
 
+@query
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.page_records(table(spark, sf_dir, "pages"))
+
+
+ORACLES["op7_warc"] = warc.RECORDS_SQL
+
+
 @query
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
