@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridspark.llm import decontamination, language, licences, mixing, pii, quality, topk, urls, warc
+from gridspark.llm import decontamination, jaccard, language, licences, mixing, pii, quality, topk, urls, warc
 from gridspark.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,14 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op1_topk"] = topk.SEARCH_SQL
 
 
+@query
+def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op2_jaccard"] = jaccard.NEAR_DUPLICATES_SQL
+
+
 @query
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
