@@ -412,25 +412,26 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     return with_both(near, "shingles").select("a", "b", "x", "y").mapInArrow(linked, "a long, b long")
 
 
+def _groups(documents: DataFrame, similarity: int, width: int) -> tuple[DataFrame, DataFrame]:
+    """A row of ``doc_id``, ``sid`` and ``n`` for each document, and ``node`` and ``root`` of the sets that link."""
+    buckets = 4 * int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counted = stored(_counted(_sketches(documents, width, Bands.of(similarity), buckets)), "jaccard-words")
+    words = stored(_first_words(counted), "jaccard-first")
+    sets = stored(_wanted_sets(documents, words.select("sid").distinct(), width), "jaccard-sets")
+    leading = stored(_leader_pairs(words, similarity), "jaccard-pairs")
+    links = stored(_verified(leading, sets, similarity), "jaccard-links")
+    rest = _open_pairs(words, components(links), leading, similarity)
+    links = links.unionByName(_verified(rest, sets, similarity))
+    return counted.where(F.col("kind") == _DOCUMENT).select("doc_id", "sid", "n"), components(links)
+
+
 def near_duplicates(documents: DataFrame, similarity: int = SIMILARITY, width: int = SHINGLE) -> DataFrame:
     """For every row: ``doc_id``, ``n_shingles`` and ``component_id``, the smallest doc_id reachable by links.
 
     A text of fewer than ``width`` words is one shingle. Without words or text (null) a row has 0 shingles, links with
     nothing and is its own component. Equal texts link; a null doc_id counts as none, so it is never the smallest.
     """
-    spark = documents.sparkSession
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bands = Bands.of(similarity)
-    counted = stored(_counted(_sketches(documents, width, bands, buckets)), "jaccard-words")
-    words = stored(_first_words(counted), "jaccard-first")
-    sids = words.select("sid").distinct()
-    sets = stored(_wanted_sets(documents, sids, width), "jaccard-sets")
-    leading = stored(_leader_pairs(words, similarity), "jaccard-pairs")
-    links = stored(_verified(leading, sets, similarity), "jaccard-links")
-    rest = _open_pairs(words, components(links), leading, similarity)
-    links = stored(links.unionByName(_verified(rest, sets, similarity)), "jaccard-links")
-    roots = components(links)
-    rows = counted.where(F.col("kind") == _DOCUMENT).select("doc_id", "sid", "n")
+    rows, roots = _groups(documents, similarity, width)
     keyed = rows.join(roots, F.col("sid") == F.col("node"), "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "sid").alias("key")
     )
@@ -440,6 +441,29 @@ def near_duplicates(documents: DataFrame, similarity: int = SIMILARITY, width: i
     )
 
 
+def representatives(documents: DataFrame, similarity: int = SIMILARITY, width: int = SHINGLE) -> DataFrame:
+    """One row of each component, with all its columns: the one of the smallest doc_id (null last), of equal ids the
+    first in the files. Rows without words stay. ``documents`` has to be read from files, so that rows keep their order.
+    """
+
+    @F.arrow_udf("long")
+    def identified(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            sets = (s for piece in pieces(texts) for s in shingle_sets(piece, width))
+            yield pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())
+
+    _, roots = _groups(documents, similarity, width)
+    row = F.monotonically_increasing_id()
+    keyed = documents.select("doc_id", identified("text").alias("sid"), row.alias("__row")).where("sid IS NOT NULL")
+    keyed = stored(keyed.join(roots, F.col("sid") == F.col("node"), "left").select(
+        F.coalesce("root", "sid").alias("key"), F.struct(F.col("doc_id").isNull(), "doc_id", "__row").alias("place"), "__row"
+    ), "jaccard-keys")
+    first = keyed.groupBy(F.col("key").alias("of")).agg(F.min("place").alias("first"), F.count("*").alias("c")).where("c > 1")
+    dropped = keyed.join(first, F.col("key") == F.col("of")).where("place <> first").select("__row")
+    # the planner knows the size of the stored rows: few of them are broadcast, and no text is shuffled
+    return documents.withColumn("__row", row).join(stored(dropped, "jaccard-dropped"), "__row", "left_anti").drop("__row")
+
+
 #: The same as SQL.
 NEAR_DUPLICATES_SQL = r"""
 WITH RECURSIVE d AS (

@@ -105,7 +105,9 @@ class Model:
 
 
 def labelled(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(LABELLED), "url string, label int")
+    """The labelled table as a DataFrame."""
+    rows = [F.struct(F.lit(url).alias("url"), F.lit(label).alias("label")) for url, label in LABELLED]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def _sigmoid(z: Column) -> Column:
