@@ -38,6 +38,9 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _DIGITS = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _LOOSE_PHONE = re.compile(r"(?<![0-9A-Za-z+])\(?[0-9]{2,4}\)?(?:[ .-][0-9]{2,5}){1,4}(?![0-9A-Za-z])")
+# Parts of runs that the rules reject as a whole, such as a phone number that a card number follows.
+_CARD_PART = re.compile(r"(?<![0-9])[0-9]{14,19}(?![0-9])|(?<![0-9])[0-9]{4}(?:[ -][0-9]{4}){3}(?![0-9])")
+_PHONE_PART = re.compile(r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{3,4}[ .-]?[0-9]{4}(?![0-9])")
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_])(?=[A-Za-z_]*+[0-9])[A-Za-z0-9_]{12,}+")
 _NOT_DIGIT = re.compile(r"[^0-9]")
 _CONTEXT = re.compile(r"([A-Za-z]{2,20})[\"' ]{0,2}[ ]?([=:]?)[ ]?[\"']?\Z")
@@ -97,6 +100,10 @@ def base_spans(text: str) -> list[Span]:
 def candidates(text: str) -> list[tuple[int, int, str, bool]]:
     """All proposals, the loose ones included."""
     out = list(_proposals(text))
+    for a, b, kind, holds in list(out):
+        part = {"card": _CARD_PART, "phone": _PHONE_PART}.get(kind)
+        if part and not holds:
+            out += [(*m.span(), kind, False) for m in part.finditer(text, a, b) if m.span() != (a, b)]
     if out or any(d in text for d in "0123456789"):
         out += [(*m.span(), "phone", False) for m in _LOOSE_PHONE.finditer(text)]
         out += [(*m.span(), "secret", False) for m in _TOKEN.finditer(text)]
@@ -126,6 +133,10 @@ def features(text: str, start: int, end: int, kind: str) -> list[float]:
 
 def _teacher(text: str, start: int, end: int, kind: str, holds: bool) -> bool:
     """Weak label of a candidate: the rule of its kind; for secrets a value that a credential word or prefix marks."""
+    if kind == "card" and not holds and _CARD_PART.fullmatch(text, start, end):
+        return luhn(_NOT_DIGIT.sub("", text[start:end]))
+    if kind == "phone" and not holds and _PHONE_PART.fullmatch(text, start, end):
+        return True
     if kind != "secret":
         return holds
     context = _CONTEXT.search(text[max(0, start - 40) : start])

@@ -152,7 +152,9 @@ class WarcReader(DataSourceReader):
         found = store.get_file_info(fs.FileSelector(base))
         return [WarcFile(f.path) for f in sorted(found, key=lambda f: (-f.size, f.path)) if f.path.endswith(".warc")]
 
-    def read(self, partition: InputPartition) -> Iterator[tuple[Any, ...]]:
+    def read(self, partition: InputPartition | None) -> Iterator[tuple[Any, ...]]:
+        if partition is None:  # a folder without files
+            return
         store, _ = fs.FileSystem.from_uri(self.path)
         with store.open_input_file(partition.path) as raw:
             yield from self._records(raw)
