@@ -5,7 +5,7 @@ All of it, training included, is DataFrame functions. Rules and weights become e
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -84,6 +84,10 @@ def matching_rule(rules: Sequence[Rule], host: Column, path: Column) -> Column:
     return found if found is not None else F.lit(None).cast("struct<rule:string,verdict:string>")
 
 
+def _bucket_of(mark: str) -> Callable[[Column], Column]:
+    return lambda gram: F.pmod(F.xxhash64(F.lit(mark), gram), F.lit(BUCKETS)).cast("int")
+
+
 def buckets(host: Column, path: Column) -> Column:
     """Hash buckets of the character n-grams of host and path, each marked with the part it is of.
 
@@ -93,7 +97,7 @@ def buckets(host: Column, path: Column) -> Column:
     for mark, part in (("h", F.concat(F.lit("."), host, F.lit("."))), ("p", lower_ascii(path))):
         for n in LENGTHS:
             grams = F.regexp_extract_all(part, F.lit(f"(?s)(?=(.{{{n}}}))"), 1)
-            parts.append(F.transform(grams, lambda g, m=f"{mark}{n}": F.pmod(F.xxhash64(F.lit(m), g), F.lit(BUCKETS)).cast("int")))
+            parts.append(F.transform(grams, _bucket_of(f"{mark}{n}")))
     return F.concat(*parts)
 
 
