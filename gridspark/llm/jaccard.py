@@ -40,8 +40,10 @@ SIMILARITY = 80
 BAND = 1.7
 SLACK = 1.2
 #: Sketch words that a task gathers before it sends them, about, and sets of one task from which a shared word is sent once.
-GATHERED = 1 << 20
+GATHERED = 1 << 19
 SHARED = 64
+#: Sets of a block that are compared with another block at once, about.
+BLOCK_SETS = 256
 #: Bits of the filter of wanted sets: 16 for each, at most this many.
 FILTER_BITS = 1 << 26
 
@@ -295,42 +297,78 @@ def _first_words(counted: DataFrame) -> DataFrame:
     )
 
 
-def _similar_sizes(a: str, b: str, similarity: int):
-    return (F.least(a, b) * 100) >= (F.greatest(a, b) * similarity)
-
-
-def _pair(a: str, b: str) -> list:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
-
-
 def _leader_pairs(words: DataFrame, similarity: int) -> DataFrame:
     """Every set with one set of each of its words: the one with the fewest words of its own, the most central."""
     leaders = words.groupBy(F.col("word").alias("w")).agg(
         F.min(F.struct(-F.col("alone"), F.col("sid").alias("leader"), F.col("n").alias("m"))).alias("l"), F.count("*").alias("c")
     )
     met = words.join(leaders.where("c > 1"), F.col("word") == F.col("w")).select("sid", "n", "l.leader", "l.m")
-    return met.where("sid <> leader").where(_similar_sizes("n", "m", similarity)).select(*_pair("sid", "leader")).distinct()
+    fits = F.least("n", "m") * 100 >= F.greatest("n", "m") * similarity
+    pair = (F.least("sid", "leader").alias("a"), F.greatest("sid", "leader").alias("b"), (F.col("n") + F.col("m")).alias("total"))
+    return met.where("sid <> leader").where(fits).select(*pair).distinct()
+
 
+def _open_pairs(words: DataFrame, roots: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """Sets that share a word, are in different components and whose bit sketches are close enough.
 
-def _open_pairs(words: DataFrame, roots: DataFrame, done: DataFrame, similarity: int) -> DataFrame:
-    """Sets that share a word, are in different components and were not compared: sets outside the component that most
-    sets of the word are in, with all others of it."""
+    Of each word the sets outside the component that most of its sets are in are held against all others of it. The sets
+    of a word come in blocks of bounded size, and a pair of blocks is compared at once: only close pairs become rows.
+    """
     named = words.join(roots, F.col("sid") == F.col("node"), "left").select(
         "word", "sid", "n", F.coalesce("root", "sid").alias("root")
     )
-    several = named.groupBy(F.col("word").alias("w")).agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.mode("root", True).alias("main"))
-    several = several.where("r0 <> r1").select("w", "main")
-    mixed = stored(named.join(several, F.col("word") == F.col("w")).drop("w"), "jaccard-mixed")
-    odd = mixed.where("root <> main").select(
-        F.col("word").alias("w"), F.col("sid").alias("other"), F.col("n").alias("m"), F.col("root").alias("other_root")
+    parts = named.groupBy("word", "root").agg(F.count("*").alias("c"))
+    several = parts.groupBy(F.col("word").alias("w")).agg(
+        F.max_by("root", F.struct("c", "root")).alias("main"), F.sum("c").alias("all"), F.count("*").alias("parts")
     )
-    met = mixed.join(odd, F.col("word") == F.col("w")).where("root <> other_root").where(_similar_sizes("n", "m", similarity))
-    return met.select(*_pair("sid", "other")).distinct().join(done, ["a", "b"], "left_anti")
+    block = F.pmod(F.xxhash64("sid"), F.ceil(F.col("all") / BLOCK_SETS))
+    own = F.struct("sid", "n", "root", "bits")
+    held = (
+        named.join(several.where("parts > 1"), F.col("word") == F.col("w"))
+        .join(sets.select(F.col("sid").alias("of"), "bits"), F.col("sid") == F.col("of"))
+        .groupBy("word", block.alias("block"))
+        .agg(F.collect_list(own).alias("sets"), F.collect_list(F.when(F.col("root") != F.col("main"), own)).alias("odd"))
+    )
+    held = stored(held, "jaccard-blocks")
+    odd = held.where(F.size("odd") > 0).select(F.col("word").alias("w"), "odd")
+    pairs = held.select("word", "sets").join(odd, F.col("word") == F.col("w")).select("odd", "sets")
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_close_pairs(odd.as_py(), all_.as_py(), similarity) for odd, all_ in zip(batch["odd"], batch["sets"], strict=True)]
+            a, b = (np.concatenate(c) for c in zip(*found, strict=True))
+            both = np.unique(np.stack((a, b), axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+    return pairs.mapInArrow(close, "a long, b long").distinct()
+
+
+def _close_pairs(odd: list[dict], others: list[dict], similarity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (a < b) of different components, similar sizes and close bit sketches."""
+    width = min(len(s["bits"]) for s in (*odd, *others)) // 8
+
+    def table(sets: list[dict]) -> tuple[np.ndarray, ...]:
+        bits = [np.frombuffer(s["bits"], dtype=np.uint64).reshape(-1, width) for s in sets]
+        folded = np.stack([np.bitwise_xor.reduce(b, axis=0) if len(b) > 1 else b[0] for b in bits])
+        return folded, *(np.array([s[c] for s in sets], dtype=np.int64) for c in ("sid", "n", "root"))
+
+    x, sid, n, root = table(odd)
+    y, sids, m, roots = table(others)
+    a, b = [], []
+    for i in range(len(odd)):
+        fits = np.flatnonzero((roots != root[i]) & (100 * np.minimum(m, n[i]) >= similarity * np.maximum(m, n[i])))
+        if len(fits):
+            away = np.bitwise_count(y[fits] ^ x[i]).sum(axis=1, dtype=np.int64)
+            near = sids[fits[away <= (m[fits] + n[i]) * (100 - similarity) // (100 + similarity)]]
+            a.append(np.minimum(near, sid[i]))
+            b.append(np.maximum(near, sid[i]))
+    none = np.zeros(0, dtype=np.int64)
+    return np.concatenate([none, *a]), np.concatenate([none, *b])
 
 
 def _bits(shingles: np.ndarray) -> np.ndarray:
-    """Bit sketch: parity of the hashes at each of at least 2n positions, a power of two."""
-    size = max(64, 1 << int(2 * len(shingles) - 1).bit_length())
+    """Bit sketch: parity of the hashes at each of at least 8n positions, a power of two."""
+    size = max(64, 1 << int(8 * len(shingles) - 1).bit_length())
     at = mix(shingles + np.uint64(0x2545F4914F6CDD1D)) & np.uint64(size - 1)
     odd = (np.bincount(at.astype(np.int64), minlength=size) & 1).astype(np.uint8)
     return np.packbits(odd, bitorder="little").view(np.uint64)
@@ -378,18 +416,32 @@ def _wanted_sets(documents: DataFrame, sids: DataFrame, width: int) -> DataFrame
     return texts.mapInArrow(made, "sid long, bits binary, shingles binary").join(sids, "sid", "left_semi").dropDuplicates(["sid"])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """The pairs that link: bit sketches first, then the sets themselves."""
+def _with_both(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+    """``a``, ``b`` and the ``column`` of both sets as ``x`` and ``y``."""
+    first = sets.select(F.col("sid").alias("a"), F.col(column).alias("x"))
+    second = sets.select(F.col("sid").alias("b"), F.col(column).alias("y"))
+    return pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y")
+
+
+def _close(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """The pairs (``a``, ``b``, ``total`` of their sizes) whose bit sketches are close enough."""
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, m = np.asarray(batch["n"]), np.asarray(batch["m"])
+            most = np.asarray(batch["total"]) * (100 - similarity) // (100 + similarity)
             keep = [
-                _difference(np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)) <= most
-                for x, y, most in zip(batch["x"].to_pylist(), batch["y"].to_pylist(), (n + m) * (100 - similarity) // (100 + similarity), strict=True)
+                _difference(np.frombuffer(x.as_py(), dtype=np.uint64), np.frombuffer(y.as_py(), dtype=np.uint64)) <= m
+                for x, y, m in zip(batch["x"], batch["y"], most, strict=True)
             ]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    both = _with_both(pairs.select("a", "b"), sets, "bits").join(pairs, ["a", "b"])
+    return both.select("a", "b", "x", "y", "total").mapInArrow(close, "a long, b long")
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """The pairs whose sets are similar."""
+
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -401,15 +453,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
                 keep.append(100 * common >= similarity * (len(a) + len(b) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    def with_both(rows: DataFrame, *columns) -> DataFrame:
-        own = sets.select("sid", *columns)
-        first = own.select(F.col("sid").alias("a"), F.col(own.columns[1]).alias("x"), *(F.col(c).alias("n") for c in own.columns[2:]))
-        second = own.select(F.col("sid").alias("b"), F.col(own.columns[1]).alias("y"), *(F.col(c).alias("m") for c in own.columns[2:]))
-        return rows.join(first, "a").join(second, "b")
-
-    size = (F.octet_length("shingles") / 8).cast("long").alias("n")
-    near = with_both(pairs, "bits", size).select("a", "b", "x", "y", "n", "m").mapInArrow(close, "a long, b long")
-    return with_both(near, "shingles").select("a", "b", "x", "y").mapInArrow(linked, "a long, b long")
+    return _with_both(pairs, sets, "shingles").mapInArrow(linked, "a long, b long")
 
 
 def _groups(documents: DataFrame, similarity: int, width: int) -> tuple[DataFrame, DataFrame]:
@@ -418,10 +462,10 @@ def _groups(documents: DataFrame, similarity: int, width: int) -> tuple[DataFram
     counted = stored(_counted(_sketches(documents, width, Bands.of(similarity), buckets)), "jaccard-words")
     words = stored(_first_words(counted), "jaccard-first")
     sets = stored(_wanted_sets(documents, words.select("sid").distinct(), width), "jaccard-sets")
-    leading = stored(_leader_pairs(words, similarity), "jaccard-pairs")
-    links = stored(_verified(leading, sets, similarity), "jaccard-links")
-    rest = _open_pairs(words, components(links), leading, similarity)
-    links = links.unionByName(_verified(rest, sets, similarity))
+    leading = _close(stored(_leader_pairs(words, similarity), "jaccard-leaders"), sets, similarity)
+    links = stored(_linked(leading, sets, similarity), "jaccard-links")
+    rest = stored(_open_pairs(words, components(links), sets, similarity), "jaccard-pairs")
+    links = links.unionByName(_linked(rest, sets, similarity))
     return counted.where(F.col("kind") == _DOCUMENT).select("doc_id", "sid", "n"), components(links)
 
 
