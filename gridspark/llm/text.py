@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are turned into numpy arrays at once; one longer text makes a piece of its own.
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 19
 #: Words of a shingle, unless an operator says otherwise.
 SHINGLE = 5
 
