@@ -116,7 +116,7 @@ def no_split_text(spec1: str, spec2: str) -> Column:
 def chunk_of(position: Column, spec: int | list[int]) -> Column:
     """Chunk number of a position along one dimension."""
     if isinstance(spec, int):
-        return F.lit(0).cast("bigint") if spec == -1 else F.floor(position / F.lit(spec)).cast("bigint")
+        return F.lit(0).cast("bigint") if spec == -1 else F.call_function("div", position - F.pmod(position, F.lit(spec)), F.lit(spec)).cast("bigint")
     ends, total = [], 0
     for size in spec[:-1]:
         total += size

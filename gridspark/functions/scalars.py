@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gridspark.functions.ieee import ieee_div
+
 
 def slurm_seconds(text: Column) -> Column:
     """Seconds of a batch-system duration: ``M``, ``M:S``, ``H:M:S``, ``D-H``, ``D-H:M`` or ``D-H:M:S``."""
@@ -108,7 +110,7 @@ def all_dims(*orders: Column) -> Column:
 
 def amdahl_speedup(f: Column, c: Column) -> Column:
     """Speedup on ``c`` cores for the serial fraction ``f``."""
-    return F.lit(1.0) / (f + (F.lit(1.0) - f) / c)
+    return ieee_div(F.lit(1.0), f + ieee_div(F.lit(1.0) - f, c))
 
 
 def literal_map(d: Mapping[str, str]) -> Column:

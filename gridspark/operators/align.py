@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridspark.functions.ieee import NAN
-from gridspark.operators.ranks import BOUND, join_columns
 
 
 def merge_fields(frames: Sequence[DataFrame], dims: Sequence[str]) -> DataFrame:
@@ -20,20 +19,16 @@ def merge_fields(frames: Sequence[DataFrame], dims: Sequence[str]) -> DataFrame:
     dims = list(dims)
     merged = reduce(lambda a, b: a.join(b, dims, "full_outer"), frames)
     variables = [c for c in merged.columns if c not in dims]
-    filled = merged.select(*dims, *[F.coalesce(c, F.lit(NAN)).alias(c) for c in variables])
-    for d in dims:
-        bounds = [f.schema[d].metadata.get(BOUND) for f in frames]
-        if None not in bounds:
-            filled = filled.withMetadata(d, {BOUND: max(bounds)})
-    return filled
+    return merged.select(*dims, *[F.coalesce(c, F.lit(NAN)).alias(c) for c in variables])
 
 
-def with_surface(cells: DataFrame, surface: DataFrame, keys: Sequence[str], dim: str = "z") -> DataFrame:
+def with_surface(cells: DataFrame, surface: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Attach lower-dimensional variables to every level of their column.
 
-    No broadcast hint: the surface grows with the grid, so the planner decides by size.
+    No broadcast hint: the surface grows with the grid, so the planner decides by size, and the adaptive skew join
+    splits the cells of a deep column. Columns without a surface row, or with a null key, have no match.
     """
-    return join_columns(cells, surface, keys, dim)
+    return cells.join(surface, list(keys))
 
 
 def align_fields(a: DataFrame, b: DataFrame, dims: Sequence[str]) -> DataFrame:

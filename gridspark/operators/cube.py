@@ -22,6 +22,11 @@ COMBINED = "gridspark.combined"
 # ---------------------------------------------------------------- measurements to cubes
 
 
+def _reduced(df: DataFrame, parts: Sequence[str], reduction: str) -> list[Column]:
+    """The reduced runtime columns; marks such as :data:`COMBINED` stay on them."""
+    return [REDUCTIONS[reduction](F.col(p)).alias(p, metadata=df.schema[p].metadata) for p in parts]
+
+
 def reduce_iterations(
     measurements: DataFrame,
     config: Sequence[str],
@@ -32,7 +37,7 @@ def reduce_iterations(
 ) -> DataFrame:
     """One row per configuration from its timed iterations, without the warm-up one."""
     rows = measurements.filter(F.col(iteration) > 0) if warmup else measurements
-    return rows.groupBy(*config).agg(*[REDUCTIONS[reduction](F.col(p)).alias(p) for p in parts])
+    return rows.groupBy(*config).agg(*_reduced(rows, parts, reduction))
 
 
 def add_options(df: DataFrame, **values: Any) -> DataFrame:
@@ -49,14 +54,15 @@ def config_grid(spark: SparkSession, **values: Any) -> DataFrame:
 
 
 def label_grid(df: DataFrame, dims: Sequence[str]) -> DataFrame:
-    """Every combination of the labels that occur per dimension.
+    """Every combination of the labels that occur per dimension, null labels aside.
 
-    The label lists are the axes of the grid, at most the n-th root of its size; they are gathered with map-side
-    combine and expanded one after the other.
+    The distinct labels of a dimension are found with map-side combine. Grid rows are spread anew before each dimension
+    is added, so that the grid, which is larger than any of its axes, is made by many tasks.
     """
-    grid = df.agg(*[F.collect_set(d).alias(d) for d in dims])
-    for d in dims:
-        grid = grid.withColumn(d, F.explode(d))
+    axes = [df.select(d).where(F.col(d).isNotNull()).distinct() for d in dims]
+    grid = axes[0]
+    for axis in axes[1:]:
+        grid = grid.repartition(*grid.columns).join(axis, how="cross")
     return grid
 
 
@@ -97,7 +103,7 @@ def create_cores_dimension(
     rest = [d for d in dims if d not in contributors]
     product = reduce(Column.__mul__, [F.col(c) for c in contributors]).cast("bigint")
     keyed = results.withColumn(cores, product)
-    return keyed.groupBy(*rest, cores).agg(*[REDUCTIONS[reduction](F.col(p)).alias(p) for p in parts])
+    return keyed.groupBy(*rest, cores).agg(*_reduced(keyed, parts, reduction))
 
 
 # ---------------------------------------------------------------- labels and runtime columns
@@ -114,9 +120,11 @@ def rename_labels(results: DataFrame, renames: Mapping[str, Mapping[Any, Any] |
                 raise ValueError(f"{len(spec)} new labels given for another number of labels of {dim}")
             spec = dict(zip(found, spec))
         if spec:
-            same_type = type(next(iter(spec)))is type(next(iter(spec.values())))
+            # one label of another type makes all labels text
+            same_type = len({type(x) for kv in spec.items() for x in kv}) == 1
             c = F.col(dim) if same_type else F.col(dim).cast("string")
-            mapping = F.create_map(*[F.lit(x) for kv in spec.items() for x in kv])
+            pairs = spec if same_type else {k: str(v) for k, v in spec.items()}
+            mapping = F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
             out = out.withColumn(dim, F.coalesce(F.try_element_at(mapping, F.col(dim)), c))
     return out
 
@@ -152,7 +160,7 @@ def plain_parts(results: DataFrame, parts: Sequence[str]) -> list[str]:
 
 def marginal(results: DataFrame, main: str, dim: str, parts: Sequence[str], reduction: str = "nanmin") -> DataFrame:
     """Reduce all dimensions but ``main`` and ``dim``."""
-    return results.groupBy(main, dim).agg(*[REDUCTIONS[reduction](F.col(p)).alias(p) for p in parts])
+    return results.groupBy(main, dim).agg(*_reduced(results, parts, reduction))
 
 
 def marginal_sets(
@@ -162,7 +170,7 @@ def marginal_sets(
     sets = [[F.col(main), F.col(d)] for d in dims]
     grouped = results.groupingSets(sets, F.col(main), *[F.col(d) for d in dims]).agg(
         *[F.grouping(d).alias(f"_g_{d}") for d in dims],
-        *[REDUCTIONS[reduction](F.col(p)).alias(p) for p in parts],
+        *_reduced(results, parts, reduction),
     )
     name, label = F.lit(None).cast("string"), F.lit(None).cast("string")
     for d in dims:
@@ -210,17 +218,24 @@ def speedup(
     return joined.select(*series, dim, ieee_div(F.col("base_runtime"), F.col(part)).alias("speedup"))
 
 
-def relative_runtime(results: DataFrame, main: str, dim: str, part: str, reference: Any) -> DataFrame:
-    """Runtime over the runtime of the reference label at the same position of ``dim``."""
-    ref = results.filter(F.col(main) == reference).groupBy(dim).agg(F.min(part).alias("_ref"))
+def relative_runtime(results: DataFrame, main: str, dim: str, part: str, reference: Any = None) -> DataFrame:
+    """Runtime over the runtime of the reference label at the same position of ``dim``.
+
+    The reference is the first label unless given. With one label only there is nothing to compare with, and runtimes
+    stay as they are.
+    """
+    first = results.agg(F.min(main)).scalar()
+    alone = results.agg(F.min(main) == F.max(main)).scalar()
+    ref = results.filter(F.col(main) == (first if reference is None else F.lit(reference))).groupBy(dim).agg(F.min(part).alias("_ref"))
     joined = results.select(main, dim, part).join(ref, dim, "left")
-    return joined.select(main, dim, ieee_div(F.col(part), F.col("_ref")).alias("relative"))
+    relative = F.when(alone, F.col(part)).otherwise(ieee_div(F.col(part), F.col("_ref")))
+    return joined.select(main, dim, relative.alias("relative"))
 
 
 def linear_baseline(results: DataFrame, dim: str) -> DataFrame:
     """Perfect scaling: each tick over the first one."""
     first = results.agg(F.min(dim)).scalar()
-    return results.select(dim).distinct().select(dim, (F.col(dim) / first).alias("linear"))
+    return results.select(dim).distinct().select(dim, ieee_div(F.col(dim), first).alias("linear"))
 
 
 def runtime_shares(results: DataFrame, keys: Sequence[str], parts: Sequence[str]) -> DataFrame:

@@ -18,13 +18,38 @@ def with_chunks(cells: DataFrame, chunks: Mapping[str, int | list[int]]) -> Data
     return cells.withColumns({f"chunk_{d}": ch.chunk_of(F.col(d), spec) for d, spec in chunks.items()})
 
 
-def rechunk(cells: DataFrame, chunks: Mapping[str, int | list[int]], current: Mapping | None = None) -> DataFrame:
-    """Place the cells of a chunk together, for storage; skipped if ``current`` is the same chunking.
+def same_chunks(first: int | list[int] | str | None, second: int | list[int] | str | None, size: int | None = None) -> bool:
+    """Whether two specifications of one dimension give the same chunks; ``None`` and ``auto`` match anything.
+
+    With the dimension's ``size``, lists and numbers compare as well, as do ``-1`` and numbers of at least the size.
+    """
+    if any(s is None or s == "auto" for s in (first, second)):
+        return True
+
+    def listed(spec: int | list[int]) -> list[int] | int:
+        if isinstance(spec, (list, tuple)):
+            return list(spec)
+        if size is None:
+            return spec
+        step = size if spec == -1 else spec
+        return [min(step, size - s) for s in range(0, size, step)] if size else []
+
+    return listed(first) == listed(second)
+
+
+def rechunk(
+    cells: DataFrame,
+    chunks: Mapping[str, int | list[int]],
+    current: Mapping | None = None,
+    sizes: Mapping[str, int] | None = None,
+) -> DataFrame:
+    """Place the cells of a chunk together, for storage; skipped if ``current`` gives the same chunks in every dimension
+    (of the given ``sizes``, if known).
 
     ``rebalance`` lets the adaptive planner split an oversized chunk over several tasks and join small ones.
     """
     out = with_chunks(cells, chunks)
-    if current is not None and dict(current) == dict(chunks):
+    if current is not None and all(d in current and same_chunks(s, current[d], (sizes or {}).get(d)) for d, s in chunks.items()):
         return out
     return out.hint("rebalance", *[f"chunk_{d}" for d in chunks])
 
@@ -37,7 +62,8 @@ def explode_chunks(layouts: DataFrame, keys: Sequence[str], spec: Column, dim_si
     zero, block = F.lit(0).cast("bigint"), F.lit(NUMBERS_PER_BLOCK).cast("bigint")
     step = F.when(spec == -1, dim_size).otherwise(spec).cast("bigint")
     last = ch.chunk_count(spec, dim_size) - 1
-    blocks = layouts.filter(spec.isNotNull()).select(
+    # a dimension of size 0 has no chunks
+    blocks = layouts.filter(spec.isNotNull() & (last >= 0) & (dim_size > 0)).select(
         *keys,
         step.alias("_step"),
         dim_size.cast("bigint").alias("_size"),

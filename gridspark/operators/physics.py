@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridspark.functions import physics as phys
-from gridspark.operators.ranks import levels_bounded, small, with_group_stats
-from gridspark.session import materialize, max_group_rows
+from gridspark.operators.ranks import ROWS, across_segments, highest, segments, with_group_stats
+from gridspark.session import materialize
 
 THETAV_INPUTS = ("p", "t", "qv")
 BRN_INPUTS = ("p", "t", "qv", "u", "v", "hhl", "hsurf")
@@ -65,45 +65,51 @@ def thetav_arrow(cells: DataFrame, dims: Sequence[str], name: str = "thetav") ->
 
 def level_count(cells: DataFrame, keys: Sequence[str], name: str = "levels") -> DataFrame:
     """Number of levels from ``z`` to the last one."""
-    counted = with_group_stats(cells.select(*keys, "z"), keys, "z", {"_n": F.count("*")})
+    counted = with_group_stats(cells.select(*keys, "z"), keys, "z", {"_n": ROWS})
     return counted.select(*keys, "z", (F.col("_n") - F.col("z")).cast("bigint").alias(name))
 
 
 def last_level_anomaly(cells: DataFrame, variable: Column, keys: Sequence[str], name: str = "anomaly") -> DataFrame:
     """Difference from the value at the last level of the column."""
     values = cells.select(*keys, "z", variable.alias("_v"))
-    joined = with_group_stats(values, keys, "z", {"_last": F.max_by("_v", "z")})
-    return joined.select(*keys, "z", (F.col("_v") - F.col("_last")).alias(name))
+    joined = with_group_stats(values, keys, "z", {"_last": highest(lambda r: F.struct(r["z"], r["_v"]))})
+    return joined.select(*keys, "z", (F.col("_v") - F.col("_last._v")).alias(name))
 
 
 def wind_and_height(cells: DataFrame, dims: Sequence[str]) -> DataFrame:
     return cells.select(*dims, _wind().alias("wind_sq"), (F.col("hhl") - F.col("hsurf")).alias("height"))
 
 
-def _suffix_sums(values: DataFrame, keys: Sequence[str], segment: int) -> DataFrame:
-    """Sum of ``_v`` from each level to the last one, with the column's depth and last value.
-
-    Columns of any depth: running sums inside segments of ``segment`` levels plus one carry per segment, so no task
-    sees more than a segment (or one row per segment) of a column.
-    """
-    keys = list(keys)
-    cut = values.withColumn("_seg", F.floor(F.col("z") / segment))
-    totals = cut.groupBy(*keys, "_seg").agg(
-        F.sum("_v").alias("_sum"), F.count("*").alias("_rows"), F.max_by("_v", "z").alias("_top")
+def _with_carry(values: DataFrame, keys: Sequence[str], segment: int | None) -> DataFrame:
+    """Segments of the columns with the sum of ``_v`` over later segments (``_carry``), the column's depth ``_n`` and
+    its last value ``_last``. Cells are gathered once; one row per segment crosses segments."""
+    held = segments(values, keys, "z", segment)
+    held = held.select(
+        "_k",
+        "_seg",
+        "_rows",
+        F.aggregate(F.transform("_rows", lambda r: r["_v"]), F.lit(0.0), lambda a, v: a + v).alias("_sum"),
+        F.size("_rows").cast("bigint").alias("_c"),
+        F.element_at("_rows", -1)["_v"].alias("_top"),
     )
-    column = Window.partitionBy(*keys)
+    column = Window.partitionBy("_k")
     after = column.orderBy("_seg").rowsBetween(1, Window.unboundedFollowing)
-    totals = totals.select(
-        *keys,
-        "_seg",
-        F.coalesce(F.sum("_sum").over(after), F.lit(0.0)).alias("_carry"),
-        F.sum("_rows").over(column).alias("_n"),
-        F.max_by("_top", "_seg").over(column).alias("_last"),
+    return across_segments(
+        held,
+        {
+            "_carry": F.coalesce(F.sum("_sum").over(after), F.lit(0.0)),
+            "_n": F.sum("_c").over(column),
+            "_last": F.max(F.struct("_seg", "_top")).over(column)["_top"],
+        },
     )
-    inside = Window.partitionBy(*keys, "_seg").orderBy(F.desc("z"))
-    run = cut.withColumn("_run", F.sum("_v").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    joined = run.join(totals, [*keys, "_seg"])
-    return joined.withColumn("_suffix", F.col("_run") + F.col("_carry")).drop("_seg", "_run", "_carry")
+
+
+def _window_sums(held: DataFrame) -> DataFrame:
+    """Cells of the segments with ``_suffix``, the sum of ``_v`` from the cell to the last level, by a window inside the
+    segment, whose rows are together already."""
+    cells = held.select("_k", "_seg", "_carry", "_n", "_last", F.inline("_rows"))
+    inside = Window.partitionBy("_k", "_seg").orderBy(F.desc("z")).rowsBetween(Window.unboundedPreceding, 0)
+    return cells.withColumn("_suffix", F.sum("_v").over(inside) + F.col("_carry"))
 
 
 def vertical_cumsum_rev(
@@ -113,17 +119,7 @@ def vertical_cumsum_rev(
 
     Emitting each suffix sum under its mirrored position needs no join back.
     """
-    values = cells.select(*keys, "z", variable.alias("_v"))
-    if segment is None and levels_bounded(values, "z"):
-        column = Window.partitionBy(*keys)
-        down = column.orderBy(F.desc("z"))
-        sums = values.select(
-            *keys,
-            (F.row_number().over(down) - 1).cast("bigint").alias("z"),
-            F.sum("_v").over(down.rowsBetween(Window.unboundedPreceding, 0)).alias(name),
-        )
-        return sums
-    sums = _suffix_sums(values, keys, segment or max_group_rows(cells.sparkSession))
+    sums = _window_sums(_with_carry(cells.select(*keys, "z", variable.alias("_v")), keys, segment))
     return sums.select(*keys, (F.col("_n") - 1 - F.col("z")).cast("bigint").alias("z"), F.col("_suffix").alias(name))
 
 
@@ -140,6 +136,18 @@ def _brn_value() -> Column:
     return phys.richardson(F.col("_h"), anomaly, levels, F.col("_s"), F.col("_w")).alias("brn")
 
 
+def _brn_of_sums(summed: DataFrame, keys: Sequence[str], aligned: bool, carry: Sequence[str]) -> DataFrame:
+    """The mirrored sum comes from a window over the pair of levels ``z`` and ``n - 1 - z``, two rows each."""
+    if aligned:
+        picked = summed.withColumn("_s", F.col("_suffix"))
+    else:
+        paired = summed.withColumn("_pair", F.least(F.col("z"), F.col("_n") - 1 - F.col("z")))
+        pair = Window.partitionBy("_k", "_pair").orderBy("z")
+        mirrored = F.coalesce(F.lead("_suffix").over(pair), F.lag("_suffix").over(pair), F.col("_suffix"))
+        picked = paired.withColumn("_s", mirrored)
+    return picked.select(*keys, "z", *carry, _brn_value())
+
+
 def brn_segmented(
     cells: DataFrame,
     keys: Sequence[str],
@@ -147,36 +155,12 @@ def brn_segmented(
     carry: Sequence[str] = (),
     segment: int | None = None,
 ) -> DataFrame:
-    """Columns of any depth: segment sums, then a join of each level with its mirrored one on (column, level)."""
-    keys = list(keys)
-    parts = _brn_parts(cells, keys, carry)
-    sums = _suffix_sums(parts, keys, segment or max_group_rows(cells.sparkSession))
-    if not aligned:
-        mirrored = sums.select(
-            *keys, (F.col("_n") - 1 - F.col("z")).cast("bigint").alias("z"), F.col("_suffix").alias("_s")
-        )
-        sums = sums.drop("_suffix").join(mirrored, [*keys, "z"])
-    else:
-        sums = sums.withColumnRenamed("_suffix", "_s")
-    return sums.select(*keys, "z", *carry, _brn_value())
+    """Windows inside segments of a column; columns named in ``carry`` are passed through.
 
-
-def _or_segmented(
-    cells: DataFrame,
-    keys: Sequence[str],
-    aligned: bool,
-    short: Callable,
-    limit: int | None = None,
-    carry: Sequence[str] = (),
-) -> DataFrame:
-    """Apply ``short`` to columns of at most ``limit`` levels and the segmented form to deeper ones."""
-    limit = limit or max_group_rows(cells.sparkSession)
-    if levels_bounded(cells, "z", limit):
-        return short(cells)
-    keys = list(keys)
-    deep = small(materialize(cells.filter(F.col("z") >= limit).select(*keys).distinct(), "deep-columns"))
-    rest = short(cells.join(deep, keys, "left_anti"))
-    return rest.unionByName(brn_segmented(cells.join(deep, keys, "left_semi"), keys, aligned, carry))
+    Cells are exchanged twice, by segment and by pair of mirrored levels, for columns of any depth.
+    """
+    held = _with_carry(_brn_parts(cells, keys, carry), keys, segment)
+    return _brn_of_sums(_window_sums(held), keys, aligned, carry)
 
 
 def to_profiles(cells: DataFrame, keys: Sequence[str], variables: Sequence[str], surface: Sequence[str] = ()) -> DataFrame:
@@ -226,122 +210,70 @@ def brn_of_profiles(profiles: DataFrame, carry: Sequence[str], aligned: bool = F
     return with_sums.select(*carry, F.transform(zipped, at_level).alias("brn"))
 
 
-#: Deepest column of the array form, whose running sum copies its array at each level.
-PROFILE_LEVELS = 2048
-
-
-def brn_profile(cells: DataFrame, keys: Sequence[str], aligned: bool = False) -> DataFrame:
-    """Collect short columns into arrays and compute with array functions."""
-
-    def short(part: DataFrame) -> DataFrame:
-        profiles = to_profiles(part, keys, ("p", "t", "qv", "u", "v", "hhl"), ("hsurf",))
-        return from_profiles(brn_of_profiles(profiles, keys, aligned), keys, "brn")
-
-    return _or_segmented(cells, keys, aligned, short, min(PROFILE_LEVELS, max_group_rows(cells.sparkSession)))
+def brn_profile(
+    cells: DataFrame, keys: Sequence[str], aligned: bool = False, carry: Sequence[str] = ()
+) -> DataFrame:
+    """Running sums by array functions on the segments' rows."""
+    held = _with_carry(_brn_parts(cells, keys, carry), keys, None)
+    sums = F.reverse(_reverse_cumsum(F.transform("_rows", lambda r: r["_v"])))
+    rows = F.arrays_zip(F.col("_rows"), sums.alias("_run"))
+    each = held.select("_k", "_carry", "_n", "_last", F.explode(rows).alias("_e"))
+    summed = each.select("_k", "_n", "_last", "_e._rows.*", (F.col("_e._run") + F.col("_carry")).alias("_suffix"))
+    return _brn_of_sums(summed, keys, aligned, carry)
 
 
 def brn_windows(
     cells: DataFrame, keys: Sequence[str], aligned: bool = False, carry: Sequence[str] = ()
 ) -> DataFrame:
-    """Windows over the column, one exchange in all; columns named in ``carry`` are passed through.
-
-    The mirrored sum comes from a second window over the pair of levels ``z`` and ``n - 1 - z``: partitioning by
-    column already satisfies it, so only a sort is added and memory stays linear in the depth.
-    """
-
-    def short(part: DataFrame) -> DataFrame:
-        column = Window.partitionBy(*keys)
-        down = column.orderBy(F.desc("z")).rowsBetween(Window.unboundedPreceding, 0)
-        summed = _brn_parts(part, keys, carry).select(
-            "*",
-            F.sum("_v").over(down).alias("_suffix"),
-            F.count("*").over(column).alias("_n"),
-            F.first("_v").over(down).alias("_last"),
-        )
-        if aligned:
-            picked = summed.withColumn("_s", F.col("_suffix"))
-        else:
-            summed = summed.withColumn("_pair", F.least(F.col("z"), F.col("_n") - 1 - F.col("z")))
-            pair = Window.partitionBy(*keys, "_pair").orderBy("z")
-            mirrored = F.coalesce(F.lead("_suffix").over(pair), F.lag("_suffix").over(pair), F.col("_suffix"))
-            picked = summed.withColumn("_s", mirrored)
-        return picked.select(*keys, "z", *carry, _brn_value())
-
-    return _or_segmented(cells, keys, aligned, short, carry=carry)
+    """The default form: :func:`brn_segmented` with segments of the usual size."""
+    return brn_segmented(cells, keys, aligned, carry)
 
 
-def _reverse_sums(starts: np.ndarray, sizes: np.ndarray, theta: np.ndarray, aligned: bool) -> np.ndarray:
-    """Running sums from each column's last level, stored mirrored (or in place if ``aligned``).
-
-    Many short columns advance together level by level; few deep ones are summed one by one.
-    """
+def _segment_sums(starts: np.ndarray, theta: np.ndarray) -> np.ndarray:
+    """Sum from each row to the end of its segment, for segments laid end to end; one pass per level of the deepest."""
+    sizes = np.diff(np.append(starts, len(theta)))
     sums = np.empty_like(theta)
-    depth = int(sizes.max(initial=0))
-    if depth > len(sizes):
-        for s, n in zip(starts, sizes):
-            run = theta[s : s + n][::-1].cumsum()
-            sums[s : s + n] = run[::-1] if aligned else run
-        return sums
     order = np.argsort(-sizes, kind="stable")
-    acc = np.zeros(len(sizes))
+    total = np.zeros(len(sizes))
     ends = starts + sizes - 1
-    for k in range(depth):
+    for k in range(int(sizes.max(initial=0))):
         alive = order[: np.searchsorted(-sizes[order], -k, side="left")]
-        acc[alive] += theta[ends[alive] - k]
-        sums[ends[alive] - k if aligned else starts[alive] + k] = acc[alive]
+        total[alive] += theta[ends[alive] - k]
+        sums[ends[alive] - k] = total[alive]
     return sums
 
 
-def _block_brn(starts: np.ndarray, theta: np.ndarray, height: np.ndarray, wind: np.ndarray, aligned: bool) -> np.ndarray:
-    """Richardson number of whole columns laid end to end; ``starts`` marks each column's first level."""
-    sizes = np.diff(np.append(starts, len(theta)))
-    first = np.repeat(starts, sizes)
-    depth = np.repeat(sizes, sizes)
-    level = np.arange(len(theta)) - first
-    last = first + depth - 1
-    with np.errstate(all="ignore"):
-        sums = _reverse_sums(starts, sizes, theta, aligned)
-        return phys.GRAVITY * height * (theta - theta[last]) * (depth - level) / (sums * wind)
-
-
-def brn_arrow(cells: DataFrame, keys: Sequence[str], aligned: bool = False) -> DataFrame:
-    """Arrow batches of whole columns: partition by column, sort by level, compute many columns per NumPy call."""
-    keys = list(keys)
-
-    def short(part: DataFrame) -> DataFrame:
-        inputs = part.select(*keys, "z", *BRN_INPUTS).repartition(*keys).sortWithinPartitions(*keys, "z")
-        schema = T.StructType([*[inputs.schema[k] for k in (*keys, "z")], T.StructField("brn", T.DoubleType())])
-
-        def compute(table: pa.RecordBatch) -> pa.RecordBatch:
-            v = {c: table.column(c).to_numpy(zero_copy_only=False) for c in ("z", *BRN_INPUTS)}
-            starts = np.flatnonzero(v["z"] == 0)
-            theta = _block_thetav(v["p"], v["t"], v["qv"])
-            wind = v["u"] * v["u"] + v["v"] * v["v"]
-            out = _block_brn(starts, theta, v["hhl"] - v["hsurf"], wind, aligned)
-            names = [*keys, "z", "brn"]
-            return pa.RecordBatch.from_arrays([*[table.column(c) for c in names[:-1]], pa.array(out)], names=names)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held: list[pa.RecordBatch] = []  # a column that continues in the next batch
-            for b in batches:
-                if b.num_rows == 0:
-                    continue
-                z = b.column("z").to_numpy(zero_copy_only=False)
-                tops = np.flatnonzero(z == 0)
-                if len(tops) == 0:
-                    held.append(b)
-                    continue
-                cut = int(tops[-1])
-                done = [*held, b.slice(0, cut)] if cut else held
-                if done:
-                    yield compute(pa.concat_batches(done))
-                held = [b.slice(cut)]
-            if held:
-                yield compute(pa.concat_batches(held))
-
-        return inputs.mapInArrow(run, schema)
-
-    return _or_segmented(cells, keys, aligned, short)
+def brn_arrow(
+    cells: DataFrame, keys: Sequence[str], aligned: bool = False, carry: Sequence[str] = ()
+) -> DataFrame:
+    """Arrow batches of the segments' rows: many segments are summed per NumPy call."""
+    held = _with_carry(_brn_parts(cells, keys, carry), keys, None)
+    placed = held.select("_k", "_carry", "_n", "_last", F.posexplode("_rows").alias("_i", "_r"))
+    inputs = placed.select("_i", "_k", "_n", "_last", "_carry", "_r.*")
+    schema = T.StructType([*inputs.schema.fields, T.StructField("_suffix", T.DoubleType())])
+
+    def compute(table: pa.RecordBatch) -> pa.RecordBatch:
+        position, theta, later = (table.column(c).to_numpy(zero_copy_only=False) for c in ("_i", "_v", "_carry"))
+        with np.errstate(all="ignore"):
+            sums = _segment_sums(np.flatnonzero(position == 0), theta) + later
+        return pa.RecordBatch.from_arrays([*table.columns, pa.array(sums)], names=[*table.schema.names, "_suffix"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.RecordBatch] = []  # a segment that continues in the next batch
+        for b in batches:
+            tops = np.flatnonzero(b.column("_i").to_numpy(zero_copy_only=False) == 0)
+            if len(tops) == 0:
+                rest.append(b)
+                continue
+            cut = int(tops[-1])
+            done = [*rest, b.slice(0, cut)] if cut else rest
+            if done:
+                yield compute(pa.concat_batches(done))
+            rest = [b.slice(cut)]
+        if rest:
+            yield compute(pa.concat_batches(rest))
+
+    return _brn_of_sums(inputs.mapInArrow(run, schema), keys, aligned, carry)
 
 
 #: Default implementation and all variants by name.

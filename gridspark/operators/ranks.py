@@ -1,174 +1,93 @@
-"""Positions and running sums inside groups, without putting a large group into one task.
+"""Positions, statistics and running sums inside groups of any size, without putting a group into one task.
 
-Groups up to ``max_group_rows`` rows use an ordinary window. Larger groups are spread over range partitions (ranks)
-or level segments (running sums); what crosses a partition is one carry row per (group, segment).
+A group is cut into segments along its order. Cells are gathered by (group, segment); what one segment has to know of
+the others is one row per segment, which a window over the group's segments computes and an equi-join hands back. Every
+table takes the same route, whatever its size. Groups are compared as structs, so a group whose key is null is one too.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from collections.abc import Callable, Mapping, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridspark.session import materialize, max_group_rows
+#: Levels of a segment of a column.
+SEGMENT = 1 << 10
 
-#: Column metadata of a position column: no group has more rows than this.
-BOUND = "gridspark.bound"
 
+class Stat(NamedTuple):
+    """A statistic of a group: of the rows of one segment (an array of structs), then across the segments."""
 
-#: A key list up to this many rows is sent to every executor.
-BROADCAST_ROWS = 1_000_000
+    within: Callable[[Column], Column]
+    across: Callable[[Column], Column]
 
-#: Copies of one row are numbered in runs of this length.
-COPIES_PER_RUN = 1 << 16
 
+def highest(value: Callable[[Column], Column]) -> Stat:
+    """Largest value of an expression on the rows; nulls are passed over. A struct compares field by field."""
+    return Stat(lambda rows: F.array_max(F.transform(rows, value)), F.max)
 
-@dataclass(frozen=True)
-class Split:
-    """Rows of ordinary groups, rows of oversized groups (None if there are none) and those groups' sizes."""
 
-    light: DataFrame
-    heavy: DataFrame | None
-    heavy_sizes: DataFrame | None
+#: Number of rows.
+ROWS = Stat(lambda rows: F.size(rows).cast("bigint"), F.sum)
 
 
-def small(stored: DataFrame) -> DataFrame:
-    """Mark a stored table for broadcast if its row count allows; otherwise the planner decides."""
-    return F.broadcast(stored) if stored.count() <= BROADCAST_ROWS else stored
+def group_of(keys: Sequence[str]) -> Column:
+    return F.struct(*keys)
 
 
-def split_heavy(df: DataFrame, keys: Sequence[str]) -> Split:
-    """Separate the groups that are too large for one task.
+def segment_of(dim: str, size: int | None = None) -> Column:
+    """Segment of a position; a missing one has its own."""
+    return F.coalesce(F.floor(F.col(dim) / F.lit(size or SEGMENT)).cast("bigint"), F.lit(-1).cast("bigint"))
 
-    Counting a bare Parquet scan needs no column data; the per-group count runs only for tables that could hold an
-    oversized group, reads the key columns and combines on the map side. The list of oversized groups has at most
-    rows / ``max_group_rows`` entries; it is stored, counted and broadcast if small, so that rows of a hot group are
-    told apart without gathering them.
-    """
-    limit = max_group_rows(df.sparkSession)
-    if df.count() <= limit:
-        return Split(df, None, None)
-    keys = list(keys)
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > limit)
-    sizes = materialize(sizes, "heavy-keys")
-    if sizes.isEmpty():
-        return Split(df, None, None)
-    names = small(sizes.select(*keys))
-    return Split(df.join(names, keys, "left_anti"), df.join(names, keys, "left_semi"), sizes)
-
-
-def positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, count: str | None = None) -> DataFrame:
-    """0-based position of each row in its group; for groups that one task may sort."""
-    by_key = Window.partitionBy(*keys)
-    pos = (F.row_number().over(by_key.orderBy(*order)) - 1).cast("bigint")
-    out = df.withColumn(name, pos.alias(name, metadata={BOUND: max_group_rows(df.sparkSession)}))
-    return out if count is None else out.withColumn(count, F.count("*").over(by_key).cast("bigint"))
-
-
-def heavy_positions(
-    split: Split, keys: Sequence[str], order: Sequence[str], name: str, count: str | None = None
-) -> DataFrame:
-    """As :func:`positions` for the oversized groups of ``split``.
 
-    Equal rows are counted first (on the map side), so copies weigh nothing. One range shuffle on (keys, order,
-    remaining columns) spreads the distinct rows of a group over many tasks. They are numbered and written once; as
-    their order is total, a retried task numbers them alike. A row's position is the number of rows before it in its
-    range partition plus the rows of the group in earlier partitions.
-    """
-    keys, order = list(keys), list(order)
-    limit = max_group_rows(split.heavy.sparkSession)
-    total = split.heavy_sizes.agg(F.sum("_rows")).first()[0]
-    parts = max(2, -(-2 * total // limit))
-    columns = split.heavy.columns
-    sort = [*keys, *order, *[c for c in columns if c not in keys and c not in order]]
-    numbered = (
-        split.heavy.groupBy(*columns)
-        .agg(F.count("*").alias("_copies"))
-        .repartitionByRange(int(parts), *sort)
-        .sortWithinPartitions(*sort)
-        .withColumn("_id", F.monotonically_increasing_id())
-    )
-    numbered = materialize(numbered, "numbered").withColumn("_seg", F.shiftright("_id", 33))
-    group = Window.partitionBy(*keys)
-    earlier = group.orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
-    segments = numbered.groupBy(*keys, "_seg").agg(F.sum("_copies").alias("_n")).select(
-        *keys,
-        "_seg",
-        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
-        F.sum("_n").over(group).cast("bigint").alias("_size"),
-    )
-    inside = Window.partitionBy(*keys, "_seg").orderBy("_id").rowsBetween(Window.unboundedPreceding, 0)
-    placed = numbered.withColumn("_run", F.sum("_copies").over(inside)).join(segments, [*keys, "_seg"])
-    placed = placed.withColumn("_first", (F.col("_before") + F.col("_run") - F.col("_copies")).cast("bigint"))
-    out = _number_copies(placed, keys, name)
-    return out.select(*columns, name, *([] if count is None else [F.col("_size").alias(count)]))
-
-
-def _number_copies(placed: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """One row per copy, numbered from ``_first``; long runs of copies are spread over tasks."""
-    last = F.col("_first") + F.col("_copies") - 1
-    run = F.lit(COPIES_PER_RUN).cast("bigint")
-    few = placed.filter(F.col("_copies") <= run).withColumn(name, F.explode(F.sequence("_first", last)))
-    many = placed.filter(F.col("_copies") > run).withColumn("_from", F.explode(F.sequence(F.col("_first"), last, run)))
-    many = many.repartition(*keys, "_from").withColumn(
-        name, F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + run - 1, last)))
-    )
-    return few.unionByName(many.drop("_from"))
+def segments(df: DataFrame, keys: Sequence[str], dim: str, size: int | None = None) -> DataFrame:
+    """One row per (group ``_k``, segment ``_seg``) with its rows ``_rows``, in the order of ``dim``."""
+    rest = [c for c in df.columns if c != dim]
+    rows = F.sort_array(F.collect_list(F.struct(dim, *rest))).alias("_rows")
+    return df.groupBy(group_of(keys).alias("_k"), segment_of(dim, size).alias("_seg")).agg(rows)
 
 
-def with_positions(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, count: str | None = None
-) -> DataFrame:
-    """0-based position of each row in its group, whatever the group sizes."""
-    split = split_heavy(df, keys)
-    out = positions(split.light, keys, order, name, count)
-    if split.heavy is None:
-        return out
-    return out.unionByName(heavy_positions(split, keys, order, name, count))
+def across_segments(held: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
+    """Attach expressions over the segments of a group (windows over one row per segment) to each segment."""
+    thin = held.drop("_rows").select(F.col("_k").alias("_k2"), F.col("_seg").alias("_seg2"), *[c.alias(n) for n, c in columns.items()])
+    joined = held.join(thin, (F.col("_k") == F.col("_k2")) & (F.col("_seg") == F.col("_seg2")))
+    return joined.select("_k", "_seg", "_rows", *columns)
 
 
-def levels_bounded(df: DataFrame, dim: str, limit: int | None = None) -> bool:
-    """Whether every column along ``dim`` has at most ``limit`` (default ``max_group_rows``) levels.
+def with_group_stats(df: DataFrame, keys: Sequence[str], dim: str, stats: Mapping[str, Stat]) -> DataFrame:
+    """Attach statistics of each row's group."""
+    rows = [F.struct(dim, *[c for c in df.columns if c != dim])]
+    held = df.groupBy(group_of(keys).alias("_k"), segment_of(dim).alias("_seg")).agg(F.collect_list(*rows).alias("_rows"))
+    held = held.select("_k", "_seg", "_rows", *[s.within(F.col("_rows")).alias(f"_s_{n}") for n, s in stats.items()])
+    group = Window.partitionBy("_k")
+    named = across_segments(held, {n: s.across(F.col(f"_s_{n}")).over(group) for n, s in stats.items()})
+    return named.select(F.inline("_rows"), *stats).select(*df.columns, *stats)
 
-    Known from the metadata that :func:`positions` leaves on the dimension column; otherwise one filter on the
-    position, which Parquet statistics answer for nearly all row groups.
-    """
-    limit = limit or max_group_rows(df.sparkSession)
-    known = df.schema[dim].metadata.get(BOUND)
-    if known is not None and known <= limit:
-        return True
-    return df.filter(F.col(dim) >= limit).isEmpty()
 
-
-def join_columns(
-    cells: DataFrame, per_column: DataFrame, keys: Sequence[str], dim: str, limit: int | None = None
-) -> DataFrame:
-    """Attach one row per column to the column's cells.
-
-    A plain join if columns are short. Otherwise cells beyond ``limit`` are joined on their own with the few rows of
-    deep columns, so the plain join never sees more than ``limit`` cells of a column.
-    """
-    keys = list(keys)
-    limit = limit or max_group_rows(cells.sparkSession)
-    if dim not in cells.columns or levels_bounded(cells, dim, limit):
-        return cells.join(per_column, keys)
-    below = cells.filter(F.col(dim) < limit).join(per_column, keys)
-    beyond = cells.filter(F.col(dim) >= limit)
-    deep = materialize(beyond.select(*keys).distinct().join(per_column, keys), "deep-columns")
-    return below.unionByName(beyond.join(small(deep), keys).select(*below.columns))
-
-
-def with_group_stats(
-    df: DataFrame, keys: Sequence[str], dim: str, stats: Mapping[str, Column], limit: int | None = None
+def with_positions(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    name: str,
+    count: str | None = None,
+    coarse: Sequence[Column] = (),
 ) -> DataFrame:
-    """Attach aggregates of each row's group, a column of at most ``limit`` levels or not.
+    """0-based position of each row in its group.
 
-    Short columns: a window, which needs a single exchange. Otherwise aggregate with map-side combine and join back.
+    ``coarse`` are expressions that never fall along ``order``: rows that share them form a segment, which is sorted by
+    one task, and segments are counted with map-side combine. Rows that are equal in ``order`` are numbered in any order.
     """
-    if levels_bounded(df, dim, limit):
-        by_key = Window.partitionBy(*keys)
-        return df.select("*", *[agg.over(by_key).alias(n) for n, agg in stats.items()])
-    per_column = df.groupBy(*keys).agg(*[agg.alias(n) for n, agg in stats.items()])
-    return join_columns(df, per_column, keys, dim, limit)
+    segment = F.struct(*coarse) if coarse else F.lit(0)
+    cut = df.select("*", group_of(keys).alias("_k"), segment.alias("_seg"))
+    sizes = cut.groupBy(F.col("_k").alias("_k2"), F.col("_seg").alias("_seg2")).agg(F.count("*").alias("_c"))
+    group = Window.partitionBy("_k2")
+    earlier = group.orderBy("_seg2").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("_c").over(earlier), F.lit(0))
+    carry = sizes.select("_k2", "_seg2", before.alias("_before"), F.sum("_c").over(group).cast("bigint").alias("_size"))
+    inside = Window.partitionBy("_k", "_seg").orderBy(*order)
+    numbered = cut.withColumn("_i", F.row_number().over(inside))
+    joined = numbered.join(carry, (F.col("_k") == F.col("_k2")) & (F.col("_seg") == F.col("_seg2")))
+    position = (F.col("_before") + F.col("_i") - 1).cast("bigint").alias(name)
+    return joined.select(*df.columns, position, *([] if count is None else [F.col("_size").alias(count)]))

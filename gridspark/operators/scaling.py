@@ -7,13 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.functions.ieee import ieee_div
+from gridspark.functions.ieee import NAN, ieee_div
 from gridspark.functions.scalars import amdahl_speedup
 
 
 def lin_reg(df: DataFrame, series: Sequence[str], x: str, y: str) -> DataFrame:
-    """Intercept ``alpha`` and slope ``beta`` of least squares per series (all rows if ``series`` is empty)."""
-    return df.groupBy(*series).agg(F.regr_intercept(y, x).alias("alpha"), F.regr_slope(y, x).alias("beta"))
+    """Intercept ``alpha`` and slope ``beta`` of least squares per series (all rows if ``series`` is empty); NaN where
+    no line is determined."""
+    fits = {"alpha": F.regr_intercept(y, x), "beta": F.regr_slope(y, x)}
+    return df.groupBy(*series).agg(*[F.coalesce(fit, F.lit(NAN)).alias(name) for name, fit in fits.items()])
 
 
 def power_law_fit(df: DataFrame, series: Sequence[str], scale: str, value: str) -> DataFrame:
@@ -38,10 +40,10 @@ def serial_fraction(
         joined = df.join(base, series)
     else:
         joined = df.withColumns({c: base.select(c).scalar() for c in ("base_cores", "base_runtime")})
-    c = F.col(cores) / F.col("base_cores")
-    w = (c - 1) / c
+    c = ieee_div(F.col(cores), F.col("base_cores"))
+    w = ieee_div(c - 1, c)
     return joined.groupBy(*series, "base_runtime").agg(
-        F.sum((F.col(runtime) - F.col("base_runtime") / c) * w).alias("_num"), F.sum(w * w).alias("_den")
+        F.sum((F.col(runtime) - ieee_div(F.col("base_runtime"), c)) * w).alias("_num"), F.sum(w * w).alias("_den")
     ).select(*series, ieee_div(F.col("_num"), F.col("base_runtime") * F.col("_den")).alias("serial"))
 
 
@@ -65,5 +67,5 @@ def scaling_curve(
     grid = fits.join(span, list(series)).select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))
     x = F.col("_x0") + (F.col("_x1") - F.col("_x0")) * F.col("point") / F.lit(points - 1)
     placed = grid.withColumn("x", x)
-    y = amdahl_speedup(F.col("serial"), F.col("x") / F.col("_x0"))
+    y = amdahl_speedup(F.col("serial"), ieee_div(F.col("x"), F.col("_x0")))
     return placed.select(*series, F.col("point").cast("bigint").alias("point"), "x", y.alias("speedup"))

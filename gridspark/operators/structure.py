@@ -10,7 +10,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.operators.ranks import with_group_stats
+from gridspark.operators.ranks import highest, with_group_stats
 
 
 def select_vars(df: DataFrame, dims: Sequence[str], names: Sequence[str]) -> DataFrame:
@@ -39,7 +39,7 @@ def isel(df: DataFrame, dim: str, index: int, group: Sequence[str]) -> DataFrame
         rest = [c for c in df.columns if c not in group]
         last = F.max_by(F.struct(*rest), F.col(dim)).alias("_last")
         return df.groupBy(*group).agg(last).select(*group, "_last.*").select(*df.columns)
-    counted = with_group_stats(df, group, dim, {"_last": F.max(dim)})
+    counted = with_group_stats(df, group, dim, {"_last": highest(lambda r: r[dim])})
     return counted.filter(F.col(dim) == F.col("_last") + (index + 1)).drop("_last")
 
 
@@ -50,31 +50,31 @@ def isel_range(df: DataFrame, dim: str, start: int, stop: int) -> DataFrame:
 
 
 def isel_reverse(df: DataFrame, dim: str, group: Sequence[str]) -> DataFrame:
-    counted = with_group_stats(df, group, dim, {"_last": F.max(dim)})
+    counted = with_group_stats(df, group, dim, {"_last": highest(lambda r: r[dim])})
     return counted.withColumn(dim, F.col("_last") - F.col(dim)).drop("_last")
 
 
 def drop_last(df: DataFrame, dim: str, group: Sequence[str]) -> DataFrame:
     """Remove the last position of each column."""
-    counted = with_group_stats(df, group, dim, {"_last": F.max(dim)})
+    counted = with_group_stats(df, group, dim, {"_last": highest(lambda r: r[dim])})
     return counted.filter(F.col(dim) < F.col("_last")).drop("_last")
 
 
 def adjust_dims(df: DataFrame, have: Sequence[str], want: Sequence[str]) -> DataFrame:
     """Drop dimensions of size 1, add missing ones as position 0 and order the columns.
 
-    Dropping a longer dimension is an error; its extent is read first (from Parquet statistics for a plain scan).
+    Dropping a longer dimension is an error of the query: its extent, one row with map-side combine, is checked as part
+    of the plan.
     """
     surplus = [d for d in have if d not in want]
-    if surplus:
-        ranges = df.agg(*[F.min(d).alias(f"{d}_lo") for d in surplus], *[F.max(d).alias(f"{d}_hi") for d in surplus])
-        row = ranges.first()
-        for d in surplus:
-            if row[f"{d}_lo"] != row[f"{d}_hi"]:
-                raise ValueError(f"cannot drop dimension {d}: its size is larger than 1")
     missing = {d: F.lit(0).cast("bigint") for d in want if d not in have}
     variables = [c for c in df.columns if c not in have]
-    return df.drop(*surplus).withColumns(missing).select(*want, *variables)
+    out = df
+    for d in surplus:
+        longer = df.select((F.coalesce(F.min(d) != F.max(d), F.lit(False))).alias("_l")).select("_l").scalar()
+        problem = F.raise_error(F.lit(f"cannot drop dimension {d}: its size is larger than 1")).cast("boolean")
+        out = out.filter(F.when(longer, problem).otherwise(F.lit(True)))
+    return out.drop(*surplus).withColumns(missing).select(*want, *variables)
 
 
 def drop_coords(df: DataFrame, coords: Sequence[str]) -> DataFrame:

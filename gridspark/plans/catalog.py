@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridspark.functions import chunks as ch
-from gridspark.operators.layout import rechunk
+from gridspark.operators.layout import rechunk, same_chunks
 from gridspark.operators.records import fill_from_record
 from gridspark.operators.structure import drop_coords, transpose
 from gridspark.session import scratch_path
@@ -209,14 +209,17 @@ def impose(
 ) -> DataFrame:
     """Bring a cell table into the form of a version: dimension order, chunks, coordinates.
 
-    The rows of a chunk are placed together first and then sorted inside their partition in dimension order.
+    The rows of a chunk are placed together first and then sorted inside their partition in dimension order. Cells whose
+    ``current`` chunks are the wanted ones stay where they are, with their chunk columns.
     """
     chunks = {d: s for d, s in version.chunks.items() if s is not None and s != "auto"}
     if version.coords is False:
         cells = drop_coords(cells, coords)
     dims = list(version.dim_order) if version.dim_order is not None else []
-    same = current is not None and dict(current) == chunks
-    if chunks and not same:
+    same = current is not None and all(same_chunks(s, current.get(d, -1)) for d, s in chunks.items())
+    if current is not None and same:
+        return cells if not dims else cells.select(*dims, *[c for c in cells.columns if c not in dims])
+    if chunks:
         cells = rechunk(cells, chunks)
         if dims:
             rest = [c for c in cells.columns if c not in dims]
@@ -312,6 +315,12 @@ class FieldStore:
         found = Version(answer["format"], answer["dim_order"], chunks, answer["name"], answer["coords"])
         if found.name != "source":
             cells = self.spark.read.parquet(f"{self.path}/{found.name}")
+            row = self._stored().filter(F.col("name") == found.name).first()
+            have = {d: self._spec(row[f"chunk_{d}"]) for d in self.dims}
+            split = {d: s for d, s in chunks.items() if s != -1}
+            if all(same_chunks(s, have[d]) for d, s in chunks.items()) and all(f"chunk_{d}" in cells.columns for d in split):
+                # chunked alike: no shuffle, and predicates on the chunk columns still prune directories
+                return impose(cells, Version(chunks=chunks, dim_order=found.dim_order), current=have), found
             cells = cells.drop(*[c for c in cells.columns if c.startswith("chunk_")])
             return impose(cells, Version(chunks=chunks, dim_order=found.dim_order)), found
         if not create:

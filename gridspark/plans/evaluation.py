@@ -49,5 +49,5 @@ def evaluate(
         ieee_div(F.col("base_runtime"), F.col(runtime)).alias("speedup"),
         ieee_div(F.col(runtime), F.col("_ref")).alias("relative"),
         "serial",
-        amdahl_speedup(F.col("serial"), F.col(cores) / F.col(f"base_{cores}")).alias("expected"),
+        amdahl_speedup(F.col("serial"), ieee_div(F.col(cores), F.col(f"base_{cores}"))).alias("expected"),
     )

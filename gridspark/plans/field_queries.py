@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +20,8 @@ from gridspark.sources import fields
 KEYS = ["col_id"]
 CELL = ["col_id", "z"]
 
-THETA = "pow(1.0e5 / p, 2.8705e2 / 1.005e3) * t * (1.0e0 + (4.6151e2 / 2.8705e2 - 1.0e0) * qv / (1.0e0 - qv))"
+# Surface pressure 1e5, gas constants 287.05 and 461.51, heat capacity 1005.
+THETA = "pow(1e5 / p, 287.05e0 / 1005e0) * t * (1e0 + (461.51e0 / 287.05e0 - 1e0) * qv / (1e0 - qv))"
 
 GRID = with_views("grid_cells")
 
@@ -86,11 +86,29 @@ def brn_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assembled.select("col_id", "z", *[r6(n, n.lower()) for n in fields.INPUT_NAMES])
 
 
-@query()
+def _hash_steps() -> str:
+    """The position hash of the synthetic fields, one step per key; ``g`` is the hash of the column's level 0."""
+    steps = []
+    for i, (r, g) in enumerate((("x", "x"), ("y", "y"), ("z", "0"), ("1", "1"), ("2", "2"))):
+        mixed = [f"({s} * 48271 + {k} * 16807 + 12345) % 2147483647" for s, k in (("r", r), ("g", g))]
+        steps.append(
+            f"f{i + 1} AS (SELECT x, y, z, (a * a + 1) % 2147483647 AS r, (b * b + 1) % 2147483647 AS g "
+            f"FROM (SELECT x, y, z, {mixed[0]} AS a, {mixed[1]} AS b FROM f{i}))"
+        )
+    return ",\n    ".join(steps)
+
+
+@query(
+    GRID.rstrip()
+    + f""", f0 AS (SELECT x, y, z, CAST(1234 AS BIGINT) AS r, CAST(1234 AS BIGINT) AS g FROM grid_cells),
+    {_hash_steps()}
+    SELECT x, y, z, {", ".join(f"round(r / 2147483647e0 + {i} * 0.1e0, 6) + 0.0e0 AS {n}" for i, n in enumerate(fields.INPUT_NAMES[:-1]))},
+           round(g / 2147483647e0 + 0.6e0, 6) + 0.0e0 AS HSURF FROM f5"""
+)
 def fake_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Synthetic variables on the positions of the derived grid."""
-    cells = fx.grid_cells(spark, sf_dir)
-    return fields.synthetic_fields(cells, ["x", "y", "z"], seed=1234)
+    made = fields.synthetic_fields(fx.grid_cells(spark, sf_dir), ["x", "y", "z"], seed=1234)
+    return made.select("x", "y", "z", *[r6(n, n) for n in fields.INPUT_NAMES])
 
 
 @query(GRID + "SELECT col_id, z, round(t, 6) + 0.0e0 AS t FROM grid_cells")
@@ -316,33 +334,47 @@ def thetav_iterate3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*CELL, r6("thetav", "thetav"))
 
 
-@query(GRID + "SELECT y, z, round(avg(t), 6) + 0.0e0 AS t FROM grid_cells GROUP BY y, z")
+def _with_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grid with NaN temperatures at every seventh position along x."""
+    return fx.grid_cells(spark, sf_dir).withColumn("t", F.when(F.col("x") % 7 == 3, F.lit(float("nan"))).otherwise(F.col("t")))
+
+
+@query(
+    GRID
+    + """SELECT y, z, round(coalesce(avg(CASE WHEN x % 7 <> 3 THEN t END), -1.0e0), 6) + 0.0e0 AS t
+         FROM grid_cells GROUP BY y, z"""
+)
 def avg_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = averages.avg_dim(fx.grid_cells(spark, sf_dir), "t", ["y", "z"])
-    return out.select("y", "z", r6("t", "t"))
+    """NaN is skipped; a mean of nothing else is shown as -1."""
+    out = averages.avg_dim(_with_holes(spark, sf_dir), "t", ["y", "z"])
+    return out.select("y", "z", r6(F.nanvl(F.col("t"), F.lit(-1.0)), "t"))
 
 
 @query(
     GRID
-    + """SELECT y, z, round((avg(CASE WHEN x < 50 THEN t END) + avg(CASE WHEN x >= 50 THEN t END)) / 2, 6) + 0.0e0 AS t
+    + """SELECT y, z, round(coalesce((avg(CASE WHEN x < 50 AND x % 7 <> 3 THEN t END)
+                                     + avg(CASE WHEN x >= 50 AND x % 7 <> 3 THEN t END)) / 2, -1.0e0), 6) + 0.0e0 AS t
          FROM grid_cells GROUP BY y, z"""
 )
 def avg_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = averages.avg_split(fx.grid_cells(spark, sf_dir), "t", "x", 100, ["y", "z"])
-    return out.select("y", "z", r6("t", "t"))
+    out = averages.avg_split(_with_holes(spark, sf_dir), "t", "x", 100, ["y", "z"])
+    return out.select("y", "z", r6(F.nanvl(F.col("t"), F.lit(-1.0)), "t"))
 
 
 @query(
     GRID
     + """SELECT variant, count(*) AS cells, CAST(0 AS BIGINT) AS unmatched, TRUE AS close
-         FROM grid_cells, (VALUES ('brn_arrow'), ('brn_windows'), ('brn_segmented')) AS t(variant) GROUP BY variant"""
+         FROM grid_cells, (VALUES ('brn_arrow'), ('brn_windows'), ('brn_segmented'), ('thetav_arrow')) AS t(variant) GROUP BY variant"""
 )
 def variant_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All implementations of the Richardson number against the profile form."""
+    """All implementations of the Richardson number against the profile form, and those of theta against the first."""
     cells = fx.grid_cells(spark, sf_dir)
     forms = {n: f(cells, KEYS) for n, f in physics.BRN_VARIANTS.items()}
     expected = forms.pop("brn_profile")
     out = parity(expected, forms, CELL, "brn", atol=1e-9, rtol=1e-7)
+    first, *others = physics.THETAV_VARIANTS
+    thetas = {n: physics.THETAV_VARIANTS[n](cells, CELL) for n in others}
+    out = out.unionByName(parity(physics.THETAV_VARIANTS[first](cells, CELL), thetas, CELL, "thetav", atol=1e-9, rtol=1e-7))
     return out.select("variant", "cells", "unmatched", "close")
 
 
@@ -362,13 +394,15 @@ def assign_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     GRID
-    + """SELECT CAST(floor(x / 10) AS BIGINT) AS chunk_x, CAST(floor(y / 25) AS BIGINT) AS chunk_y, count(*) AS cells
-         FROM grid_cells GROUP BY 1, 2"""
+    + """SELECT CAST(floor(x / 10) AS BIGINT) AS chunk_x, CAST(floor(y / 25) AS BIGINT) AS chunk_y, count(*) AS cells,
+                CAST(1 AS BIGINT) AS partitions FROM grid_cells GROUP BY 1, 2"""
 )
 def rechunk(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = fx.grid_cells(spark, sf_dir).select("x", "y", "z", "t")
-    placed = layout.rechunk(cells, {"x": 10, "y": 25})
-    return placed.groupBy("chunk_x", "chunk_y").agg(F.count("*").alias("cells"))
+    placed = layout.rechunk(cells, {"x": 10, "y": 25}).withColumn("place", F.spark_partition_id())
+    return placed.groupBy("chunk_x", "chunk_y").agg(
+        F.count("*").alias("cells"), F.count_distinct("place").alias("partitions")
+    )
 
 
 @query(
@@ -382,7 +416,11 @@ def impose_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("z", "y", "x", "chunk_x", r6("t", "t"))
 
 
-@query()
+@query(
+    GRID
+    + """SELECT CAST(floor(x / 20) AS BIGINT) AS chunk_x, count(*) AS cells, 'by-ten' AS version,
+                round(avg(t), 6) + 0.0e0 AS mean_t FROM grid_cells GROUP BY 1"""
+)
 def add_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Store two versions of the derived grid, ask for a third and read it from the closest stored one."""
     source_version = catalog.Version("grib", "zyx", {"x": -1, "y": -1, "z": -1}, "source", True)
@@ -391,7 +429,7 @@ def add_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     store.add_version(catalog.Version("zarr", "xyz", {"x": 10}, "by-ten", False))
     store.add_version(catalog.Version("netcdf", "zyx", {}, "flat", False))
     found, version = store.get_version(catalog.Version("zarr", "xyz", {"x": 20}, coords=False))
-    return found.groupBy("chunk_x").agg(
+    return found.groupBy(F.col("chunk_x").cast("bigint").alias("chunk_x")).agg(
         F.count("*").alias("cells"), F.lit(version.name).alias("version"), r6(F.avg("t"), "mean_t")
     )
 
@@ -399,22 +437,18 @@ def add_version(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- user functions on blocks
 
 
-def _np_thetav(p: np.ndarray, t: np.ndarray, qv: np.ndarray) -> np.ndarray:
-    return (1.0e5 / p) ** (287.05 / 1005.0) * t * (1.0 + (461.51 / 287.05 - 1.0) * qv / (1.0 - qv))
-
-
 @query(GRID + f"SELECT col_id, z, round({THETA}, 6) + 0.0e0 AS thetav FROM grid_cells")
 def map_blocks_np(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A NumPy function on chunks of many columns; depth is cut too, so a deep column spreads over chunks."""
     chunks = {"col_id": 1024, "z": 1024}
-    out = blocks.map_blocks(_np_thetav, fx.grid_cells(spark, sf_dir), CELL, ["p", "t", "qv"], chunks, "thetav")
+    out = blocks.map_blocks(physics._block_thetav, fx.grid_cells(spark, sf_dir), CELL, ["p", "t", "qv"], chunks, "thetav")
     return out.select(*CELL, r6("thetav", "thetav"))
 
 
 @query(GRID + f"SELECT col_id, z, round({THETA}, 6) + 0.0e0 AS thetav FROM grid_cells")
 def map_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same function on Arrow batches: element-wise, hence without a shuffle."""
-    out = blocks.map_cells(_np_thetav, fx.grid_cells(spark, sf_dir), CELL, ["p", "t", "qv"], "thetav")
+    out = blocks.map_cells(physics._block_thetav, fx.grid_cells(spark, sf_dir), CELL, ["p", "t", "qv"], "thetav")
     return out.select(*CELL, r6("thetav", "thetav"))
 
 

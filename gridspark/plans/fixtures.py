@@ -5,12 +5,13 @@ Each view exists twice: as a DataFrame and as the SQL text used to check it.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridspark.operators.cube import reduce_iterations
-from gridspark.operators.ranks import BOUND, heavy_positions, positions, small, split_heavy, with_positions
-from gridspark.session import materialize
+from gridspark.operators.ranks import with_positions
 
 PARTS = ("full_rt", "input_loading", "compute", "graph_construction", "optimization", "serialization")
 CONFIG = ("impl", "workers", "cores_per_worker")
@@ -37,40 +38,30 @@ def _y(key: str) -> Column:
 def grid_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """3-D fields on ragged columns; one column per order.
 
-    Lines are ranked inside their order and joined with it on the same key, so ordinary orders need one exchange per
-    table. Orders too large for one task are ranked over range partitions instead.
+    Lines are ranked inside segments of their order (line number and range of parts) and then joined with the order.
     """
     lines = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"
     )
     orders = surface(spark, sf_dir).select("col_id", "hsurf")
-    keys = ["l_orderkey"]
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-    split = split_heavy(lines, keys)
-
-    def cells(ranked: DataFrame, ground: DataFrame) -> DataFrame:
-        joined = ranked.join(ground, ranked["l_orderkey"] == ground["col_id"])
-        return joined.select(
-            "col_id",
-            _x("col_id"),
-            _y("col_id"),
-            "z",
-            "n",
-            (F.lit(2.0e4) + F.col("l_extendedprice") * 7.5e-1).alias("p"),
-            (F.lit(2.2e2) + F.col("l_quantity") * 1.6).alias("t"),
-            (F.col("l_discount") * 2.0e-1).alias("qv"),
-            (F.col("l_quantity") - 2.5e1).alias("u"),
-            (F.col("l_tax") * 1.0e2 + 1.0).alias("v"),
-            (F.col("hsurf") + F.lit(5.0e1) * (F.col("n") - F.col("z"))).alias("hhl"),
-            "hsurf",
-        )
-
-    out = cells(positions(split.light, keys, order, "z", "n"), orders)
-    if split.heavy is None:
-        return out
-    few = split.heavy_sizes.select(F.col("l_orderkey").alias("col_id")).join(orders, "col_id")
-    ground = small(materialize(few, "heavy-orders"))
-    return out.unionByName(cells(heavy_positions(split, keys, order, "z", "n"), ground))
+    coarse = [F.col("l_linenumber"), F.floor(F.col("l_partkey") / 1024).alias("parts")]
+    ranked = with_positions(lines, ["l_orderkey"], order, "z", "n", coarse)
+    joined = ranked.join(orders, ranked["l_orderkey"] == orders["col_id"])
+    return joined.select(
+        "col_id",
+        _x("col_id"),
+        _y("col_id"),
+        "z",
+        "n",
+        (F.lit(2.0e4) + F.col("l_extendedprice") * 7.5e-1).alias("p"),
+        (F.lit(2.2e2) + F.col("l_quantity") * 1.6).alias("t"),
+        (F.col("l_discount") * 2.0e-1).alias("qv"),
+        (F.col("l_quantity") - 2.5e1).alias("u"),
+        (F.col("l_tax") * 1.0e2 + 1.0).alias("v"),
+        (F.col("hsurf") + F.lit(5.0e1) * (F.col("n") - F.col("z"))).alias("hhl"),
+        "hsurf",
+    )
 
 
 def surface(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,13 +91,12 @@ def field_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     ground = message("HSURF", "surface", F.lit(0), "hsurf")
     always = F.array(*layers, half)
     once = F.when(F.col("z") == 0, F.array(extra, ground)).otherwise(F.array().cast(MESSAGES))
-    rows = cells.select("col_id", F.inline(F.concat(always, once)))
-    bound = cells.schema["z"].metadata.get(BOUND)
-    return rows if bound is None else rows.withMetadata("level", {BOUND: bound + 1})
+    return cells.select("col_id", F.inline(F.concat(always, once)))
 
 
 def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per timed iteration; iteration 0 is the warm-up. There are few, hence large, configurations."""
+    """One row per timed iteration; iteration 0, the first event of its configuration, is the warm-up and all later ones
+    are iteration 1. The first events are one row per configuration, found with map-side combine."""
     events = table(spark, sf_dir, "events").select(
         "event_id",
         F.col("event_type").alias("impl"),
@@ -115,8 +105,10 @@ def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("cores_per_worker"),
         "value",
     )
-    ranked = with_positions(events, list(CONFIG), ["event_id"], "iteration")
-    return ranked.select(*CONFIG, "iteration", "event_id", *_parts())
+    first = events.groupBy(*[F.col(c).alias(f"_{c}") for c in CONFIG]).agg(F.min("event_id").alias("_first"))
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in CONFIG])
+    iteration = F.when(F.col("event_id") == F.col("_first"), 0).otherwise(1).cast("bigint").alias("iteration")
+    return events.join(first, same).select(*CONFIG, iteration, "event_id", *_parts())
 
 
 def _parts() -> list[Column]:

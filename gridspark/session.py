@@ -2,21 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Groups up to this many rows may be handled by one task; larger ones take a segmented route.
-MAX_GROUP_ROWS = 1 << 20
-
-
-def max_group_rows(spark: SparkSession) -> int:
-    """Rows of one key that a single task may sort (``gridspark.maxGroupRows``)."""
-    return int(spark.conf.get("gridspark.maxGroupRows", str(MAX_GROUP_ROWS)))
-
-
 def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """Single-machine session for tests and ``bench.py``; on a cluster use the session it provides."""
     spark = (
@@ -29,24 +18,19 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+        spark.sparkContext.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/intermediate")
     return spark
 
 
-@cache
-def _local_scratch() -> str:
-    return tempfile.mkdtemp(prefix="gridspark-")
-
-
 def scratch_path(spark: SparkSession, tag: str) -> str:
     """A fresh path for an intermediate table, in the folder that ``spark.checkpoint.dir`` names.
 
-    All executors must see the folder, so a machine-local one is made up only for a local master.
+    All executors must see the folder, so none is made up.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = _local_scratch()
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 

@@ -13,8 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridspark.functions.ieee import NAN
-from gridspark.operators.ranks import with_group_stats
-from gridspark.session import max_group_rows
+from gridspark.operators.ranks import highest, with_group_stats
 
 # Names and level types of the diagnostics' inputs.
 LAYER_FIELDS = ("P", "T", "QV", "U", "V")
@@ -47,10 +46,10 @@ def scan_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
 def load_fields(
     messages: DataFrame, short_names: Sequence[str], dims: Sequence[str], key_filters: Mapping[str, Any] | None = None
 ) -> DataFrame:
-    """Several variables merged on their dimensions, from one scan and one aggregation."""
+    """Several variables merged on their dimensions, from one scan and one aggregation; NaN where one is absent."""
     wanted = messages.filter(_conjunction(key_filters or {})).filter(F.col("short_name").isin(list(short_names)))
     return wanted.groupBy(*dims).agg(
-        *[F.max(F.when(F.col("short_name") == n, F.col("value"))).alias(n) for n in short_names]
+        *[F.coalesce(F.max(F.when(F.col("short_name") == n, F.col("value"))), F.lit(NAN)).alias(n) for n in short_names]
     )
 
 
@@ -78,11 +77,10 @@ def diagnostics_input(messages: DataFrame, keys: Sequence[str], half_levels: Dat
         F.max(F.when(ground, F.col("value"))).alias("_ground"),
     )
     column = {
-        "_last": F.max(F.when(F.col("HHL").isNotNull(), F.col("level"))),
-        "HSURF": F.max("_ground"),
+        "_last": highest(lambda r: F.when(r["HHL"].isNotNull(), r["level"])),
+        "HSURF": highest(lambda r: r["_ground"]),
     }
-    # half levels are one more than the layers of a column
-    placed = with_group_stats(merged, keys, "level", column, max_group_rows(messages.sparkSession) + 1)
+    placed = with_group_stats(merged, keys, "level", column)
     volume = [*LAYER_FIELDS, "HHL"]
     cut = placed.withColumn("HHL", F.when(F.col("level") < F.col("_last"), F.col("HHL")))
     cut = cut.filter(F.coalesce(*volume).isNotNull())
@@ -90,10 +88,21 @@ def diagnostics_input(messages: DataFrame, keys: Sequence[str], half_levels: Dat
     return cut.select(*keys, F.col("level").alias("z"), *filled)
 
 
+#: Modulus and multiplier of the position hash: a Mersenne prime and one of its primitive roots.
+HASH_PRIME = (1 << 31) - 1
+HASH_FACTOR = 48271
+
+
 def uniform(seed: int, *keys: Column) -> Column:
-    """Reproducible value in [0, 1) from the position; unlike ``rand`` it does not depend on partitioning."""
-    bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *keys), 11)
-    return bits.cast("double") / F.lit(float(1 << 53))
+    """Reproducible value in [0, 1) from the position; unlike ``rand`` it does not depend on partitioning.
+
+    Integer arithmetic modulo a prime: each key is added to the state, which is then squared and multiplied.
+    """
+    state = F.lit(seed % HASH_PRIME).cast("bigint")
+    for key in (*keys, F.lit(1), F.lit(2)):
+        state = F.pmod(state * HASH_FACTOR + F.pmod(key.cast("bigint"), F.lit(HASH_PRIME)) * 16807 + 12345, F.lit(HASH_PRIME))
+        state = F.pmod(state * state + 1, F.lit(HASH_PRIME))
+    return state.cast("double") / F.lit(float(HASH_PRIME))
 
 
 def synthetic_fields(

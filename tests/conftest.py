@@ -3,6 +3,7 @@ from __future__ import annotations
 import duckdb
 import pytest
 
+from gridspark.operators import ranks
 from gridspark.session import local_session
 
 SF = "/root/testdata/sf0.001"
@@ -16,11 +17,10 @@ def spark():
 
 
 @pytest.fixture
-def small_groups(spark):
-    """Treat groups of more than 40 rows as too large for one task."""
-    spark.conf.set("gridspark.maxGroupRows", "40")
-    yield 40
-    spark.conf.unset("gridspark.maxGroupRows")
+def small_groups(monkeypatch):
+    """Segments of 8 levels, so that small columns have many of them."""
+    monkeypatch.setattr(ranks, "SEGMENT", 8)
+    return 8
 
 
 @pytest.fixture(scope="session")

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from gridspark.functions import scalars
 from gridspark.functions.ieee import ieee_div
-from gridspark.operators import align, averages, blocks, ranks, structure
+from gridspark.operators import align, averages, blocks, physics, ranks, structure
 from gridspark.session import materialize, scratch_path
 from gridspark.sources import fields
+from tests.conftest import SF
 
 
 def plan(df):
@@ -58,8 +59,8 @@ def test_adjust_dims(spark):
     df = spark.createDataFrame([(0, 3, 1.0), (1, 3, 2.0)], "x int, t int, a double")
     out = structure.adjust_dims(df, ["x", "t"], ["z", "x"])
     assert out.columns == ["z", "x", "a"] and {r.z for r in out.collect()} == {0}
-    with pytest.raises(ValueError):
-        structure.adjust_dims(df, ["x", "t"], ["t"])
+    with pytest.raises(Exception, match="cannot drop dimension x"):
+        structure.adjust_dims(df, ["x", "t"], ["t"]).collect()
 
 
 def test_transpose_sorts_inside_partitions(spark):
@@ -74,6 +75,9 @@ def test_split_mean_of_odd_size(spark):
     df = spark.createDataFrame([(x, 0, float(x * x)) for x in range(5)], "x int, y int, a double")
     assert averages.avg_dim(df, "a", ["y"]).first().a == pytest.approx(6.0)
     assert averages.avg_split(df, "a", "x", 5, ["y"]).first().a == pytest.approx((0.5 + 29 / 3) / 2)
+    holes = df.withColumn("a", F.when(F.col("x") % 2 == 0, F.lit(float("nan"))).otherwise(F.col("a")))
+    assert averages.avg_dim(holes, "a", ["y"]).first().a == pytest.approx(5.0)
+    assert np.isnan(averages.avg_dim(holes.filter("x % 2 = 0"), "a", ["y"]).first().a)
 
 
 def test_map_blocks_sees_whole_sorted_chunks(spark):
@@ -89,34 +93,69 @@ def test_map_blocks_sees_whole_sorted_chunks(spark):
     assert "Exchange" not in plan(blocks.map_cells(lambda a: a, cells, ["x", "z"], ["a"], "b"))
 
 
-def test_ranks_of_large_groups_with_copies(spark, small_groups):
-    rows = [("hot", i % 5) for i in range(300)] + [("copies", 1)] * 200 + [("small", i) for i in range(7)]
+def test_ranks_of_large_groups_with_copies(spark):
+    rows = [("hot", i % 50) for i in range(300)] + [("copies", 1)] * 200 + [("small", i) for i in range(7)]
+    rows += [(None, i) for i in range(30)] + [("small", None)]
     df = spark.createDataFrame(rows, "k string, o int").repartition(5)
-    out = ranks.with_positions(df, ["k"], ["o"], "pos", "n").collect()
-    for key, size in {"hot": 300, "copies": 200, "small": 7}.items():
-        mine = sorted((r.pos, r.o, r.n) for r in out if r.k == key)
-        assert [p for p, _, _ in mine] == list(range(size))
-        assert {n for _, _, n in mine} == {size}
-        assert [o for _, o, _ in mine] == sorted(o for _, o, _ in mine)
-
-
-def test_large_group_is_spread(spark, small_groups):
-    df = spark.range(400).select(F.lit(1).alias("k"), "id")
-    split = ranks.split_heavy(df, ["k"])
-    assert split.heavy is not None and split.light.count() == 0
-    out = ranks.heavy_positions(split, ["k"], ["id"], "pos")
-    assert all(r.pos == r.id for r in out.collect())
-
-
-def test_scratch_follows_the_session(spark, tmp_path):
+    coarse = [F.floor(F.col("o") / 5).alias("fives")]
+    for segments in ((), coarse):
+        out = ranks.with_positions(df, ["k"], ["o"], "pos", "n", segments).collect()
+        for key, size in {"hot": 300, "copies": 200, "small": 8, None: 30}.items():
+            mine = sorted((r.pos, -1 if r.o is None else r.o, r.n) for r in out if r.k == key)
+            assert [p for p, _, _ in mine] == list(range(size))
+            assert {n for _, _, n in mine} == {size}
+            assert [o for _, o, _ in mine] == sorted(o for _, o, _ in mine)
+
+
+def test_groups_with_null_keys_and_negative_zero(spark, small_groups):
+    """A third of all rows in one column, a column without key, and values that grouping must not change."""
+    rows = [(c, z, -0.0 if z % 2 else float(z), {"a": z}) for c, n in ((1, 60), (None, 60), (2, 40)) for z in range(n)]
+    df = spark.createDataFrame(rows, "c int, z long, a double, m map<string,long>")
+    plain = df.drop("m")
+    for out, size in (
+        (structure.isel_reverse(df, "z", ["c"]), 160), (structure.drop_last(df, "z", ["c"]), 157),
+        (structure.isel(df, "z", -2, ["c"]), 3), (physics.level_count(plain, ["c"]), 160),
+        (physics.last_level_anomaly(plain, F.col("a"), ["c"]), 160), (physics.vertical_cumsum_rev(plain, F.col("a"), ["c"]), 160),
+    ):
+        assert out.count() == size
+    back = structure.isel_reverse(df, "z", ["c"]).collect()
+    assert sum(np.signbit(r.a) for r in back) == sum(np.signbit(r[2]) for r in rows)
+    assert {(r.c, r.z, r.m["a"]) for r in back} == {(c, (59 if c != 2 else 39) - z, z) for c, z, _, _ in rows}
+    sums = {(r.c, r.z): r.cumsum for r in physics.vertical_cumsum_rev(plain, F.col("a"), ["c"]).collect()}
+    assert sums[(None, 59)] == sum(z for z in range(0, 60, 2)) and sums[(2, 0)] == 0
+
+
+def jobs_while(spark, action):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("counted", "jobs while a plan is built")
+    try:
+        action()
+        return len(tracker.getJobIdsForGroup("counted"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_plans_are_built_without_jobs(spark):
+    paths = {n: spark.read.parquet(f"{SF}/{n}.parquet") for n in ("lineitem", "orders", "events")}
+    assert len(paths) == 3
+    cells = spark.range(100).select((F.col("id") % 3).alias("c"), F.floor(F.col("id") / 3).alias("z"), F.col("id").cast("double").alias("a"))
+    built = lambda: [
+        structure.isel_reverse(cells, "z", ["c"]), physics.level_count(cells, ["c"]),
+        physics.vertical_cumsum_rev(cells, F.col("a"), ["c"]), ranks.with_positions(cells, ["c"], ["z"], "p", "n"),
+        structure.adjust_dims(cells, ["c", "z"], ["z"]),
+    ]
+    assert jobs_while(spark, built) == 0
+
+
+def test_scratch_follows_the_session(spark):
     def session(shared, master):
         context = SimpleNamespace(getCheckpointDir=lambda: None, master=master)
         return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: shared), sparkContext=context)
 
     assert scratch_path(session("hdfs://shared/", "yarn"), "t").startswith("hdfs://shared/t-")
-    assert scratch_path(session(None, "local[2]"), "t").startswith("/")
-    with pytest.raises(RuntimeError):
-        scratch_path(session(None, "yarn"), "t")
+    for master in ("local[2]", "yarn"):
+        with pytest.raises(RuntimeError):
+            scratch_path(session(None, master), "t")
     assert materialize(spark.range(3), "t").count() == 3
 
 

@@ -174,14 +174,21 @@ def test_reversed_cumsum(spark, segment):
             assert got[(*key, z)] == pytest.approx(run[z], rel=1e-12)
 
 
-def test_flagship_needs_one_exchange(spark):
-    """Windows, pair lookup and projection share the partitioning by column."""
-    cells = fields.synthetic_fields(
-        fields.index_grid(spark, {"x": 4, "y": 4, "z": 8}), CELL, [n.lower() for n in fields.INPUT_NAMES]
-    )
-    df = physics.brn_windows(cells, KEYS)
-    plan = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "simple")
-    assert plan.count("Exchange hashpartitioning") == 1
+def test_flagship_gathers_cells_twice(spark, tmp_path):
+    """Cells are exchanged by segment and by pair of levels; what else is exchanged has one row per segment, and no
+    window orders the cells of a whole column."""
+    grid = fields.index_grid(spark, {"x": 4, "y": 4, "z": 8})
+    fields.synthetic_fields(grid, CELL, [n.lower() for n in fields.INPUT_NAMES]).write.parquet(str(tmp_path / "c"))
+    df = physics.brn(spark.read.parquet(str(tmp_path / "c")), KEYS)
+    df.collect()
+    tree = df._jdf.queryExecution().executedPlan().toString()
+    final = tree.split("+- == Initial Plan ==")[0]
+    assert "Window" in final and "_pair" in final
+    for line in final.splitlines():
+        if "Window [" in line and "_suffix" in line:
+            assert "_seg" in line or "_pair" in line
+    scans = [r for r in final.splitlines() if "FileScan" in r]
+    assert len(scans) == 1, tree
 
 
 def test_parity_reports_a_wrong_variant(spark):
