@@ -309,7 +309,7 @@ def _leader_pairs(words: DataFrame, similarity: int) -> DataFrame:
 
 
 def _open_pairs(words: DataFrame, roots: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """Sets that share a word, are in different components and whose bit sketches are close enough.
+    """Sets that share a word, are in different components and whose brief bit sketches are close enough.
 
     Of each word the sets outside the component that most of its sets are in are held against all others of it. The sets
     of a word come in blocks of bounded size, and a pair of blocks is compared at once: only close pairs become rows.
@@ -322,53 +322,51 @@ def _open_pairs(words: DataFrame, roots: DataFrame, sets: DataFrame, similarity:
         F.max_by("root", F.struct("c", "root")).alias("main"), F.sum("c").alias("all"), F.count("*").alias("parts")
     )
     block = F.pmod(F.xxhash64("sid"), F.ceil(F.col("all") / BLOCK_SETS))
-    own = F.struct("sid", "n", "root", "bits")
+    own = F.struct("sid", "n", "root", "brief")
     held = (
         named.join(several.where("parts > 1"), F.col("word") == F.col("w"))
-        .join(sets.select(F.col("sid").alias("of"), "bits"), F.col("sid") == F.col("of"))
-        .groupBy("word", block.alias("block"))
-        .agg(F.collect_list(own).alias("sets"), F.collect_list(F.when(F.col("root") != F.col("main"), own)).alias("odd"))
+        .join(sets.select(F.col("sid").alias("of"), "brief"), F.col("sid") == F.col("of"))
+        .groupBy("word", "main", block.alias("block"))
+        .agg(F.collect_list(own).alias("sets"))
     )
     held = stored(held, "jaccard-blocks")
-    odd = held.where(F.size("odd") > 0).select(F.col("word").alias("w"), "odd")
+    outside = F.filter("sets", lambda s: s["root"] != F.col("main"))
+    odd = held.select(F.col("word").alias("w"), outside.alias("odd")).where(F.size("odd") > 0)
     pairs = held.select("word", "sets").join(odd, F.col("word") == F.col("w")).select("odd", "sets")
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [_close_pairs(odd.as_py(), all_.as_py(), similarity) for odd, all_ in zip(batch["odd"], batch["sets"], strict=True)]
-            a, b = (np.concatenate(c) for c in zip(*found, strict=True))
-            both = np.unique(np.stack((a, b), axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+            both = np.unique(np.concatenate(found, axis=0), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, c]) for c in range(3)], names=["a", "b", "total"])
 
-    return pairs.mapInArrow(close, "a long, b long").distinct()
+    return pairs.mapInArrow(close, "a long, b long, total long").distinct()
 
 
-def _close_pairs(odd: list[dict], others: list[dict], similarity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (a < b) of different components, similar sizes and close bit sketches."""
-    width = min(len(s["bits"]) for s in (*odd, *others)) // 8
+def _close_pairs(odd: list[dict], others: list[dict], similarity: int) -> np.ndarray:
+    """Rows (a, b, total of sizes), a < b, of different components, similar sizes and close bit sketches."""
+    width = min(len(s["brief"]) for s in (*odd, *others)) // 8
 
     def table(sets: list[dict]) -> tuple[np.ndarray, ...]:
-        bits = [np.frombuffer(s["bits"], dtype=np.uint64).reshape(-1, width) for s in sets]
+        bits = [np.frombuffer(s["brief"], dtype=np.uint64).reshape(-1, width) for s in sets]
         folded = np.stack([np.bitwise_xor.reduce(b, axis=0) if len(b) > 1 else b[0] for b in bits])
         return folded, *(np.array([s[c] for s in sets], dtype=np.int64) for c in ("sid", "n", "root"))
 
     x, sid, n, root = table(odd)
     y, sids, m, roots = table(others)
-    a, b = [], []
+    out = [np.zeros((0, 3), dtype=np.int64)]
     for i in range(len(odd)):
         fits = np.flatnonzero((roots != root[i]) & (100 * np.minimum(m, n[i]) >= similarity * np.maximum(m, n[i])))
         if len(fits):
             away = np.bitwise_count(y[fits] ^ x[i]).sum(axis=1, dtype=np.int64)
-            near = sids[fits[away <= (m[fits] + n[i]) * (100 - similarity) // (100 + similarity)]]
-            a.append(np.minimum(near, sid[i]))
-            b.append(np.maximum(near, sid[i]))
-    none = np.zeros(0, dtype=np.int64)
-    return np.concatenate([none, *a]), np.concatenate([none, *b])
+            near = fits[away <= (m[fits] + n[i]) * (100 - similarity) // (100 + similarity)]
+            out.append(np.stack((np.minimum(sids[near], sid[i]), np.maximum(sids[near], sid[i]), m[near] + n[i]), axis=1))
+    return np.concatenate(out)
 
 
-def _bits(shingles: np.ndarray) -> np.ndarray:
-    """Bit sketch: parity of the hashes at each of at least 8n positions, a power of two."""
-    size = max(64, 1 << int(8 * len(shingles) - 1).bit_length())
+def _bits(shingles: np.ndarray, times: int = 8) -> np.ndarray:
+    """Bit sketch: parity of the hashes at each of at least ``times`` n positions, a power of two."""
+    size = max(64, 1 << int(times * len(shingles) - 1).bit_length())
     at = mix(shingles + np.uint64(0x2545F4914F6CDD1D)) & np.uint64(size - 1)
     odd = (np.bincount(at.astype(np.int64), minlength=size) & 1).astype(np.uint8)
     return np.packbits(odd, bitorder="little").view(np.uint64)
@@ -383,8 +381,8 @@ def _difference(x: np.ndarray, y: np.ndarray) -> int:
 
 
 def _wanted_sets(documents: DataFrame, sids: DataFrame, width: int) -> DataFrame:
-    """``sid``, ``bits`` and ``shingles`` of the sets named, from the texts; a bit filter of bounded size passes the
-    other texts by (and lets a few through)."""
+    """``sid``, ``brief``, ``bits`` and ``shingles`` of the sets named, from the texts; a bit filter of bounded size passes
+    the other texts by (and lets a few through)."""
     count = sids.count()
     size = min(FILTER_BITS, max(1 << 16, 1 << (16 * count).bit_length()))
     at = F.pmod("sid", F.lit(size))
@@ -404,16 +402,15 @@ def _wanted_sets(documents: DataFrame, sids: DataFrame, width: int) -> DataFrame
                     if sid is None or sid in seen or not (int(bits[sid % size // 64]) >> (sid % size % 64)) & 1:
                         continue
                     seen.add(sid)
-                    rows.append((sid, _bits(shingles).tobytes(), shingles.tobytes()))
+                    rows.append((sid, _bits(shingles, 2).tobytes(), _bits(shingles).tobytes(), shingles.tobytes()))
                 if rows:
-                    sid, sketch, whole = zip(*rows, strict=True)
+                    columns = zip(zip(*rows, strict=True), (pa.int64(), *[pa.binary()] * 3), strict=True)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(sid, pa.int64()), pa.array(sketch, pa.binary()), pa.array(whole, pa.binary())],
-                        names=["sid", "bits", "shingles"],
+                        [pa.array(c, kind) for c, kind in columns], names=["sid", "brief", "bits", "shingles"]
                     )
 
     texts = documents.select(F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(made, "sid long, bits binary, shingles binary").join(sids, "sid", "left_semi").dropDuplicates(["sid"])
+    return texts.mapInArrow(made, "sid long, brief binary, bits binary, shingles binary").join(sids, "sid", "left_semi").dropDuplicates(["sid"])
 
 
 def _with_both(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
@@ -424,7 +421,8 @@ def _with_both(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
 
 
 def _close(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """The pairs (``a``, ``b``, ``total`` of their sizes) whose bit sketches are close enough."""
+    """The pairs (``a``, ``b``, ``total`` of their sizes) whose bit sketches are close enough: the Hamming distance of two
+    sketches is at most the symmetric difference of their sets."""
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -465,6 +463,7 @@ def _groups(documents: DataFrame, similarity: int, width: int) -> tuple[DataFram
     leading = _close(stored(_leader_pairs(words, similarity), "jaccard-leaders"), sets, similarity)
     links = stored(_linked(leading, sets, similarity), "jaccard-links")
     rest = stored(_open_pairs(words, components(links), sets, similarity), "jaccard-pairs")
+    rest = _close(rest, sets, similarity)
     links = links.unionByName(_linked(rest, sets, similarity))
     return counted.where(F.col("kind") == _DOCUMENT).select("doc_id", "sid", "n"), components(links)
 
