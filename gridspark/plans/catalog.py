@@ -1,15 +1,16 @@
 """Catalogue of stored dataset versions and requests against it.
 
 A version row has ``name``, the attributes ``format``, ``dim_order``, ``coords`` and one ``chunk_<dim>`` column per
-dimension: a number (``-1`` unsplit), the text form of an explicit list (``10,20,30``) or null for no preference. Many requests are answered in one job: versions and requests are first
-reduced to their distinct attribute combinations, and each request combination is expanded into the version
-attributes it accepts, so matching is an equi-join and its size follows the attribute domains, not the table sizes.
+dimension: a number (``-1`` unsplit), the text form of an explicit list (``10,20,30``) or null for no preference. Many
+requests are answered in one job: versions and requests are first reduced to their distinct attribute combinations, which
+meet in an equi-join on the attributes that a request sets; chunks are tested on the pairs that it gives.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import asdict, dataclass, field
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,22 +35,24 @@ def _key(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(ANY))
 
 
-def _accepted(attr: str, rule: str) -> Column:
-    """Keys of the version values (``_d.<attr>``) that the request value accepts; for chunks that value is its ends."""
-    if rule == MERGEABLE:
-        return F.array_append(_mergeable_into(f"_d.{attr}", attr), F.lit(ANY))
-    r, everything = F.col(attr), F.array_append(f"_d.{attr}", F.lit(ANY))
-    own = F.array(_key(r)) if rule == SAME_IF_SET else F.array(_key(r), F.lit(ANY))
-    return F.when(r.isNull(), everything).otherwise(own)
+def _chunk_columns(df: DataFrame) -> list[str]:
+    return [c for c in df.columns if c.startswith("chunk_")]
 
 
-def _mergeable_into(domain: str, ends: str) -> Column:
-    """Keys of the chunk specifications (key and ends) that merge into the one with these ends."""
-    return F.expr(f"transform(filter({domain}, v -> {ch.ends_merge('v.ends', ends)}), v -> v.key)")
+def _version_tokens(attr: str) -> Column:
+    """What a version answers to in one attribute: its value (or that it has none), and requests that leave it open."""
+    return F.array(F.coalesce(F.concat(F.lit("="), F.col(attr).cast("string")), F.lit("unset")), F.lit("open"))
 
 
-def _chunk_columns(df: DataFrame) -> list[str]:
-    return [c for c in df.columns if c.startswith("chunk_")]
+def _request_tokens(attr: str, rule: str) -> Column:
+    """What a request asks for in one attribute; with either side unset a version without a value will do too."""
+    value = F.concat(F.lit("="), F.col(attr).cast("string"))
+    asked = F.array(value, F.lit("unset")) if rule == SAME_OR_UNSET else F.array(value)
+    return F.when(F.col(attr).isNull(), F.array(F.lit("open"))).otherwise(asked)
+
+
+def _ends(column: str) -> Column:
+    return F.expr(ch.spec_ends(f"nullif({column}, '{ANY}')"))
 
 
 def match_versions(
@@ -58,41 +61,41 @@ def match_versions(
     """Matching pairs of distinct combinations.
 
     Rows: the request combination as keys ``r_<attr>``, the version's as ``v_<attr>``, the number of versions that
-    have it, the one with the least name (``first``: name and attributes) and the values of each mergeable column
-    that occur (``d_<attr>``: key and ends). With ``ignore_chunks_unless`` chunk columns only count for that format.
+    have it and the one with the least name (``first``: name and attributes). With ``ignore_chunks_unless`` chunk columns
+    only count for that format. A pair meets under exactly one token per attribute, so the join gives each pair once and
+    no pair that the attributes rule out.
     """
     attrs = list(rules)
+    plain, chunks = [a for a in attrs if not a.startswith("chunk_")], [a for a in attrs if a.startswith("chunk_")]
 
     def version_key(a: str) -> Column:
-        if ignore_chunks_unless and a.startswith("chunk_"):
+        if ignore_chunks_unless and a in chunks:
             counts = F.coalesce(F.col("format") == ignore_chunks_unless, F.lit(False))
             return F.when(counts, _key(F.col(a))).otherwise(F.lit(ANY))
         return _key(F.col(a))
 
-    sigs = versions.groupBy(*[version_key(a).alias(f"v_{a}") for a in attrs]).agg(
+    sigs = versions.groupBy(*[version_key(a).alias(f"v_{a}") for a in attrs], *[F.col(a).alias(f"t_{a}") for a in plain]).agg(
         F.count("*").alias("versions"), F.min(F.struct("name", *attrs)).alias("first")
     )
-    wanted = requests.select(*attrs).distinct()
-    merged = [a for a in attrs if rules[a] == MERGEABLE]
-    values = [F.array_remove(F.collect_set(f"v_{a}"), ANY).alias(a) for a in attrs]
-    with_ends = [
-        F.expr(f"transform({a}, k -> struct(k AS key, {ch.spec_ends('k')} AS ends))").alias(a) if a in merged else a
-        for a in attrs
-    ]
-    found = sigs.agg(*values).select(F.struct(*with_ends))
-    asked = wanted.select(
-        *[_key(F.col(a)).alias(f"r_{a}") for a in attrs],
-        *[F.expr(ch.spec_ends(f"string({a})")).alias(a) if a in merged else a for a in attrs],
-        found.scalar().alias("_d"),
-    )
-    out = asked.select(
-        *[f"r_{a}" for a in attrs],
-        *[_accepted(a, rules[a]).alias(f"v_{a}") for a in attrs],
-        *[F.col(f"_d.{a}").alias(f"d_{a}") for a in merged],
-    )
-    for a in attrs:
-        out = out.withColumn(f"v_{a}", F.explode(f"v_{a}"))
-    return out.join(sigs, [f"v_{a}" for a in attrs])
+    wanted = requests.select(*attrs).distinct().select(*[_key(F.col(a)).alias(f"r_{a}") for a in attrs], *[F.col(a).alias(f"t_{a}") for a in plain])
+    sides = []
+    for side, tokens in (
+        (sigs, {a: _version_tokens(f"t_{a}") for a in plain}),
+        (wanted, {a: _request_tokens(f"t_{a}", rules[a]) for a in plain}),
+    ):
+        for a, token in tokens.items():
+            side = side.withColumn(f"t_{a}", F.explode(token))
+        sides.append(side)
+    pairs = sides[0].join(sides[1], [f"t_{a}" for a in plain])
+    for c in chunks:
+        v, r = F.col(f"v_{c}"), F.col(f"r_{c}")
+        if rules[c] == MERGEABLE:
+            pairs = pairs.withColumn("_v", _ends(f"v_{c}")).withColumn("_r", _ends(f"r_{c}"))
+            fits = (v == ANY) | F.expr(ch.ends_merge("_v", "_r"))
+        else:
+            fits = (r == ANY) | (v == r) | ((v == ANY) & F.lit(rules[c] == SAME_OR_UNSET))
+        pairs = pairs.filter(fits)
+    return pairs.select(*[f"r_{a}" for a in attrs], *[f"v_{a}" for a in attrs], "versions", "first")
 
 
 def per_request(requests: DataFrame, answers: DataFrame, attrs: Sequence[str], how: str = "left") -> DataFrame:
@@ -144,23 +147,19 @@ def resolve_versions(versions: DataFrame, requests: DataFrame, source: Mapping[s
     rules = order_rules(versions)
     pairs = match_versions(versions, requests, rules, "zarr")
     request_keys = [f"r_{a}" for a in rules]
-    version_keys = [f"v_{a}" for a in rules]
     if chunks:
-        # each candidate names the candidates it beats: same attributes, finer chunks that merge into its own
-        beats = pairs.filter(F.col("v_format") == "zarr")
-        others = F.lit(False)
-        for c in chunks:
-            unset = F.col(f"v_{c}") == ANY
-            beats = beats.withColumn("_ends", F.expr(ch.spec_ends(f"nullif(v_{c}, '{ANY}')")))
-            finer = F.when(unset, F.array(F.lit(ANY))).otherwise(_mergeable_into(f"d_{c}", "_ends"))
-            beats = beats.withColumn(f"b_{c}", F.explode(finer))
-            others = others | (F.col(f"b_{c}") != F.col(f"v_{c}"))
-        beaten = beats.filter(others).select(
-            *request_keys,
-            *[f"v_{a}" for a in ATTRIBUTES],
-            *[F.col(f"b_{c}").alias(f"v_{c}") for c in chunks],
+        # a candidate is beaten by one of the same request and attributes with other chunks that its own merge into
+        own = pairs.filter(F.col("v_format") == "zarr").select(
+            *[F.col(k).alias(f"o_{k}") for k in (*request_keys, *[f"v_{a}" for a in ATTRIBUTES])],
+            *[F.col(f"v_{c}").alias(f"o_v_{c}") for c in chunks],
+            *[_ends(f"v_{c}").alias(f"o_e_{c}") for c in chunks],
         )
-        pairs = pairs.join(beaten, [*request_keys, *version_keys], "left_anti")
+        ended = pairs.withColumns({f"e_{c}": _ends(f"v_{c}") for c in chunks})
+        same = [F.col(k) == F.col(f"o_{k}") for k in (*request_keys, *[f"v_{a}" for a in ATTRIBUTES])]
+        merges = [(F.col(f"v_{c}") == F.col(f"o_v_{c}")) | ((F.col(f"o_v_{c}") != ANY) & F.expr(ch.ends_merge(f"e_{c}", f"o_e_{c}"))) for c in chunks]
+        differs = reduce(Column.__or__, [F.col(f"v_{c}") != F.col(f"o_v_{c}") for c in chunks])
+        beaten = reduce(Column.__and__, [*same, *merges, differs])
+        pairs = ended.join(own, beaten, "left_anti").drop(*[f"e_{c}" for c in chunks])
     best = pairs.groupBy(*request_keys).agg(F.min("first").alias("_best"))
     chosen = per_request(requests, best, list(rules))
     keep = [c for c in requests.columns if c not in rules]
