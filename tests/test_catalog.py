@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -170,3 +171,50 @@ def test_source_version_must_be_complete(spark):
         FieldStore(spark, "t", lambda v: None, Version("grib", "xyz", {"x": 1, "y": 1, "z": 1}))
     with pytest.raises(ValueError):
         FieldStore(spark, "t", lambda v: None, Version("grib", "xyz", {"x": 1}, coords=True))
+
+
+def test_requests_meet_matching_versions_only(spark):
+    """200 versions with chunks of three dimensions: pairs before the chunk test are versions, not a product of domains."""
+    rows = [(f"v{i}", "zarr", "xyz", i % 2 == 0, str(1 + i % 50), str(1 + i % 60), "10,20" if i % 7 == 0 else str(1 + i % 70)) for i in range(200)]
+    schema = "name string, format string, dim_order string, coords boolean, chunk_x string, chunk_y string, chunk_z string"
+    versions = spark.createDataFrame(rows, schema)
+    wanted = [(1, "zarr", None, None, "100", "-1", "30"), (2, None, "xyz", True, None, "120", "10,20"), (3, "netcdf", None, None, None, None, None)]
+    requests = spark.createDataFrame(wanted, "request_id int, " + schema.split(", ", 1)[1])
+    out = catalog.versions_below(versions, requests)
+    got = {r.request_id: r.matches for r in out.collect()}
+
+    def merges(v, r):
+        if r is None or r == "-1":
+            return True
+        if v == "-1":
+            return False
+        ends = lambda s: np.cumsum([int(n) for n in s.split(",")]).tolist()
+        a, b = ends(v), ends(r)
+        if len(a) == len(b) == 1:
+            return b[0] % a[0] == 0
+        if len(a) == 1:
+            return all(e % a[0] == 0 or e == b[-1] for e in b)
+        if len(b) == 1:
+            return sum(e % b[0] == 0 or e == a[-1] for e in a) == -(-a[-1] // b[0])
+        return a[-1] == b[-1] and set(b) <= set(a)
+
+    for i, f, d, c, *chunks in wanted:
+        fits = [v for v in rows if (f in (None, v[1])) and (d in (None, v[2])) and (c in (None, v[3])) and all(map(merges, v[4:], chunks))]
+        assert got[i] == len(fits)
+    rules = catalog.order_rules(versions)
+    pairs = catalog.match_versions(versions, requests, {a: r for a, r in rules.items() if not a.startswith("chunk_")})
+    assert pairs.count() <= 3 * 200
+
+
+def test_equal_chunks_are_read_without_a_shuffle(spark, tmp_path):
+    cells = spark.range(400).select((F.col("id") % 20).alias("x"), (F.floor(F.col("id") / 20)).alias("y"), F.col("id").cast("double").alias("t"))
+    source = catalog.Version("grib", "yx", {"x": -1, "y": -1}, "source", True)
+    store = catalog.FieldStore(spark, "g", lambda _: cells, source, path=str(tmp_path / "s"))
+    store.add_version(catalog.Version("zarr", "xy", {"x": 5}, "fives", False))
+    found, version = store.get_version(catalog.Version("zarr", "xy", {"x": 5}, coords=False))
+    assert version.name == "fives" and found.count() == 400 and "chunk_x" in found.columns
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    pruned = found.filter("chunk_x = 2")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(chunk_x" in pruned or "chunk_x" in pruned.split("PartitionFilters")[1][:60]
+    coarser, _ = store.get_version(catalog.Version("zarr", "xy", {"x": 10}, coords=False))
+    assert {r.chunk_x for r in coarser.select("chunk_x").distinct().collect()} == {0, 1}
