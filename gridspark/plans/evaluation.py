@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridspark.functions.ieee import ieee_div
 from gridspark.functions.scalars import amdahl_speedup
-from gridspark.operators import cube, scaling
+from gridspark.operators import cube
 
 
 def evaluate(
@@ -37,17 +37,23 @@ def evaluate(
     results = cube.rename_labels(results, {main: renames})
     for name, to_add in combined.items():
         results = cube.combine_runtimes(results, name, to_add)
-    base = cube.series_base(results, [main], cores, runtime)
-    fits = scaling.serial_fraction(results, [main], cores, runtime, base)
-    ref = results.filter(F.col(main) == reference).groupBy(cores).agg(F.min(runtime).alias("_ref"))
-    joined = results.join(base, main).join(fits, main).join(ref, cores, "left")
+    # one row per label and core count is left: windows share one pass over it
+    series = Window.partitionBy(main)
+    results = results.withColumns(
+        {"_cores": F.min(cores).over(series), "_base": F.min_by(runtime, cores).over(series)}
+    ).withColumn("_c", ieee_div(F.col(cores), F.col("_cores")))
+    weight = ieee_div(F.col("_c") - 1, F.col("_c"))
+    excess = F.col(runtime) - ieee_div(F.col("_base"), F.col("_c"))
+    serial = ieee_div(F.sum(excess * weight).over(series), F.col("_base") * F.sum(weight * weight).over(series))
+    reference_runtime = F.min(F.when(F.col(main) == reference, F.col(runtime))).over(Window.partitionBy(cores))
+    joined = results.withColumn("serial", serial).withColumn("_ref", reference_runtime)
     return joined.select(
         main,
         cores,
         *parts,
         *combined,
-        ieee_div(F.col("base_runtime"), F.col(runtime)).alias("speedup"),
+        ieee_div(F.col("_base"), F.col(runtime)).alias("speedup"),
         ieee_div(F.col(runtime), F.col("_ref")).alias("relative"),
         "serial",
-        amdahl_speedup(F.col("serial"), ieee_div(F.col(cores), F.col(f"base_{cores}"))).alias("expected"),
+        amdahl_speedup(F.col("serial"), F.col("_c")).alias("expected"),
     )

@@ -129,7 +129,9 @@ def config_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
          UNION ALL SELECT DISTINCT 'cores_per_worker', CAST(cores_per_worker AS VARCHAR) FROM measurements"""
 )
 def dim_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cube.unpivot_dims(fx.measurements(spark, sf_dir), DIMS).orderBy("dim", "label")
+    """Numeric labels in the order of their numbers."""
+    labels = cube.unpivot_dims(fx.measurements(spark, sf_dir), DIMS)
+    return labels.orderBy("dim", F.col("label").try_cast("double"), "label")
 
 
 @query(
