@@ -402,7 +402,7 @@ def _wanted_sets(documents: DataFrame, sids: DataFrame, width: int) -> DataFrame
                     if sid is None or sid in seen or not (int(bits[sid % size // 64]) >> (sid % size % 64)) & 1:
                         continue
                     seen.add(sid)
-                    rows.append((sid, _bits(shingles, 2).tobytes(), _bits(shingles).tobytes(), shingles.tobytes()))
+                    rows.append((sid, _bits(shingles, 4).tobytes(), _bits(shingles).tobytes(), shingles.tobytes()))
                 if rows:
                     columns = zip(zip(*rows, strict=True), (pa.int64(), *[pa.binary()] * 3), strict=True)
                     yield pa.RecordBatch.from_arrays(
