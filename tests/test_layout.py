@@ -131,3 +131,22 @@ def test_chunk_predicate_prunes_directories(spark, tmp_path):
     read = fields.read_cells(spark, str(tmp_path / "c")).filter("chunk_x = 3")
     assert sorted({r.x for r in read.collect()}) == [6, 7]
     assert "PartitionFilters: [isnotnull(chunk_x" in read._jdf.queryExecution().executedPlan().toString()
+
+
+def test_same_chunks_by_size():
+    same = layout.same_chunks
+    assert same(None, 5) and same("auto", [1, 2]) and same(5, 5) and not same(5, 4) and not same(-1, 10)
+    assert same(-1, 10, 10) and same(12, -1, 10) and same(4, [4, 4, 2], 10) and not same(4, [4, 6], 10) and same(3, -1, 0)
+
+
+def test_dimension_of_size_zero_has_no_chunks(spark):
+    df = spark.createDataFrame([(1, 0, 5), (2, 0, -1), (3, 7, 5)], "k int, n bigint, s bigint")
+    out = layout.explode_chunks(df, ["k"], F.col("s"), F.col("n")).collect()
+    assert sorted((r.k, r.chunk_idx, r.start, r.size) for r in out) == [(3, 0, 0, 5), (3, 1, 5, 2)]
+
+
+def test_chunks_of_far_positions(spark):
+    far = (1 << 53) + 3
+    df = spark.createDataFrame([(far,), (-1,), (7,)], "x bigint")
+    got = [r[0] for r in df.select(ch.chunk_of(F.col("x"), 2)).collect()]
+    assert got == [far // 2, -1, 3]

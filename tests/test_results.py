@@ -204,3 +204,29 @@ def test_sweep(spark, tmp_path):
         assert all(s >= 0 for s in stages) and r.full_rt == pytest.approx(sum(stages))
     reduced = cube.reduce_iterations(raw, ["impl", "layout"], sw.PARTS)
     assert reduced.count() == 2
+
+
+def test_laws_follow_ieee(spark):
+    from gridspark.functions.scalars import amdahl_speedup
+    from gridspark.operators import scaling
+
+    df = spark.createDataFrame([(-1.0, 2.0), (0.5, 0.0), (0.0, 4.0)], "f double, c double")
+    assert [r[0] for r in df.select(amdahl_speedup(F.col("f"), F.col("c"))).collect()] == [float("inf"), 0.0, 4.0]
+    one = spark.createDataFrame([("a", 1.0, 2.0)], "s string, x double, y double")
+    assert all(r != r for r in scaling.lin_reg(one, ["s"], "x", "y").select("alpha", "beta").first())
+    zero = spark.createDataFrame([("a", 0, 2.0), ("a", 1, 1.0)], "s string, c bigint, r double")
+    assert scaling.serial_fraction(zero, ["s"], "c", "r").count() == 1
+
+
+def test_marks_labels_and_references(spark):
+    df = spark.createDataFrame([("a", 1, 1, 2.0), ("a", 2, 1, 1.0), ("b", 1, 1, 4.0)], "impl string, workers int, cores int, rt double")
+    marked = cube.combine_runtimes(df, "total", ["rt"])
+    reduced = cube.create_cores_dimension(marked, ["impl", "workers", "cores"], ["rt", "total"], ["workers", "cores"], "c")
+    assert cube.plain_parts(reduced, ["rt", "total"]) == ["rt"]
+    assert cube.plain_parts(cube.marginal(marked, "impl", "workers", ["rt", "total"]), ["rt", "total"]) == ["rt"]
+    relative = {(r.impl, r.workers): r.relative for r in cube.relative_runtime(df, "impl", "workers", "rt").collect()}
+    assert relative == {("a", 1): 1.0, ("a", 2): 1.0, ("b", 1): 2.0}
+    alone = cube.relative_runtime(df.filter("impl = 'b'"), "impl", "workers", "rt").first()
+    assert alone.relative == 4.0
+    renamed = cube.rename_labels(df, {"workers": {1: "one", 2: 7}})
+    assert {r.workers for r in renamed.collect()} == {"one", "7"}
