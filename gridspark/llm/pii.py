@@ -84,8 +84,9 @@ def _proposals(text: str) -> Iterator[tuple[int, int, str, bool]]:
     for m in _IP.finditer(text):
         yield *m.span(), "ip", all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split("."))
     for m in _DIGITS.finditer(text):
-        digits = _NOT_DIGIT.sub("", m[0]) if m.end() - m.start() < 64 else ""
+        digits = _NOT_DIGIT.sub("", m[0])
         if len(digits) >= 7:
+            # 19 digits take 37 characters at most, so no rule holds for a longer run; its parts are proposed all the same
             yield *m.span(), "card", 14 <= len(digits) <= 19 and luhn(digits)
     if "+" in text:
         for m in _PHONE.finditer(text):
@@ -144,6 +145,29 @@ def _teacher(text: str, start: int, end: int, kind: str, holds: bool) -> bool:
     return bool(named) or (text[start : start + 4] in _KEY_PREFIXES and end - start == 20)
 
 
+def _rewritten(text: str, start: int, end: int, kind: str) -> Iterator[str]:
+    """Forms of a base span that the sample may lack, so that the trees do not take the form of the sample for the kind:
+    a card number in groups of four, and the same with a wrong check digit."""
+    if kind == "card":
+        digits = _NOT_DIGIT.sub("", text[start:end])
+        if len(digits) == 16:
+            for own in (digits, digits[:-1] + str((int(digits[-1]) + 1) % 10)):
+                yield " ".join(own[i : i + 4] for i in range(0, 16, 4))
+
+
+def _training_rows(text: str) -> list[dict]:
+    """Features, kind and weak label of a text's first candidates, and of other forms of those that the rules keep."""
+    rows = []
+    for a, b, kind, holds in candidates(text)[:TRAINING_CANDIDATES]:
+        rows.append({"x": features(text, a, b, kind), "kind": kind, "y": _teacher(text, a, b, kind, holds)})
+        if holds:
+            before, after = text[max(0, a - 40) : a], text[b : b + 1]
+            for own in _rewritten(text, a, b, kind):
+                at = (before + own + after, len(before), len(before) + len(own), kind)
+                rows.append({"x": features(*at), "kind": kind, "y": _teacher(*at, False)})
+    return rows
+
+
 @dataclass
 class Selector:
     trees: boosting.Trees = field(default_factory=boosting.Trees)
@@ -186,10 +210,7 @@ def train(documents: DataFrame, rows: int = TRAINING_ROWS) -> Selector:
 
     @F.arrow_udf("array<struct<x:array<double>,kind:string,y:boolean>>")
     def described(texts: pa.Array) -> pa.Array:
-        out = []
-        for text in texts.to_pylist():
-            found = candidates(text or "")
-            out.append([{"x": features(text, a, b, k), "kind": k, "y": _teacher(text, a, b, k, h)} for a, b, k, h in found[:TRAINING_CANDIDATES]])
+        out = [_training_rows(text or "") for text in texts.to_pylist()]
         return pa.array(out, pa.list_(pa.struct([("x", pa.list_(pa.float64())), ("kind", pa.string()), ("y", pa.bool_())])))
 
     keys = documents.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("key"))

@@ -158,6 +158,18 @@ def test_pii_base_and_added(spark, real):
     assert all(not plain_spans(t or "") for t in cleaned.values())
 
 
+def test_pii_cards_in_long_runs(spark):
+    cards = ["4111111111111111", "4524132264652876", "5500005555555559", "4012888888881881"]
+    assert all(pii.luhn(c) for c in cards)
+    parted = [re.sub("(....)(?=.)", r"\1 ", c) for c in cards]
+    runs = [" ".join(c[k % 4] for k in range(n)) for c in (cards, parted) for n in (2, 3, 4, 5, 40)]
+    selector = pii.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    docs = tools.documents(spark, [(i, f"paid with {r} today", "en", "s") for i, r in enumerate(runs)])
+    for r in docs.withColumn("text", pii.redact(selector, "text")).collect():
+        assert not re.search("[0-9]", r.text), (runs[r.doc_id], r.text)
+        assert not pii.base_spans(runs[r.doc_id])
+
+
 def test_pii_without_training_rows_keeps_the_base(spark):
     docs = tools.documents(spark, [(1, PII[4], "en", "s")])
     out = pii.personal_data(docs, pii.train(docs.limit(0))).first()
