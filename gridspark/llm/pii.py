@@ -37,7 +37,13 @@ _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _DIGITS = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_LOOSE_PHONE = re.compile(r"(?<![0-9A-Za-z+])\(?[0-9]{2,4}\)?(?:[ .-][0-9]{2,5}){1,4}(?![0-9A-Za-z])")
+_LOOSE_PHONE = re.compile(r"(?<![0-9A-Za-z+])(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{2,5}(?:[ .-][0-9]{2,5}){0,3}(?![0-9A-Za-z])")
+# A bare number that needs no word before it, also beside other numbers; not inside a dotted one.
+_BARE_PHONE = re.compile(r"(?<![0-9A-Za-z(])(?<![0-9]\.)(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z]|\.[0-9])")
+_DATE = re.compile(
+    r"(?:19|20)[0-9]{2}([ .-])(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12][0-9]|3[01])(?![0-9])|(?:19|20)[0-9]{2}[ .-](?:19|20)[0-9]{2}\Z"
+    r"|(?:0[1-9]|[12][0-9]|3[01])([ .-])(?:0[1-9]|[12][0-9]|3[01])\2(?:19|20)[0-9]{2}(?![0-9])"
+)
 # Parts of runs that the rules reject as a whole, such as a phone number that a card number follows.
 _CARD_PART = re.compile(r"(?<![0-9])[0-9]{14,19}(?![0-9])|(?<![0-9])[0-9]{4}(?:[ -][0-9]{4}){3}(?![0-9])")
 _PHONE_PART = re.compile(r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{3,4}[ .-]?[0-9]{4}(?![0-9])")
@@ -45,6 +51,12 @@ _TOKEN = re.compile(r"(?<![A-Za-z0-9_])(?=[A-Za-z_]*+[0-9])[A-Za-z0-9_]{12,}+")
 _NOT_DIGIT = re.compile(r"[^0-9]")
 _CONTEXT = re.compile(r"([A-Za-z]{2,20})[\"' ]{0,2}[ ]?([=:]?)[ ]?[\"']?\Z")
 
+_PHONE_WORD = re.compile(
+    r"(?<![A-Za-z])(?:call|cell|contact|dial|fax|mobile|phone|ring|sms|tel|telephone|telefon|telefax|mobil|handy|anruf"
+    r"|appel|appelez|portable|tél|téléphone|teléfono|telefono|móvil|llame)(?![A-Za-z])[^0-9]{0,20}\Z",
+    re.IGNORECASE,
+)
+
 # Words that introduce credentials, and the public prefix of access key ids.
 _KEY_WORDS = ("password", "passwd", "pwd", "token", "secret", "key", "apikey", "auth", "credential")
 _KEY_PREFIXES = ("AKIA", "ASIA", "ghp", "sk")
@@ -106,7 +118,9 @@ def candidates(text: str) -> list[tuple[int, int, str, bool]]:
         if part and not holds:
             out += [(*m.span(), kind, False) for m in part.finditer(text, a, b) if m.span() != (a, b)]
     if out or any(d in text for d in "0123456789"):
-        out += [(*m.span(), "phone", False) for m in _LOOSE_PHONE.finditer(text)]
+        loose = [m.span() for m in _LOOSE_PHONE.finditer(text)]
+        bare = [m.span() for m in _BARE_PHONE.finditer(text)]
+        out += [(a, b, "phone", False) for a, b in sorted({*loose, *bare})]
         out += [(*m.span(), "secret", False) for m in _TOKEN.finditer(text)]
     return out
 
@@ -129,15 +143,24 @@ def features(text: str, start: int, end: int, kind: str) -> list[float]:
         float(own.startswith("(")), float(any(word.endswith(k) for k in _KEY_WORDS)), float(bool(context and context[2])),
         float(before.endswith(('"', "'"))), float(own.startswith(_KEY_PREFIXES)), float(own.count(".")),
         float(n < 64 and len(only) > 1 and luhn(only)), float(text[end : end + 1].isalnum()),
+        float(kind == "phone" and bool(_BARE_PHONE.fullmatch(own))), float(bool(_DATE.match(own))),
+        float(kind == "phone" and bool(_PHONE_WORD.search(before))), float(bool(_IP.match(own))),
     ]
 
 
 def _teacher(text: str, start: int, end: int, kind: str, holds: bool) -> bool:
-    """Weak label of a candidate: the rule of its kind; for secrets a value that a credential word or prefix marks."""
+    """Weak label of a candidate: the rule of its kind; for bare phones a full number or one that a word announces, no date
+    or dotted address; for secrets a value that a credential word or prefix marks."""
     if kind == "card" and not holds and _CARD_PART.fullmatch(text, start, end):
         return luhn(_NOT_DIGIT.sub("", text[start:end]))
-    if kind == "phone" and not holds and _PHONE_PART.fullmatch(text, start, end):
-        return True
+    if kind == "phone" and not holds:
+        own = text[start:end]
+        if _PHONE_PART.fullmatch(text, start, end) or _BARE_PHONE.fullmatch(own):
+            return True
+        announced = _PHONE_WORD.search(text[max(0, start - 40) : start])
+        return bool(announced and 7 <= len(_NOT_DIGIT.sub("", own)) <= 15 and _LOOSE_PHONE.fullmatch(own)) and not (
+            _DATE.match(own) or _IP.match(own)
+        )
     if kind != "secret":
         return holds
     context = _CONTEXT.search(text[max(0, start - 40) : start])
@@ -146,26 +169,44 @@ def _teacher(text: str, start: int, end: int, kind: str, holds: bool) -> bool:
 
 
 def _rewritten(text: str, start: int, end: int, kind: str) -> Iterator[str]:
-    """Forms of a base span that the sample may lack, so that the trees do not take the form of the sample for the kind:
-    a card number in groups of four, and the same with a wrong check digit."""
-    if kind == "card":
-        digits = _NOT_DIGIT.sub("", text[start:end])
-        if len(digits) == 16:
-            for own in (digits, digits[:-1] + str((int(digits[-1]) + 1) % 10)):
-                yield " ".join(own[i : i + 4] for i in range(0, 16, 4))
+    """A base span and what stands around it in forms that the sample may lack, so that the trees do not take the form of
+    the sample for the kind: a card number in groups of four, and the same with a wrong check digit; a phone number without
+    its ``+``, with and without a word that announces it, and dates and other numbers of its digits."""
+    before, after, digits = text[max(0, start - 40) : start], text[end : end + 1], _NOT_DIGIT.sub("", text[start:end])
+    if kind == "card" and len(digits) == 16:
+        for last in (digits[-1], str((int(digits[-1]) + 1) % 10)):
+            own = " ".join((digits[:4], digits[4:8], digits[8:12], digits[12:15] + last))
+            yield f"{before}{own} {own}{after}"
+    if kind == "phone":
+        d, sep = digits[-10:], " .-"[int(digits[-1]) % 3]
+        area, month, day, year = f"{2 + int(d[0]) % 8}{d[1:3]}", f"0{1 + int(d[3]) % 9}", f"1{d[4]}", f"20{d[5:7]}"
+        forms = [
+            (area, d[3:6], d[6:]), (f"({area}) {d[3:6]}", d[6:]), (d[:2], d[2:5], d[5:8]), (f"0{d[1:3]}", d[3:7], d[7:]),
+            (d[:4], d[4:8]), (d[:3], d[3:7]), (d[:3], d[3:5]), (year, month, day), (day, month, year), (year, month, f"{day} {d[7:9]}"),
+        ]
+        for own in [*(sep.join(f) for f in forms), f"1{d[:2]}.1{d[2:4]}", f"3{d[:2]}.1{d[2:4]}.1{d[4:6]}.1{d[6:8]}"]:
+            yield f"{before}{own}{after}"
+            yield f"{before[-20:]} call {own}{after}"
+
+
+def _open(found: list[tuple[int, int, str, bool]]) -> list[tuple[int, int, str, bool]]:
+    """The base spans and the candidates that overlap none of them, which alone can be added."""
+    taken = _Free([])
+    for a, b, _, holds in found:
+        if holds:
+            taken.put(a, b)
+    return [c for c in found if c[3] or taken.holds(*c[:2])]
 
 
 def _training_rows(text: str) -> list[dict]:
-    """Features, kind and weak label of a text's first candidates, and of other forms of those that the rules keep."""
-    rows = []
-    for a, b, kind, holds in candidates(text)[:TRAINING_CANDIDATES]:
-        rows.append({"x": features(text, a, b, kind), "kind": kind, "y": _teacher(text, a, b, kind, holds)})
-        if holds:
-            before, after = text[max(0, a - 40) : a], text[b : b + 1]
-            for own in _rewritten(text, a, b, kind):
-                at = (before + own + after, len(before), len(before) + len(own), kind)
-                rows.append({"x": features(*at), "kind": kind, "y": _teacher(*at, False)})
-    return rows
+    """Features, kind and weak label of a text's first candidates, and of those of other forms of its first base spans."""
+    found = _open(candidates(text))[:TRAINING_CANDIDATES]
+    rows = [(text, *c) for c in found]
+    for kind in KINDS:
+        first = next((c for c in found if c[3] and c[2] == kind), None)
+        for made in _rewritten(text, *first[:3]) if first else ():
+            rows += [(made, *c) for c in _open(candidates(made)) if not c[3]]
+    return [{"x": features(t, a, b, k), "kind": k, "y": _teacher(t, a, b, k, h)} for t, a, b, k, h in rows]
 
 
 @dataclass
@@ -192,16 +233,19 @@ class _Free:
     def __init__(self, taken: list[tuple[int, int]]):
         self.cells: dict[int, list[tuple[int, int]]] = {}
         for a, b in taken:
-            self._put(a, b)
+            self.put(a, b)
 
-    def _put(self, a: int, b: int) -> None:
+    def put(self, a: int, b: int) -> None:
         for cell in range(a >> 8, (b >> 8) + 1):
             self.cells.setdefault(cell, []).append((a, b))
 
+    def holds(self, a: int, b: int) -> bool:
+        return not any(x < b and a < y for cell in range(a >> 8, (b >> 8) + 1) for x, y in self.cells.get(cell, ()))
+
     def take(self, a: int, b: int) -> bool:
-        if any(x < b and a < y for cell in range(a >> 8, (b >> 8) + 1) for x, y in self.cells.get(cell, ())):
+        if not self.holds(a, b):
             return False
-        self._put(a, b)
+        self.put(a, b)
         return True
 
 
@@ -222,7 +266,10 @@ def train(documents: DataFrame, rows: int = TRAINING_ROWS) -> Selector:
     if not table.num_rows:
         return Selector()
     x = np.array(table["x"].combine_chunks().flatten()).reshape(table.num_rows, -1)
-    y, kinds = np.array(table["y"].to_pylist(), dtype=float), np.array(table["kind"].to_pylist())
+    return _fitted(x, np.array(table["y"].to_pylist(), dtype=float), np.array(table["kind"].to_pylist()))
+
+
+def _fitted(x: np.ndarray, y: np.ndarray, kinds: np.ndarray) -> Selector:
     order = np.lexsort((y, *x.T[::-1]))
     x, y, kinds = x[order], y[order], kinds[order]
     fold = np.arange(len(y)) % 4 == 0
@@ -235,7 +282,9 @@ def train(documents: DataFrame, rows: int = TRAINING_ROWS) -> Selector:
         right = np.cumsum(y[fold][own][order])
         good = np.flatnonzero(right >= PRECISION * np.arange(1, len(order) + 1))
         if len(good) and right[good[-1]]:
-            thresholds[kind] = max(0.5, float(p[own][order][good[-1]]))
+            # halfway to the next row, so that the least score of a few rows is not the least that is taken
+            scores = np.append(p[own][order], 0.0)
+            thresholds[kind] = max(0.5, float(scores[good[-1]] + scores[good[-1] + 1]) / 2)
     return Selector(trees, thresholds)
 
 

@@ -170,6 +170,25 @@ def test_pii_cards_in_long_runs(spark):
         assert not pii.base_spans(runs[r.doc_id])
 
 
+def test_pii_bare_phones(spark):
+    phones = [
+        "reach us at (555) 123-4567 today", "see 555-123-4567.", "then 555.123.4567 and", "so 555 123 4567, or", "it (212)555-0187 is",
+        "on 2024-03-15 555-123-4568 was", "both 555-123-4567 555-987-6543", "call 030 1234 5678", "Telefon: 089-123-456 und",
+        "my phone number is 555-0187 now", "tél. 01 23 45 67 89",
+    ]
+    others = [
+        "on 2024-03-15 it", "call on 2024-03-15 at", "am 15.03.2024 war", "phone 15-03-2024", "at 2024-03-15 12:30:00 it", "in 2019-2024 the",
+        "call 999.888.777.666 now", "part 12-345-678 of", "item 030 1234 5678", "sum 1234 5678", "from 100-200 to",
+    ]
+    selector = pii.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    docs = tools.documents(spark, [(i, t, "en", "s") for i, t in enumerate([*phones, *others])])
+    cleaned = {r.doc_id: r.text for r in docs.withColumn("text", pii.redact(selector, "text")).collect()}
+    dated = {i: t for i, t in enumerate(phones) if "2024" in t}
+    assert all("<PHONE>" in cleaned[i] and not re.search("[0-9]", cleaned[i].replace("2024-03-15", "")) for i in range(len(phones))), cleaned
+    assert all("2024-03-15" in cleaned[i] for i in dated)
+    assert [cleaned[len(phones) + i] for i in range(len(others))] == others
+
+
 def test_pii_without_training_rows_keeps_the_base(spark):
     docs = tools.documents(spark, [(1, PII[4], "en", "s")])
     out = pii.personal_data(docs, pii.train(docs.limit(0))).first()
