@@ -486,7 +486,8 @@ def near_duplicates(documents: DataFrame, similarity: int = SIMILARITY, width: i
 
 def representatives(documents: DataFrame, similarity: int = SIMILARITY, width: int = SHINGLE) -> DataFrame:
     """One row of each component, with all its columns: the one of the smallest doc_id (null last), of equal ids the
-    first in the files. Rows without words stay. ``documents`` has to be read from files, so that rows keep their order.
+    first in the files. Rows without words stay. The rows are written once with their numbers, and all that names or
+    drops a row by its number reads them there: another scan may be split otherwise and number them anew.
     """
 
     @F.arrow_udf("long")
@@ -495,16 +496,16 @@ def representatives(documents: DataFrame, similarity: int = SIMILARITY, width: i
             sets = (s for piece in pieces(texts) for s in shingle_sets(piece, width))
             yield pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())
 
-    _, roots = _groups(documents, similarity, width)
-    row = F.monotonically_increasing_id()
-    keyed = documents.select("doc_id", identified("text").alias("sid"), row.alias("__row")).where("sid IS NOT NULL")
+    numbered = stored(documents.withColumn("__row", F.monotonically_increasing_id()), "jaccard-rows")
+    _, roots = _groups(numbered, similarity, width)
+    keyed = numbered.select("doc_id", identified("text").alias("sid"), "__row").where("sid IS NOT NULL")
     keyed = stored(keyed.join(roots, F.col("sid") == F.col("node"), "left").select(
         F.coalesce("root", "sid").alias("key"), F.struct(F.col("doc_id").isNull(), "doc_id", "__row").alias("place"), "__row"
     ), "jaccard-keys")
     first = keyed.groupBy(F.col("key").alias("of")).agg(F.min("place").alias("first"), F.count("*").alias("c")).where("c > 1")
     dropped = keyed.join(first, F.col("key") == F.col("of")).where("place <> first").select("__row")
     # the planner knows the size of the stored rows: few of them are broadcast, and no text is shuffled
-    return documents.withColumn("__row", row).join(stored(dropped, "jaccard-dropped"), "__row", "left_anti").drop("__row")
+    return numbered.join(stored(dropped, "jaccard-dropped"), "__row", "left_anti").drop("__row")
 
 
 #: The same as SQL.

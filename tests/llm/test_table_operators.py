@@ -375,6 +375,22 @@ def test_pipeline_on_repeated_rows(spark, tmp_path):
         assert now.count() == 0
 
 
+def test_representatives_when_later_scans_are_split_otherwise(spark, tmp_path):
+    rows = [(i, f"alone {i} " + " ".join(f"w{i}x{k}" for k in range(i + 8)), "en", "s") for i in range(40)]
+    rows += [(100 + i, rows[3 * i][1], "en", "s") for i in range(8)]
+    tools.documents(spark, rows).repartition(12, "doc_id").write.parquet(str(tmp_path / "d"))
+    sizes = {"spark.sql.files.maxPartitionBytes": "300b", "spark.sql.files.openCostInBytes": "1b"}
+    old = {k: spark.conf.get(k) for k in sizes}
+    kept = jaccard.representatives(spark.read.parquet(str(tmp_path / "d")))
+    try:
+        for k, v in sizes.items():
+            spark.conf.set(k, v)
+        assert sorted(r.doc_id for r in kept.collect()) == list(range(40))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 def test_pieces_of_sliced_arrays():
     array = pa.array(["a", None, "b c", ""], pa.large_string()).slice(1)
     assert [p.data.tobytes() for p in text.pieces(array)] == [b"b c"]
