@@ -127,7 +127,7 @@ def candidates(text: str) -> list[tuple[int, int, str, bool]]:
 
 def features(text: str, start: int, end: int, kind: str) -> list[float]:
     """Format of a candidate and what stands before it."""
-    own = text[start : min(end, start + 256)]
+    own = text[start:end]
     n = len(own)
     digits, upper = sum(c.isdigit() for c in own), sum(c.isupper() for c in own)
     counts = Counter(own)
@@ -142,7 +142,7 @@ def features(text: str, start: int, end: int, kind: str) -> list[float]:
         sum(c in " .()-" for c in own), sum(c in "0123456789abcdef" for c in own) / n, float(own.startswith("+")),
         float(own.startswith("(")), float(any(word.endswith(k) for k in _KEY_WORDS)), float(bool(context and context[2])),
         float(before.endswith(('"', "'"))), float(own.startswith(_KEY_PREFIXES)), float(own.count(".")),
-        float(n < 64 and len(only) > 1 and luhn(only)), float(text[end : end + 1].isalnum()),
+        float(14 <= len(only) <= 19 and luhn(only)), float(text[end : end + 1].isalnum()),
         float(kind == "phone" and bool(_BARE_PHONE.fullmatch(own))), float(bool(_DATE.match(own))),
         float(kind == "phone" and bool(_PHONE_WORD.search(before))), float(bool(_IP.match(own))),
     ]
@@ -184,7 +184,7 @@ def _rewritten(text: str, start: int, end: int, kind: str) -> Iterator[str]:
             (area, d[3:6], d[6:]), (f"({area}) {d[3:6]}", d[6:]), (d[:2], d[2:5], d[5:8]), (f"0{d[1:3]}", d[3:7], d[7:]),
             (d[:4], d[4:8]), (d[:3], d[3:7]), (d[:3], d[3:5]), (year, month, day), (day, month, year), (year, month, f"{day} {d[7:9]}"),
         ]
-        for own in [*(sep.join(f) for f in forms), f"1{d[:2]}.1{d[2:4]}", f"3{d[:2]}.1{d[2:4]}.1{d[4:6]}.1{d[6:8]}"]:
+        for own in [*(sep.join(f) for f in forms), f"1{d[:2]}.1{d[2:4]}", f"3{d[:2]}.1{d[2:4]}.1{d[4:6]}.1{d[6:8]}", f"3{d[:2]}.1{d[2]}.2{d[3]}.3{d[4]}"]:
             yield f"{before}{own}{after}"
             yield f"{before[-20:]} call {own}{after}"
 
@@ -206,7 +206,7 @@ def _training_rows(text: str) -> list[dict]:
         first = next((c for c in found if c[3] and c[2] == kind), None)
         for made in _rewritten(text, *first[:3]) if first else ():
             rows += [(made, *c) for c in _open(candidates(made)) if not c[3]]
-    return [{"x": features(t, a, b, k), "kind": k, "y": _teacher(t, a, b, k, h)} for t, a, b, k, h in rows]
+    return [{"x": features(t, a, b, k), "kind": k, "y": _teacher(t, a, b, k, h), "base": h} for t, a, b, k, h in rows]
 
 
 @dataclass
@@ -252,38 +252,41 @@ class _Free:
 def train(documents: DataFrame, rows: int = TRAINING_ROWS) -> Selector:
     """Trees and thresholds from the candidates of at most ``rows`` documents. Without candidates nothing is added."""
 
-    @F.arrow_udf("array<struct<x:array<double>,kind:string,y:boolean>>")
+    @F.arrow_udf("array<struct<x:array<double>,kind:string,y:boolean,base:boolean>>")
     def described(texts: pa.Array) -> pa.Array:
         out = [_training_rows(text or "") for text in texts.to_pylist()]
-        return pa.array(out, pa.list_(pa.struct([("x", pa.list_(pa.float64())), ("kind", pa.string()), ("y", pa.bool_())])))
+        return pa.array(out, pa.list_(pa.struct([("x", pa.list_(pa.float64())), ("kind", pa.string()), ("y", pa.bool_()), ("base", pa.bool_())])))
 
     keys = documents.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("key"))
     sample = sampling.bounded(keys.distinct(), rows, "key")
     texts = documents.select(F.col("doc_id").alias("key"), "text")
     # the sample is bounded by `rows`, so that it may be sent to every executor
     found = texts.join(F.broadcast(sample), "key").select("key", F.explode(described("text")).alias("c"))
-    table = found.select("c.x", "c.kind", "c.y").toArrow()
+    table = found.select("c.x", "c.kind", "c.y", "c.base").toArrow()
     if not table.num_rows:
         return Selector()
     x = np.array(table["x"].combine_chunks().flatten()).reshape(table.num_rows, -1)
-    return _fitted(x, np.array(table["y"].to_pylist(), dtype=float), np.array(table["kind"].to_pylist()))
+    y, kinds, base = (np.array(table[c].to_pylist()) for c in ("y", "kind", "base"))
+    return _fitted(x, y.astype(float), kinds, base)
 
 
-def _fitted(x: np.ndarray, y: np.ndarray, kinds: np.ndarray) -> Selector:
-    order = np.lexsort((y, *x.T[::-1]))
-    x, y, kinds = x[order], y[order], kinds[order]
+def _fitted(x: np.ndarray, y: np.ndarray, kinds: np.ndarray, base: np.ndarray) -> Selector:
+    """Trees from all rows but a fold of them; thresholds from the rows of that fold that are no base spans."""
+    order = np.lexsort((base, y, *x.T[::-1]))
+    x, y, kinds, base = x[order], y[order], kinds[order], base[order]
     fold = np.arange(len(y)) % 4 == 0
     trees = boosting.calibrate(boosting.train(x[~fold], y[~fold], rounds=40), x[fold], y[fold])
     thresholds = {}
     p = trees.probability(x[fold])
     for kind in KINDS:
-        own = kinds[fold] == kind
+        own = (kinds[fold] == kind) & ~base[fold]
         order = np.argsort(-p[own], kind="stable")
         right = np.cumsum(y[fold][own][order])
-        good = np.flatnonzero(right >= PRECISION * np.arange(1, len(order) + 1))
+        scores = np.append(p[own][order], 0.0)
+        # rows of equal scores are taken together
+        good = np.flatnonzero((right >= PRECISION * np.arange(1, len(order) + 1)) & (scores[:-1] > scores[1:]))
         if len(good) and right[good[-1]]:
             # halfway to the next row, so that the least score of a few rows is not the least that is taken
-            scores = np.append(p[own][order], 0.0)
             thresholds[kind] = max(0.5, float(scores[good[-1]] + scores[good[-1] + 1]) / 2)
     return Selector(trees, thresholds)
 

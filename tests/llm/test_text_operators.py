@@ -189,6 +189,25 @@ def test_pii_bare_phones(spark):
     assert [cleaned[len(phones) + i] for i in range(len(others))] == others
 
 
+def test_pii_thresholds_come_from_candidates_alone(spark):
+    selector = pii.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    for t in ("host 300.168.10.20 is", "call 256.10.20.30 now", "at 999.100.200.150 or"):
+        assert pii.redacted(t, pii.base_spans(t) + selector.added(t)) == t
+    # no base span is added, so ips and e-mails, which have no right candidate but those, have no threshold
+    assert set(selector.thresholds) == {"card", "phone", "secret"}
+    rng = np.random.default_rng(3)
+    x = np.where(rng.random((4_000, 1)) < 0.5, 1.0, 0.0)
+    base = rng.random(4_000) < 0.97
+    y = (x[:, 0] == 1) & (base | (rng.random(4_000) < 0.6))
+    assert y[(x[:, 0] == 1)].mean() > pii.PRECISION
+    assert not pii._fitted(x, y.astype(float), np.full(4_000, "card"), base).thresholds
+
+
+def test_pii_features_cover_the_whole_candidate():
+    long = "a" * 300 + "7" * 100
+    assert pii.features(long, 0, 400, "secret")[2] == 0.25 and pii.features(long, 0, 400, "secret")[7] == 100
+
+
 def test_pii_without_training_rows_keeps_the_base(spark):
     docs = tools.documents(spark, [(1, PII[4], "en", "s")])
     out = pii.personal_data(docs, pii.train(docs.limit(0))).first()
