@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, each over its whole table, with SQL where it can say the same."""
+"""The registered queries of the operators, each over its whole table, with SQL where it can say the same."""
 
 from __future__ import annotations
 
@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridspark.llm import decontamination, jaccard, language, licences, mixing, pii, quality, topk, urls, warc
+from gridspark.llm import (
+    decontamination, digests, divergence, jaccard, language, licences, mixing, pii, prefixes, quality, topk, urls, warc,
+)
 from gridspark.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +87,24 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return language.languages(documents, language.train(documents))
+
+
+@query
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_divergence"] = divergence.AUDIT_SQL
+
+
+@query
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests.fingerprinted(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.shared_openings(table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op13_prefixes"] = prefixes.SHARED_OPENINGS_SQL

@@ -26,6 +26,9 @@ BLANK_SEPARATED[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
 #: Word bytes of ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` in lower-cased text: digits, letters, everything beyond ASCII.
 ALPHANUMERIC = np.zeros(256, dtype=bool)
 ALPHANUMERIC[0x30:0x3A] = ALPHANUMERIC[0x61:0x7B] = ALPHANUMERIC[0x41:0x5B] = ALPHANUMERIC[0x80:] = True
+#: Word bytes of ``[^\x00-\x40\x5B-\x60\x7B-\x7F]+``: letters and everything beyond ASCII.
+LETTERS = ALPHANUMERIC.copy()
+LETTERS[0x30:0x3A] = False
 #: Lines: everything but the line feed.
 LINES = np.ones(256, dtype=bool)
 LINES[0x0A] = False
@@ -91,6 +94,15 @@ class Piece:
         ends = np.flatnonzero(inside & (~after[1:] | cut[1:])) + 1
         return starts, ends, np.searchsorted(starts, self.offsets)
 
+    def words(self, word_bytes: np.ndarray) -> tuple[pa.DictionaryArray, np.ndarray]:
+        """The lower-cased runs of ``word_bytes``, equal ones under one code, and the text that each is in."""
+        starts, ends, first = self.spans(word_bytes)
+        where = np.zeros(len(starts) + 1, dtype=np.int64)
+        np.cumsum(ends - starts, out=where[1:])
+        data = self.lower[word_bytes[self.data]]
+        found = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(where), pa.py_buffer(data))
+        return found.dictionary_encode(), np.repeat(np.arange(self.n), np.diff(first))
+
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """64-bit hash of each lower-cased span."""
         forward, backward = _Powers.upto(len(self.data) + 1)
