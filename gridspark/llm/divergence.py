@@ -6,7 +6,7 @@
   and keeps the terms in slot order.
 * The shards are broadcast in rounds of bounded size, one round unless there are very many terms. A task looks the different
   words of a piece of text up, compares each with the term kept at its slot, and increments dense pages of its group's slots.
-  Pages are flushed at a bound, and the pages of one group and block are added up after a shuffle.
+  Pages are flushed at a bound, as the counts that are not 0, and those of one group and block are added up after a shuffle.
 * A page is complete: every group has every block of its language. Pairs of sources meet in tiles of sources by block, so
   that a task holds two tiles of one block whatever the number of sources and terms; the output has one row for each pair.
 
@@ -40,15 +40,15 @@ SHARD_BYTES = 1 << 20
 #: Bytes of the shards that are broadcast at once.
 ROUND_BYTES = 64 << 20
 #: Bytes of text that are cut into words at once.
-TEXT_BYTES = 1 << 20
+TEXT_BYTES = 1 << 19
 #: Slots of a page, pages that a task holds, different terms that it holds before they are combined.
-PAGE, PAGES, HELD = 256, 8192, 1 << 18
+PAGE, PAGES, HELD = 512, 1 << 14, 1 << 18
 #: Sources of a tile.
 TILE = 32
 #: Shares count in billionths; each term has as many occurrences more.
 SCALE_DIGITS, EXTRA = 3, 5
 
-_PAGE_ROWS = "lang string, source string, block long, counts array<long>, total long"
+_PAGE_ROWS = "lang string, source string, block long, places array<smallint>, counts array<long>, total long"
 
 
 def shares(counts: np.ndarray, total: int, terms: int) -> np.ndarray:
@@ -192,26 +192,36 @@ class _Pages:
 
     def flush(self) -> pa.RecordBatch:
         counts = self.counts[: len(self.rows)]
-        out = _page_batch(list(self.rows), counts.copy())
+        out = _page_batch(list(self.rows), counts)
         self.rows = {}
         counts[:] = 0
         return out
 
 
 def _page_batch(keys: list[tuple[str, str, int]], counts: np.ndarray) -> pa.RecordBatch:
-    flat = pa.array(counts.reshape(-1), pa.int64())
+    row, place = np.nonzero(counts)
+    ends = pa.array(np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(keys))))), pa.int32())
     return pa.RecordBatch.from_arrays(
         [
             pa.array([k[0] for k in keys], pa.string()),
             pa.array([k[1] for k in keys], pa.string()),
             pa.array([k[2] for k in keys], pa.int64()),
-            pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * PAGE, pa.int32()), flat),
+            pa.ListArray.from_arrays(ends, pa.array(place, pa.int16())),
+            pa.ListArray.from_arrays(ends, pa.array(counts[row, place], pa.int64())),
             pa.array(counts.sum(axis=1), pa.int64()),
         ],
-        names=["lang", "source", "block", "counts", "total"],
+        names=["lang", "source", "block", "places", "counts", "total"],
     )
 
 
+def _page(places: list[int] | None, counts: list[int] | None, width: int) -> np.ndarray:
+    """The dense counts of one page; a missing page has none."""
+    page = np.zeros(width, dtype=np.int64)
+    if places:
+        page[places] = counts
+    return page
+
+
 def _recount(tables: Broadcast, n_shards: int) -> Callable:
     def recount(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pages = _Pages()
@@ -248,10 +258,11 @@ def _add_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         keys = list(zip(*(batch.column(i).to_pylist() for i in range(3))))
-        counts = batch.column(3).flatten().to_numpy().reshape(-1, PAGE)
-        new = [i for i, k in enumerate(keys) if i == 0 or k != keys[i - 1]]
-        sums = np.add.reduceat(counts, new, axis=0)
-        names = [keys[i] for i in new]
+        new = np.array([i == 0 or k != keys[i - 1] for i, k in enumerate(keys)])
+        run = np.repeat(np.cumsum(new) - 1, pc.list_value_length(batch.column(3)).to_numpy())
+        sums = np.zeros((int(new.sum()), PAGE), dtype=np.int64)
+        np.add.at(sums, (run, batch.column(3).flatten().to_numpy()), batch.column(4).flatten().to_numpy())
+        names = [keys[i] for i in np.flatnonzero(new)]
         if last is not None:
             if names[0] == last:
                 sums[0] += total[0]
@@ -330,11 +341,10 @@ def _tile_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = one["terms"][0].as_py()
         width = max(0, min(PAGE, terms - PAGE * block))
         tiles: dict[int, tuple[list[str], list[np.ndarray]]] = {ti: ([], []), tj: ([], [])}
-        columns = (one[c].to_pylist() for c in ("tile", "source", "total", "counts"))
-        for tile, source, total, counts in sorted(zip(*columns), key=lambda r: r[:2]):
-            page = np.zeros(width, dtype=np.int64) if counts is None else np.array(counts[:width], dtype=np.int64)
+        columns = (one[c].to_pylist() for c in ("tile", "source", "total", "places", "counts"))
+        for tile, source, total, places, counts in sorted(zip(*columns), key=lambda r: r[:2]):
             tiles[tile][0].append(source)
-            tiles[tile][1].append(shares(page, total, terms))
+            tiles[tile][1].append(shares(_page(places, counts, width), total, terms))
         x, y = (np.array(tiles[t][1]).reshape(len(tiles[t][0]), width) for t in (ti, tj))
         found = np.abs(x[:, None, :] - y[None, :, :]).sum(axis=2)
         if (lang, ti, tj) == now:
@@ -353,7 +363,7 @@ def pair_divergence(dense: DataFrame) -> DataFrame:
     tiled = dense.withColumn("tile", F.floor((tile - 1) / TILE)).withColumn("tiles", F.ceil(F.col("n_sources") / TILE))
     both = tiled.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
     keyed = both.withColumn("ti", F.least("tile", "other")).withColumn("tj", F.greatest("tile", "other"))
-    keyed = keyed.select("lang", "ti", "tj", "block", "tile", "source", "terms", "total", "counts")
+    keyed = keyed.select("lang", "ti", "tj", "block", "tile", "source", "terms", "total", "places", "counts")
     dealt = keyed.repartition("lang", "ti", "tj", "block").sortWithinPartitions("lang", "ti", "tj", "block")
     sums = dealt.mapInArrow(_tile_sums, "lang string, source string, item string, value long")
     return sums.groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
@@ -364,9 +374,10 @@ def _over_represented(top: int) -> Callable:
         for batch in batches:
             out: list[tuple] = []
             for row in batch.to_pylist():
-                counts = np.array(row["counts"][: len(row["names"])], dtype=np.int64)
+                width = len(row["names"])
+                counts = _page(row["places"], row["counts"], width)
                 p = shares(counts, row["total"], row["terms"])
-                q = shares(np.array(row["in_lang"][: len(counts)], dtype=np.int64), row["lang_total"], row["terms"])
+                q = shares(_page(row["lang_places"], row["lang_counts"], width), row["lang_total"], row["terms"])
                 hits = np.flatnonzero((counts > 0) & (p > q))
                 best = sorted(((int(q[i] - p[i]), row["names"][i].encode(), i) for i in hits.tolist()))[:top]
                 out += [(row["lang"], row["source"], row["names"][i], -f) for f, _, i in best]
@@ -379,7 +390,7 @@ def _over_represented(top: int) -> Callable:
 
 def over_represented(pages: DataFrame, terms: DataFrame, langs: DataFrame, groups: DataFrame, top: int) -> DataFrame:
     """The terms of each group whose share exceeds the language's, the best ``top`` of each block."""
-    in_lang = _sums(pages.withColumn("source", F.lit(""))).select("lang", "block", F.col("counts").alias("in_lang"))
+    in_lang = _sums(pages.withColumn("source", F.lit(""))).select("lang", "block", F.col("places").alias("lang_places"), F.col("counts").alias("lang_counts"))
     block = F.floor(F.col("slot") / PAGE).alias("block")
     names = terms.groupBy("lang", block).agg(F.sort_array(F.collect_list(F.struct("slot", "term"))).alias("n"))
     known = in_lang.join(names.select("lang", "block", F.col("n.term").alias("names")), ["lang", "block"])

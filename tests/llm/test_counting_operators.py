@@ -75,7 +75,7 @@ def brute_audit(rows, least, top):
 
 def audit_rows():
     rng = random.Random(3)
-    vocabulary = [f"{a}{b}é{c}" for a in "abcdefgh" for b in "ijklmnop" for c in "qrstuvw"]
+    vocabulary = [f"{a}{b}é{c}" for a in "abcdefgh" for b in "ijklmnop" for c in "qrstuvwxyzäö"]
     rows = [(i, t, "en" if i % 2 else None, "s") for i, t in enumerate(tools.AWKWARD)]
     for i in range(600):
         source = "hot" if i % 3 == 0 else f"s{rng.randrange(40)}"
