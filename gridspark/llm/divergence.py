@@ -93,14 +93,18 @@ def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
             if sum(t.num_rows for t in held) > HELD:
                 held = [_added_up(held)]
                 if held[0].num_rows > HELD // 2:
-                    yield from held.pop().to_batches()
+                    yield from _sent(held.pop())
     if held:
-        yield from _added_up(held).to_batches()
+        yield from _sent(_added_up(held))
 
 
 def _added_up(held: list[pa.Table]) -> pa.Table:
     grouped = pa.concat_tables(held).group_by(["lang", "term"]).aggregate([("n", "sum")])
-    return grouped.rename_columns(["lang", "term", "n"]).cast(pa.schema([("lang", pa.string()), ("term", pa.string()), ("n", pa.int64())]))
+    return grouped.rename_columns(["lang", "term", "n"])
+
+
+def _sent(counted: pa.Table) -> list[pa.RecordBatch]:
+    return counted.set_column(1, "term", counted["term"].cast(pa.string())).to_batches()
 
 
 def kept_terms(documents: DataFrame, least: int = DOCUMENTS) -> DataFrame:

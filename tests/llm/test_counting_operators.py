@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from gridspark.llm import digests, divergence, perfect_hash, prefixes, queries
@@ -93,6 +94,22 @@ def test_audit_agrees_with_brute_force(spark, monkeypatch, bound):
     assert sorted(tuple(r) for r in out.collect()) == brute_audit(rows, 3, 50)
 
 
+def test_frequencies_are_combined_in_bounded_memory(monkeypatch):
+    monkeypatch.setattr(divergence, "HELD", 60)
+    monkeypatch.setattr(divergence, "TEXT_BYTES", 200)
+    rows = audit_rows()
+    batch = pa.RecordBatch.from_pydict({"lang": [r[2] for r in rows], "text": [r[1] for r in rows]})
+    got = Counter()
+    for out in divergence._document_frequencies(iter([batch, batch.slice(3), batch.slice(0, 0)])):
+        assert out.num_rows <= 600
+        got.update({(r["lang"], r["term"]): r["n"] for r in out.to_pylist()})
+    wanted = Counter()
+    for _, text, lang, _ in rows + rows[3:]:
+        terms = set(re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", (text or "").translate(tools.LOWER)))
+        wanted.update((lang or "", t) for t in terms)
+    assert got == wanted
+
+
 def test_audit_of_nothing(spark):
     docs = tools.documents(spark, audit_rows())
     assert divergence.audit(docs.limit(0)).count() == 0
