@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridspark.functions import physics as phys
-from gridspark.operators.ranks import ROWS, across_segments, highest, segments, with_group_stats
+from gridspark.operators.ranks import across_segments, cut, last, number_of_rows, with_group_stats
 from gridspark.session import materialize
 
 THETAV_INPUTS = ("p", "t", "qv")
@@ -65,15 +65,15 @@ def thetav_arrow(cells: DataFrame, dims: Sequence[str], name: str = "thetav") ->
 
 def level_count(cells: DataFrame, keys: Sequence[str], name: str = "levels") -> DataFrame:
     """Number of levels from ``z`` to the last one."""
-    counted = with_group_stats(cells.select(*keys, "z"), keys, "z", {"_n": ROWS})
+    counted = with_group_stats(cells.select(*keys, "z"), keys, "z", {"_n": number_of_rows()})
     return counted.select(*keys, "z", (F.col("_n") - F.col("z")).cast("bigint").alias(name))
 
 
 def last_level_anomaly(cells: DataFrame, variable: Column, keys: Sequence[str], name: str = "anomaly") -> DataFrame:
     """Difference from the value at the last level of the column."""
     values = cells.select(*keys, "z", variable.alias("_v"))
-    joined = with_group_stats(values, keys, "z", {"_last": highest(lambda r: F.struct(r["z"], r["_v"]))})
-    return joined.select(*keys, "z", (F.col("_v") - F.col("_last._v")).alias(name))
+    joined = with_group_stats(values, keys, "z", {"_last": last(F.col("_v"), "z")})
+    return joined.select(*keys, "z", (F.col("_v") - F.col("_last")).alias(name))
 
 
 def wind_and_height(cells: DataFrame, dims: Sequence[str]) -> DataFrame:
@@ -81,33 +81,23 @@ def wind_and_height(cells: DataFrame, dims: Sequence[str]) -> DataFrame:
 
 
 def _with_carry(values: DataFrame, keys: Sequence[str], segment: int | None) -> DataFrame:
-    """Segments of the columns with the sum of ``_v`` over later segments (``_carry``), the column's depth ``_n`` and
-    its last value ``_last``. Cells are gathered once; one row per segment crosses segments."""
-    held = segments(values, keys, "z", segment)
-    held = held.select(
-        "_k",
-        "_seg",
-        "_rows",
-        F.aggregate(F.transform("_rows", lambda r: r["_v"]), F.lit(0.0), lambda a, v: a + v).alias("_sum"),
-        F.size("_rows").cast("bigint").alias("_c"),
-        F.element_at("_rows", -1)["_v"].alias("_top"),
-    )
-    column = Window.partitionBy("_k")
-    after = column.orderBy("_seg").rowsBetween(1, Window.unboundedFollowing)
+    """Cells with the sum of ``_v`` over later segments of their column (``_carry``), its depth ``_n`` and its last value
+    ``_last``. Only one row per segment crosses segments."""
+    column = Window.partitionBy("_k2")
+    after = column.orderBy("_seg2").rowsBetween(1, Window.unboundedFollowing)
     return across_segments(
-        held,
+        cut(values, keys, "z", segment),
+        {"_sum": F.sum("_v"), "_c": F.count(F.lit(1)), "_top": F.max_by("_v", "z")},
         {
             "_carry": F.coalesce(F.sum("_sum").over(after), F.lit(0.0)),
             "_n": F.sum("_c").over(column),
-            "_last": F.max(F.struct("_seg", "_top")).over(column)["_top"],
+            "_last": F.max_by("_top", "_seg2").over(column),
         },
     )
 
 
-def _window_sums(held: DataFrame) -> DataFrame:
-    """Cells of the segments with ``_suffix``, the sum of ``_v`` from the cell to the last level, by a window inside the
-    segment, whose rows are together already."""
-    cells = held.select("_k", "_seg", "_carry", "_n", "_last", F.inline("_rows"))
+def _window_sums(cells: DataFrame) -> DataFrame:
+    """Cells with ``_suffix``, the sum of ``_v`` from the cell to the last level, by a window inside the segment."""
     inside = Window.partitionBy("_k", "_seg").orderBy(F.desc("z")).rowsBetween(Window.unboundedPreceding, 0)
     return cells.withColumn("_suffix", F.sum("_v").over(inside) + F.col("_carry"))
 
@@ -128,7 +118,7 @@ def vertical_cumsum_rev(
 
 def _brn_parts(cells: DataFrame, keys: Sequence[str], carry: Sequence[str]) -> DataFrame:
     height = F.col("hhl") - F.col("hsurf")
-    return cells.select(*keys, "z", *carry, _theta().alias("_v"), height.alias("_h"), _wind().alias("_w"))
+    return cells.select(*keys, "z", _theta().alias("_v"), height.alias("_h"), _wind().alias("_w"), *carry)
 
 
 def _brn_value() -> Column:
@@ -159,8 +149,8 @@ def brn_segmented(
 
     Cells are exchanged twice, by segment and by pair of mirrored levels, for columns of any depth.
     """
-    held = _with_carry(_brn_parts(cells, keys, carry), keys, segment)
-    return _brn_of_sums(_window_sums(held), keys, aligned, carry)
+    sums = _window_sums(_with_carry(_brn_parts(cells, keys, carry), keys, segment))
+    return _brn_of_sums(sums, keys, aligned, carry)
 
 
 def to_profiles(cells: DataFrame, keys: Sequence[str], variables: Sequence[str], surface: Sequence[str] = ()) -> DataFrame:
@@ -213,12 +203,14 @@ def brn_of_profiles(profiles: DataFrame, carry: Sequence[str], aligned: bool = F
 def brn_profile(
     cells: DataFrame, keys: Sequence[str], aligned: bool = False, carry: Sequence[str] = ()
 ) -> DataFrame:
-    """Running sums by array functions on the segments' rows."""
-    held = _with_carry(_brn_parts(cells, keys, carry), keys, None)
-    sums = F.reverse(_reverse_cumsum(F.transform("_rows", lambda r: r["_v"])))
-    rows = F.arrays_zip(F.col("_rows"), sums.alias("_run"))
-    each = held.select("_k", "_carry", "_n", "_last", F.explode(rows).alias("_e"))
-    summed = each.select("_k", "_n", "_last", "_e._rows.*", (F.col("_e._run") + F.col("_carry")).alias("_suffix"))
+    """Running sums by array functions: the levels of a segment make a short profile."""
+    carried = _with_carry(_brn_parts(cells, keys, carry), keys, None)
+    rest = [c for c in carried.columns if c not in ("_k", "_seg", "_carry", "_n", "_last", "z")]
+    levels = F.array_sort(F.collect_list(F.struct("z", *rest))).alias("_levels")
+    held = carried.groupBy("_k", "_seg").agg(levels, *[F.first(c).alias(c) for c in ("_carry", "_n", "_last")])
+    sums = F.reverse(_reverse_cumsum(F.transform("_levels", lambda e: e["_v"])))
+    each = held.select("_k", "_carry", "_n", "_last", F.explode(F.arrays_zip(F.col("_levels"), sums.alias("_run"))).alias("_e"))
+    summed = each.select("_k", "_n", "_last", "_e._levels.*", (F.col("_e._run") + F.col("_carry")).alias("_suffix"))
     return _brn_of_sums(summed, keys, aligned, carry)
 
 
@@ -246,10 +238,10 @@ def _segment_sums(starts: np.ndarray, theta: np.ndarray) -> np.ndarray:
 def brn_arrow(
     cells: DataFrame, keys: Sequence[str], aligned: bool = False, carry: Sequence[str] = ()
 ) -> DataFrame:
-    """Arrow batches of the segments' rows: many segments are summed per NumPy call."""
+    """Arrow batches of the segments' rows in order: many segments are summed per NumPy call."""
+    inside = Window.partitionBy("_k", "_seg").orderBy("z")
     held = _with_carry(_brn_parts(cells, keys, carry), keys, None)
-    placed = held.select("_k", "_carry", "_n", "_last", F.posexplode("_rows").alias("_i", "_r"))
-    inputs = placed.select("_i", "_k", "_n", "_last", "_carry", "_r.*")
+    inputs = held.withColumn("_i", F.row_number().over(inside) - 1).drop("_seg")
     schema = T.StructType([*inputs.schema.fields, T.StructField("_suffix", T.DoubleType())])
 
     def compute(table: pa.RecordBatch) -> pa.RecordBatch:
@@ -310,7 +302,7 @@ def iterate_thetav(cells: DataFrame, dims: Sequence[str], n: int, carry: str = "
 def repeated_brn(cells: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
     """``n`` rounds of the Richardson number, each round's output being the next round's pressure.
 
-    The other inputs ride along, so all rounds share one partitioning by column.
+    The other inputs ride along. Each round reads its cells twice, so its input is written out.
     """
     others = BRN_INPUTS[1:]
 
@@ -318,7 +310,9 @@ def repeated_brn(cells: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
         return brn(state, keys, carry=others).withColumnRenamed("brn", "p")
 
     state = cells.select(*keys, "z", *BRN_INPUTS)
-    return brn(iterate(state, step, n - 1), keys)
+    for _ in range(n - 1):
+        state = materialize(step(state), "repeat")
+    return brn(state, keys)
 
 
 def repeated_brn_of_profiles(profiles: DataFrame, carry: Sequence[str], n: int) -> DataFrame:

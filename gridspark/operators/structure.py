@@ -32,14 +32,10 @@ def transpose(df: DataFrame, dims: Sequence[str]) -> DataFrame:
 
 
 def isel(df: DataFrame, dim: str, index: int, group: Sequence[str]) -> DataFrame:
-    """One position along ``dim``; a negative index counts from the end of each column."""
+    """All rows at one position along ``dim``; a negative index counts from the end of each column."""
     if index >= 0:
         return df.filter(F.col(dim) == index)
-    if index == -1:
-        rest = [c for c in df.columns if c not in group]
-        last = F.max_by(F.struct(*rest), F.col(dim)).alias("_last")
-        return df.groupBy(*group).agg(last).select(*group, "_last.*").select(*df.columns)
-    counted = with_group_stats(df, group, dim, {"_last": highest(lambda r: r[dim])})
+    counted = with_group_stats(df, group, dim, {"_last": highest(F.col(dim))})
     return counted.filter(F.col(dim) == F.col("_last") + (index + 1)).drop("_last")
 
 
@@ -50,13 +46,13 @@ def isel_range(df: DataFrame, dim: str, start: int, stop: int) -> DataFrame:
 
 
 def isel_reverse(df: DataFrame, dim: str, group: Sequence[str]) -> DataFrame:
-    counted = with_group_stats(df, group, dim, {"_last": highest(lambda r: r[dim])})
+    counted = with_group_stats(df, group, dim, {"_last": highest(F.col(dim))})
     return counted.withColumn(dim, F.col("_last") - F.col(dim)).drop("_last")
 
 
 def drop_last(df: DataFrame, dim: str, group: Sequence[str]) -> DataFrame:
     """Remove the last position of each column."""
-    counted = with_group_stats(df, group, dim, {"_last": highest(lambda r: r[dim])})
+    counted = with_group_stats(df, group, dim, {"_last": highest(F.col(dim))})
     return counted.filter(F.col(dim) < F.col("_last")).drop("_last")
 
 

@@ -7,11 +7,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridspark.operators.cube import reduce_iterations
 from gridspark.operators.ranks import with_positions
+from gridspark.session import scratch_path
 
 PARTS = ("full_rt", "input_loading", "compute", "graph_construction", "optimization", "serialization")
 CONFIG = ("impl", "workers", "cores_per_worker")
@@ -23,6 +25,10 @@ SOURCE = {"format": "grib", "dim_order": "zyx", "coords": True, "chunk_x": -1}
 MESSAGES = "array<struct<short_name:string,type_of_level:string,level:bigint,value:double>>"
 
 
+#: Where the grid derived from a set of tables is stored, by application.
+_STORED: dict[tuple[str, str], str] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -36,6 +42,18 @@ def _y(key: str) -> Column:
 
 
 def grid_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived grid as a stored version: written to the shared folder once per session and set of tables, then read
+    as fields are, by column and with pushed filters."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    try:
+        return spark.read.parquet(_STORED[key])
+    except (KeyError, AnalysisException):  # not written yet, or the folder was cleared
+        _STORED[key] = scratch_path(spark, "grid")
+        derived_cells(spark, sf_dir).write.parquet(_STORED[key])
+        return spark.read.parquet(_STORED[key])
+
+
+def derived_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """3-D fields on ragged columns; one column per order.
 
     Lines are ranked inside segments of their order (line number and range of parts) and then joined with the order.

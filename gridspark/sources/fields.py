@@ -77,8 +77,8 @@ def diagnostics_input(messages: DataFrame, keys: Sequence[str], half_levels: Dat
         F.max(F.when(ground, F.col("value"))).alias("_ground"),
     )
     column = {
-        "_last": highest(lambda r: F.when(r["HHL"].isNotNull(), r["level"])),
-        "HSURF": highest(lambda r: r["_ground"]),
+        "_last": highest(F.when(F.col("HHL").isNotNull(), F.col("level"))),
+        "HSURF": highest(F.col("_ground")),
     }
     placed = with_group_stats(merged, keys, "level", column)
     volume = [*LAYER_FIELDS, "HHL"]

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridspark.functions import physics as phys
-from gridspark.operators import physics
+from gridspark.operators import physics, ranks, structure
 from gridspark.operators.parity import variant_parity
 from gridspark.sources import fields
 
@@ -18,6 +18,10 @@ CELL = [*KEYS, "z"]
 SCHEMA = "x bigint, y bigint, z bigint, p double, t double, qv double, u double, v double, hhl double, hsurf double"
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def constant_columns(spark, levels, hhl=3.0, hsurf=1.5):
     rows = [
         (x, y, z, 1023.4, 126.3 if z == levels - 1 else 127.3, 0.3, 42.0, 69.0, hhl, hsurf)
@@ -187,8 +191,9 @@ def test_flagship_gathers_cells_twice(spark, tmp_path):
     for line in final.splitlines():
         if "Window [" in line and "_suffix" in line:
             assert "_seg" in line or "_pair" in line
-    scans = [r for r in final.splitlines() if "FileScan" in r]
-    assert len(scans) == 1, tree
+    scans = sorted((r.split("ReadSchema")[1] for r in final.splitlines() if "FileScan" in r), key=len)
+    assert len(scans) == 2, tree
+    assert "hhl" not in scans[0] and "u:" not in scans[0]  # the second reads theta's inputs only, for one row per segment
 
 
 def test_parity_reports_a_wrong_variant(spark):
@@ -218,3 +223,31 @@ def test_synthetic_fields(spark):
 
 def test_constants():
     assert (phys.GRAVITY, phys.R_DRY, phys.R_VAPOUR, phys.CP_DRY, phys.P_SURFACE) == (9.80665, 287.05, 461.51, 1005.0, 1e5)
+
+
+def test_column_route_gathers_no_cells(spark):
+    """Cells travel as rows; only the profile form has arrays, of one segment's levels."""
+    cells = spark.range(100).selectExpr(
+        "id % 3 AS c", "id div 3 AS z", *[f"double(id + {i}) AS {v}" for i, v in enumerate(physics.BRN_INPUTS)]
+    )
+    for out in (
+        physics.brn(cells, ["c"]), physics.brn_arrow(cells, ["c"]), physics.level_count(cells, ["c"]),
+        physics.vertical_cumsum_rev(cells, F.col("p"), ["c"]), physics.last_level_anomaly(cells, F.col("p"), ["c"]),
+        structure.isel_reverse(cells, "z", ["c"]), structure.isel(cells, "z", -1, ["c"]),
+    ):
+        assert "collect_list" not in plan(out)
+
+
+def test_levels_without_position_are_spread(spark):
+    rows = [(1, None, float(i)) for i in range(3000)] + [(1, z, 1.0) for z in range(20)]
+    cells = spark.createDataFrame(rows, "c int, z long, a double")
+    placed = ranks.cut(cells, ["c"], "z").groupBy("_seg").count().collect()
+    assert max(r["count"] for r in placed) < 200 and len(placed) == ranks.SPREAD + 1
+    out = physics.vertical_cumsum_rev(cells, F.col("a"), ["c"]).collect()
+    assert len(out) == 3020
+    assert structure.isel(cells, "z", -1, ["c"]).count() == structure.isel(cells, "z", -2, ["c"]).count() == 1
+
+
+def test_one_rule_for_equal_positions(spark):
+    cells = spark.createDataFrame([(1, 0, 1.0), (1, 1, 2.0), (1, 1, 3.0), (1, 2, 4.0), (1, 2, 5.0)], "c int, z long, a double")
+    assert [structure.isel(cells, "z", i, ["c"]).count() for i in (-1, -2, -3)] == [2, 2, 1]
