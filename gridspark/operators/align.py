@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -34,3 +35,81 @@ def with_surface(cells: DataFrame, surface: DataFrame, keys: Sequence[str]) -> D
 def align_fields(a: DataFrame, b: DataFrame, dims: Sequence[str]) -> DataFrame:
     """Cells present in both frames, for element-wise arithmetic."""
     return a.join(b, list(dims))
+
+
+@dataclass
+class Dataset:
+    """Variables of different dimensions: one table for each set of dimensions.
+
+    Tables hold what was given; a position that a table lacks is NaN in all its variables. No variable is repeated along a
+    dimension that it does not have.
+    """
+
+    dims: tuple[str, ...]
+    tables: dict[frozenset[str], DataFrame]
+
+    def dims_of(self, variable: str) -> frozenset[str]:
+        return next(own for own, table in self.tables.items() if variable in table.columns and variable not in own)
+
+    def coordinate(self, dim: str) -> DataFrame:
+        """The positions along ``dim`` that any variable has, one row each."""
+        having = [t.select(dim).distinct() for own, t in self.tables.items() if dim in own]
+        return reduce(DataFrame.union, having).distinct()
+
+    def along(self, dim: str) -> DataFrame:
+        """The variables that have this one dimension alone, at every position of the coordinate."""
+        own = frozenset([dim])
+        if own not in self.tables:
+            return self.coordinate(dim)
+        return _gaps_filled(self.coordinate(dim).join(self.tables[own], [dim], "left"), own)
+
+    def cells(self, variables: Sequence[str]) -> DataFrame:
+        """The named variables at every position that one of those with most dimensions has.
+
+        Tables of fewer dimensions meet the cells on the dimensions they have. A single value, without dimensions, is a
+        scalar of the plan.
+        """
+        used = sorted({self.dims_of(v) for v in variables}, key=lambda own: (-len(own), sorted(own)))
+        full = frozenset().union(*used)
+        if used[0] != full:
+            raise ValueError(f"no variable has all of the dimensions {sorted(full)}")
+        out = self.tables[used[0]].select(*self._ordered(full), *self._of(used[0], variables))
+        for own in used[1:]:
+            named = self._of(own, variables)
+            if own:
+                out = out.join(self.tables[own].select(*self._ordered(own), *named), self._ordered(own), "left")
+            else:
+                out = out.withColumns({v: self.tables[own].select(F.max(v)).scalar() for v in named})
+        return _gaps_filled(out.select(*self._ordered(full), *variables), full)
+
+    def _ordered(self, own: Iterable[str]) -> list[str]:
+        return [d for d in self.dims if d in own]
+
+    def _of(self, own: frozenset[str], variables: Sequence[str]) -> list[str]:
+        return [v for v in variables if self.dims_of(v) == own]
+
+
+def _gaps_filled(table: DataFrame, dims: Iterable[str]) -> DataFrame:
+    numbers = [c for c, kind in table.dtypes if c not in dims and kind in ("double", "float")]
+    return table.withColumns({c: F.coalesce(c, F.lit(NAN).cast(table.schema[c].dataType)) for c in numbers})
+
+
+def merge_dataset(frames: Sequence[DataFrame], dims: Sequence[str]) -> Dataset:
+    """Merge variables of any dimensions among ``dims``: what a frame has of them are its dimensions, the rest variables.
+
+    Frames with the same dimensions are aligned with each other by an outer join; the others stay tables of their own.
+    """
+    found: dict[frozenset[str], list[DataFrame]] = {}
+    names: set[str] = set()
+    for frame in frames:
+        own = frozenset(c for c in frame.columns if c in dims)
+        given = set(frame.columns) - own
+        if given & names:
+            raise ValueError(f"given twice: {sorted(given & names)}")
+        names |= given
+        found.setdefault(own, []).append(frame)
+    order = [d for d in dims if any(d in own for own in found)]
+    if len(found.get(frozenset(), [])) > 1:
+        raise ValueError("give all values without dimensions in one frame")
+    tables = {own: merge_fields(some, [d for d in order if d in own]) if len(some) > 1 else some[0] for own, some in found.items()}
+    return Dataset(tuple(order), tables)

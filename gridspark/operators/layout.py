@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridspark.functions import chunks as ch
@@ -78,6 +79,41 @@ def explode_chunks(layouts: DataFrame, keys: Sequence[str], spec: Column, dim_si
     )
 
 
+def chunk_bounds(layouts: DataFrame, keys: Sequence[str], sizes: str) -> DataFrame:
+    """One row per chunk of layouts that list their chunk sizes: ``chunk_idx``, ``start`` and ``stop``.
+
+    The ends are running sums over rows, so a dimension with very many chunks costs no more than its chunks.
+    """
+    rows = layouts.select(*keys, F.posexplode(sizes).alias("_i", "_n"))
+    upto = Window.partitionBy(*keys).orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
+    stop = F.sum(F.col("_n").cast("bigint")).over(upto)
+    ends = rows.select(*keys, F.col("_i").cast("bigint").alias("chunk_idx"), stop.alias("stop"), "_n")
+    return ends.select(*keys, "chunk_idx", (F.col("stop") - F.col("_n")).alias("start"), "stop")
+
+
+def assign_by_layout(cells: DataFrame, layouts: DataFrame, keys: Sequence[str], sizes: str, dim: str) -> DataFrame:
+    """Add ``chunk_<dim>`` from the chunk sizes that the layout of each cell lists; null beyond the last chunk.
+
+    Positions and chunks meet in bins as wide as the layout's mean chunk: an equi-join on layout and bin, then a comparison
+    with the few chunks of the bin. A layout's cells are spread over its bins. Sizes of 0 are chunks without positions.
+    """
+    keys = list(keys)
+    bounds = chunk_bounds(layouts, keys, sizes).where("stop > start")
+    total = F.aggregate(F.col(sizes), F.lit(0).cast("bigint"), lambda a, n: a + n)
+    widths = layouts.select(*keys, F.greatest(F.ceil(total / F.greatest(F.size(sizes), F.lit(1))), F.lit(1)).cast("bigint").alias("_width"))
+    sized = bounds.join(widths, keys)
+
+    def bin_of(position: Column) -> Column:
+        return F.call_function("div", position, F.col("_width"))
+
+    spread = F.explode(F.sequence(bin_of(F.col("start")), bin_of(F.col("stop") - 1)))
+    binned = sized.select(*[F.col(k).alias(f"_l_{k}") for k in keys], "chunk_idx", "start", "stop", spread.alias("_chunk_bin"))
+    placed = cells.join(widths, keys, "left").withColumn("_bin", bin_of(F.col(dim)))
+    same = reduce(Column.__and__, [F.col(k) == F.col(f"_l_{k}") for k in keys], F.col("_bin") == F.col("_chunk_bin"))
+    inside = (F.col(dim) >= F.col("start")) & (F.col(dim) < F.col("stop"))
+    return placed.join(binned, same & inside, "left").select(*cells.columns, F.col("chunk_idx").alias(f"chunk_{dim}"))
+
+
 def all_over_dims(pairs: DataFrame, keys: Sequence[str], test: Column, name: str) -> DataFrame:
     """A per-dimension test that must hold for each dimension of a layout pair."""
     return pairs.groupBy(*keys).agg(F.bool_and(test).alias(name))

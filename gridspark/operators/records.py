@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridspark.session import materialize
+
 
 def flatten_record(df: DataFrame, separator: str = "_") -> DataFrame:
     """Nested fields as top-level columns named by their path; numbers stay, everything else becomes a string."""
@@ -30,6 +32,55 @@ def flatten_record(df: DataFrame, separator: str = "_") -> DataFrame:
     return df.select(*walk(df.schema, ()))
 
 
+def _is_object(v: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+
+
+def _depth(kind: T.DataType) -> int | None:
+    """Levels of named fields of a type; None if the rows decide."""
+    if isinstance(kind, T.StructType):
+        below = [_depth(f.dataType) for f in kind.fields]
+    elif isinstance(kind, T.MapType):
+        below = [_depth(kind.valueType)]
+    else:
+        return None if isinstance(kind, T.VariantType) else 0
+    return None if None in below else 1 + max(below, default=0)
+
+
+def record_leaves(df: DataFrame, keys: Sequence[str], record: str, separator: str = "_") -> DataFrame:
+    """Leaves of nested records whose shape may differ from row to row: ``keys``, ``path`` and ``value`` (a variant).
+
+    ``record`` is a struct, a map or a variant, nested to any depth. Names are joined into paths; lists and plain values
+    are leaves, records without fields and missing records have none. Every round opens the records of one level, whose
+    rows are all of that level's fields, so a round is a narrow projection. A type tells how many rounds there are; for
+    variants the records that are left are written down until none is.
+    """
+    kind = df.schema[record].dataType
+    depth = _depth(kind)
+    value = F.col(record) if isinstance(kind, T.VariantType) else F.to_variant_object(record)
+    level = df.where(F.col(record).isNotNull()).select(*keys, F.lit("").alias("path"), value.alias("value"))
+    leaves: list[DataFrame] = []
+    while depth is None or depth > 0:
+        records = level.where(_is_object(F.col("value")))
+        opened = records.withColumnsRenamed({"path": "_path", "value": "_record"})
+        fields = opened.lateralJoin(df.sparkSession.tvf.variant_explode(F.col("_record").outer()))
+        path = F.when(F.col("_path") == "", F.col("key")).otherwise(F.concat("_path", F.lit(separator), "key"))
+        level = fields.select(*keys, path.alias("path"), "value")
+        if depth is None:
+            level = materialize(level, "records")
+        leaves.append(level.where(~_is_object(F.col("value"))))
+        if depth is not None:
+            depth -= 1
+        elif level.where(_is_object(F.col("value"))).isEmpty():
+            break
+    return reduce(DataFrame.union, leaves) if leaves else level.where(F.lit(False))
+
+
+def leaf_text(value: Column) -> Column:
+    """A leaf as text: lists as JSON, strings as they are, nulls as null."""
+    return F.when(F.is_variant_null(value), F.lit(None)).otherwise(F.coalesce(F.try_variant_get(value, "$", "string"), F.to_json(value)))
+
+
 def fill_from_record(df: DataFrame, record: Mapping[str, Any]) -> DataFrame:
     """Null attributes taken from one record; attributes that ``df`` lacks are added."""
     filled = {

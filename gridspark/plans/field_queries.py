@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -475,3 +476,104 @@ def experiment_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     operators = {n: (lambda df, f=f: f(df, CELL)) for n, f in physics.THETAV_VARIANTS.items()}
     inputs = {n: (lambda n=n: fields.read_cells(spark, f"{path}/{n}")) for n in ("flat", "chunked")}
     return sweep(spark, operators, inputs, iterations=2)
+
+
+# ---------------------------------------------------------------- variables of different dimensions, layouts as tables
+
+
+@query(
+    GRID
+    + """, vol AS (SELECT coalesce(a.col_id, b.col_id) AS col_id, coalesce(a.z, b.z) AS z, t, u
+                   FROM (SELECT col_id, z, t FROM grid_cells WHERE z < 3) a
+                   FULL JOIN (SELECT col_id, z, u FROM grid_cells WHERE z > 0) b ON a.col_id = b.col_id AND a.z = b.z),
+    flat AS (SELECT o_orderkey AS col_id, o_totalprice * 1.0e-3 AS hsurf FROM orders WHERE o_orderkey % 3 <> 0),
+    levels AS (SELECT z, avg(p) AS base FROM grid_cells WHERE z > 1 GROUP BY z),
+    zs AS (SELECT z FROM vol UNION SELECT z FROM levels), cols AS (SELECT col_id FROM vol UNION SELECT col_id FROM flat),
+    top AS (SELECT max(p) AS highest FROM grid_cells)
+    SELECT 'cells' AS part, col_id, z, round(coalesce(t, -1e0), 6) + 0.0e0 AS t, round(coalesce(u, -999e0), 6) + 0.0e0 AS u,
+           round(coalesce(hsurf, -1e0), 6) + 0.0e0 AS hsurf, round(coalesce(base, -1e0), 6) + 0.0e0 AS base,
+           round((SELECT highest FROM top), 6) + 0.0e0 AS highest
+    FROM vol LEFT JOIN flat USING (col_id) LEFT JOIN levels USING (z)
+    UNION ALL SELECT 'columns', col_id, NULL, NULL, NULL, round(coalesce(hsurf, -1e0), 6) + 0.0e0, NULL, NULL
+    FROM cols LEFT JOIN flat USING (col_id)
+    UNION ALL SELECT 'levels', NULL, z, NULL, NULL, NULL, round(coalesce(base, -1e0), 6) + 0.0e0, NULL
+    FROM zs LEFT JOIN levels USING (z)"""
+)
+def merge_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variables on (column, level), on columns, on levels and a single value; gaps are shown as negative numbers."""
+    cells = fx.grid_cells(spark, sf_dir)
+    ground = fx.surface(spark, sf_dir).where("col_id % 3 <> 0").select("col_id", "hsurf")
+    base = cells.where("z > 1").groupBy("z").agg(F.avg("p").alias("base"))
+    merged = align.merge_dataset(
+        [
+            cells.where("z < 3").select(*CELL, "t"), cells.where("z > 0").select(*CELL, "u"), ground, base,
+            cells.agg(F.max("p").alias("highest")),
+        ],
+        CELL,
+    )
+    gap = {"t": -1.0, "u": -999.0, "hsurf": -1.0, "base": -1.0}
+    columns = ["part", *CELL, *gap, "highest"]
+    shown = {v: F.round(F.nanvl(v, F.lit(g)), 6) + F.lit(0.0) for v, g in gap.items()}
+
+    def part(name: str, table: DataFrame) -> DataFrame:
+        own = table.withColumns({v: c for v, c in shown.items() if v in table.columns})
+        absent = {c: F.lit(None).cast("bigint" if c in CELL else "double") for c in columns[1:] if c not in table.columns}
+        return own.withColumns(absent).withColumn("part", F.lit(name)).select(columns)
+
+    volume = merged.cells([*gap, "highest"]).withColumn("highest", r6("highest", "highest"))
+    return part("cells", volume).union(part("columns", merged.along("col_id"))).union(part("levels", merged.along("z")))
+
+
+@query(
+    GRID
+    + """SELECT col_id, z, CAST(floor(t + 2 * hsurf) AS BIGINT) AS whole, round(t * 2 + hsurf + z, 6) + 0.0e0 AS scaled
+         FROM grid_cells"""
+)
+def map_arrays_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A function of a volume and a surface array, with a keyword argument, coordinates and two results of other types."""
+
+    def combine(t, ground, factor, coords):
+        both = t * factor + ground[:, None] + coords["z"]
+        return np.floor(np.nan_to_num(t + 2 * ground[:, None])).astype("int64"), both.astype("float64")
+
+    cells, ground = fx.grid_cells(spark, sf_dir), fx.surface(spark, sf_dir)
+    arrays = [blocks.Array(cells, CELL, "t"), blocks.Array(ground, KEYS, "hsurf")]
+    chunks = {"col_id": 1024, "z": 512}
+    out = blocks.map_arrays(combine, arrays, chunks, [("whole", "bigint"), ("scaled", "double")], with_coords=True, factor=2)
+    return out.select(*CELL, "whole", r6("scaled", "scaled"))
+
+
+@query(
+    GRID
+    + """SELECT col_id, CAST(count(*) AS INTEGER) AS levels, round(max(t) - min(t), 3) + 0.0e0 AS spread
+         FROM grid_cells GROUP BY col_id"""
+)
+def map_arrays_reduced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A function that reduces the vertical axis; its results have the dimensions and types of the template."""
+
+    def summary(t):
+        with np.errstate(all="ignore"):
+            return (~np.isnan(t)).sum(axis=1), np.nanmax(t, axis=1) - np.nanmin(t, axis=1)
+
+    arrays = [blocks.Array(fx.grid_cells(spark, sf_dir), CELL, "t")]
+    out = blocks.map_arrays(summary, arrays, {"col_id": 1024, "z": -1}, [("levels", "int"), ("spread", "float")], KEYS)
+    return out.select(*KEYS, "levels", (F.round(F.col("spread").cast("double"), 3) + F.lit(0.0)).alias("spread"))
+
+
+@query(
+    """WITH layouts AS (SELECT p_partkey AS layout_id, [1 + (p_partkey * i) % 7 FOR i IN range(1, p_size + 1)] AS sizes FROM part),
+       chunks AS (SELECT layout_id, i - 1 AS chunk, list_sum(sizes[1:i]) AS stop, sizes[i] AS n
+                  FROM (SELECT *, unnest(range(1, len(sizes) + 1)) AS i FROM layouts))
+       SELECT l_orderkey, l_linenumber, l_partkey AS layout_id, l_orderkey % 150 AS position,
+              CAST((SELECT chunk FROM chunks WHERE layout_id = l_partkey AND l_orderkey % 150 >= stop - n AND l_orderkey % 150 < stop)
+                   AS BIGINT) AS chunk_position FROM lineitem"""
+)
+def assign_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part is a layout with its own list of chunk sizes; lines are positions in the layout of their part."""
+    part = fx.table(spark, sf_dir, "part")
+    listed = F.transform(F.sequence(F.lit(1), F.col("p_size").cast("int")), lambda i: 1 + (F.col("p_partkey") * i) % 7)
+    layouts = part.select(F.col("p_partkey").alias("layout_id"), listed.alias("sizes"))
+    cells = fx.table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.col("l_partkey").alias("layout_id"), (F.col("l_orderkey") % 150).alias("position")
+    )
+    return layout.assign_by_layout(cells, layouts, ["layout_id"], "sizes", "position")

@@ -449,3 +449,41 @@ def evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
         "impl", "cores",
         *[r6(c, c) for c in ("full_rt", "no_inp_loading", "speedup", "relative", "serial", "expected")],
     )
+
+
+@query(
+    """SELECT s_suppkey, 'id' AS path, CAST(s_suppkey AS VARCHAR) AS value FROM supplier
+       UNION ALL SELECT s_suppkey, 'cluster_cores', CAST(s_suppkey % 8 AS VARCHAR) FROM supplier
+       UNION ALL SELECT s_suppkey, 'cluster_limits_n' || CAST(s_nationkey AS VARCHAR) || '_soft', CAST(s_suppkey + 1 AS VARCHAR) FROM supplier
+       UNION ALL SELECT s_suppkey, 'cluster_limits_n' || CAST(s_nationkey AS VARCHAR) || '_names', '["a","' || CAST(s_suppkey AS VARCHAR) || '"]' FROM supplier"""
+)
+def flatten_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Structs, a map whose keys differ by row, and lists, four levels deep."""
+    supplier = fx.table(spark, sf_dir, "supplier")
+    limit = F.struct((F.col("s_suppkey") + 1).alias("soft"), F.array(F.lit("a"), F.col("s_suppkey").cast("string")).alias("names"))
+    limits = F.create_map(F.concat(F.lit("n"), F.col("s_nationkey").cast("string")), limit)
+    cluster = F.struct((F.col("s_suppkey") % 8).alias("cores"), limits.alias("limits"))
+    nested = supplier.select("s_suppkey", F.struct(F.col("s_suppkey").alias("id"), cluster.alias("cluster")).alias("record"))
+    leaves = records.record_leaves(nested, ["s_suppkey"], "record")
+    return leaves.select("s_suppkey", "path", records.leaf_text(F.col("value")).alias("value"))
+
+
+@query(
+    """SELECT p_partkey, 'size' AS path, CAST(p_size AS VARCHAR) AS value FROM part WHERE p_partkey % 3 = 0
+       UNION ALL SELECT p_partkey, 'run.grid.x', CAST(p_size AS VARCHAR) FROM part WHERE p_partkey % 3 = 1
+       UNION ALL SELECT p_partkey, 'run.grid.chunks', '[' || CAST(p_size AS VARCHAR) || ',{"z":1}]' FROM part WHERE p_partkey % 3 = 1
+       UNION ALL SELECT p_partkey, 'run.note', NULL FROM part WHERE p_partkey % 3 = 1
+       UNION ALL SELECT p_partkey, 'run.name', 'part' FROM part WHERE p_partkey % 3 = 2"""
+)
+def flatten_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Configurations as documents whose shape and depth differ from row to row."""
+    size = F.col("p_size").cast("string")
+    deep = F.concat(F.lit('{"run": {"grid": {"x": '), size, F.lit(', "chunks": ['), size, F.lit(', {"z": 1}]}, "note": null, "none": {}}}'))
+    text = (
+        F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit('{"size": '), size, F.lit("}")))
+        .when(F.col("p_partkey") % 3 == 1, deep)
+        .otherwise(F.lit('{"run": {"name": "part"}}'))
+    )
+    documents = fx.table(spark, sf_dir, "part").select("p_partkey", F.parse_json(text).alias("record"))
+    leaves = records.record_leaves(documents, ["p_partkey"], "record", ".")
+    return leaves.select("p_partkey", "path", records.leaf_text(F.col("value")).alias("value"))
