@@ -284,12 +284,15 @@ def records(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Write the pages as WARC files to the shared folder and read the records back."""
+    """Write the pages as WARC files to the shared folder and read the records back: responses with their payloads, revisits
+    by their headers. Each read passes over the other's records, by the type that its predicate asks for."""
     spark = pages.sparkSession
     register(spark)
     path = shared_path(spark, "warc")
     records(pages).write.format("warc").option("path", path).mode("append").save()
-    return spark.read.format("warc").option("path", path).load()
+    kept = spark.read.format("warc").option("path", path)
+    responses = kept.load().where("record_type = 'response'")
+    return responses.union(kept.option("payloads", "false").load().where("record_type = 'revisit'"))
 
 
 def page_records(pages: DataFrame) -> DataFrame:
@@ -299,7 +302,7 @@ def page_records(pages: DataFrame) -> DataFrame:
     """
     read = round_trip(pages)
     response = F.col("record_type") == "response"
-    page = lambda c: F.nullif(F.substring(F.col(c), 10, 40), F.lit("")).cast(pages.schema["page_id"].dataType)
+    page = lambda c: F.nullif(F.expr(f"substring({c}, 10)"), F.lit("")).cast(pages.schema["page_id"].dataType)
     return read.select(
         page("record_id").alias("page_id"),
         F.when(response, F.octet_length("payload").cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
