@@ -7,7 +7,6 @@ is the mean of its subwords' embeddings. As softmax and mean are linear in the e
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,7 +29,6 @@ _LETTER = np.zeros(256, dtype=bool)
 _LETTER[97:123] = _LETTER[128:] = True
 _ASCII_LETTER = np.zeros(256, dtype=bool)
 _ASCII_LETTER[97:123] = True
-_ANY_LETTER = re.compile(r"[^\W\d_]")
 
 
 @dataclass
@@ -64,7 +62,8 @@ def _has_letter(piece: Piece, i: int) -> bool:
     own = piece.lower[piece.offsets[i] : piece.offsets[i + 1]]
     if _ASCII_LETTER[own].any():
         return True
-    return bool((own >= 128).any() and _ANY_LETTER.search(own.tobytes().decode("utf-8", "replace")))
+    # letters beyond ASCII: Unicode category L, so neither fractions nor superscripts
+    return bool((own >= 128).any() and any(map(str.isalpha, own.tobytes().decode("utf-8", "replace"))))
 
 
 def bags(texts: pa.Array) -> pa.Array:
@@ -118,10 +117,10 @@ def train(documents: DataFrame, rows: int = TRAINING_ROWS, precision: float = 0.
     )
     keys = sampling.bounded(usable.select(F.col("doc_id").alias("key")).distinct(), rows, "key")
     bag = F.arrow_udf(bags, "binary")
-    # bounded by `rows`
-    table = (
-        usable.join(F.broadcast(keys), usable["doc_id"] == keys["key"]).select("key", "lang", bag("text").alias("bag")).toArrow()
-    )
+    # bounded by `rows`; of rows with one id one is taken
+    sampled = usable.join(F.broadcast(keys), usable["doc_id"] == keys["key"])
+    once = sampled.groupBy("key").agg(F.min_by(F.struct("lang", "text"), F.xxhash64("lang", "text")).alias("row"))
+    table = once.select("key", "row.lang", bag("row.text").alias("bag")).toArrow()
     found = sorted(r for r in zip(*(table[c].to_pylist() for c in ("key", "lang", "bag")), strict=True) if r[2] is not None)
     names = sorted({r[1] for r in found})
     if not found:

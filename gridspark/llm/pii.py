@@ -260,8 +260,9 @@ def train(documents: DataFrame, rows: int = TRAINING_ROWS) -> Selector:
     keys = documents.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("key"))
     sample = sampling.bounded(keys.distinct(), rows, "key")
     texts = documents.select(F.col("doc_id").alias("key"), "text")
-    # the sample is bounded by `rows`, so that it may be sent to every executor
-    found = texts.join(F.broadcast(sample), "key").select("key", F.explode(described("text")).alias("c"))
+    # the sample is bounded by `rows`, so that it may be sent to every executor; of rows with one id one is taken
+    once = texts.join(F.broadcast(sample), "key").groupBy("key").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    found = once.select("key", F.explode(described("text")).alias("c"))
     table = found.select("c.x", "c.kind", "c.y", "c.base").toArrow()
     if not table.num_rows:
         return Selector()

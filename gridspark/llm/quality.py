@@ -104,8 +104,10 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) ->
         return pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), x.ravel())
 
     texts = documents.select(F.col("doc_id").alias("key"), "text")
-    # the sample is bounded by `rows`, so that it may be sent to every executor
-    table = texts.join(F.broadcast(sample), "key").select("key", "good", described("text").alias("x")).toArrow()
+    # the sample is bounded by `rows`, so that it may be sent to every executor; of rows with one id one is taken
+    found = texts.join(F.broadcast(sample), "key")
+    once = found.groupBy("key").agg(F.first("good").alias("good"), F.min_by("text", F.xxhash64("text")).alias("text"))
+    table = once.select("key", "good", described("text").alias("x")).toArrow()
     x = np.array(table["x"].combine_chunks().flatten()).reshape(-1, len(STATISTICS))
     y = np.array(table["good"].combine_chunks().cast(pa.int8()), dtype=float)
     order = np.lexsort((y, *x.T[::-1], np.array(table["key"].combine_chunks().cast(pa.string()), dtype=str)))

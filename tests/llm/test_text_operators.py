@@ -289,3 +289,35 @@ def test_decontamination_awkward_and_blocks(spark, awkward):
     assert decontamination.contamination(awkward, bench.limit(0)).where("contaminated").count() == 0
     assert decontamination.contamination(awkward.limit(0), bench).count() == 0
     assert awkward.where(F.col("score") == "x").count() == awkward.count()
+
+
+def test_word_hashes_of_all_lengths():
+    words = [c * n for c in "xy" for n in (*range(1, 40), 511, 512, 513, 520, 5000)]
+    words += ["x" * 8 + "\x01", "x" * 8 + "y", "é" * 9, "e" * 18]
+    seen = {}
+    for size in (1, 1 << 20):
+        for piece in text.pieces(pa.array([" ".join(words), *words]), size):
+            starts, ends, _ = piece.spans(text.BLANK_SEPARATED)
+            for a, b, h in zip(starts, ends, piece.hashes(starts, ends), strict=True):
+                assert seen.setdefault(piece.lower[a:b].tobytes(), int(h)) == int(h)
+    assert len(set(seen.values())) == len(seen) == len(words)
+    assert len(text.grams(np.arange(300, dtype=np.uint64), 200)) == 101
+
+
+def test_only_letters_decide_a_language(spark, real):
+    model = language.train(real)
+    rows = [(i, t, None, None) for i, t in enumerate(["½", "² 3", "①", "३", "_ _", "ª", "中"])]
+    out = {r.doc_id: r.lang_pred for r in language.languages(tools.documents(spark, rows), model).collect()}
+    assert [out[i] == language.UNDETERMINED for i in range(7)] == [True, True, True, True, True, False, False]
+
+
+def test_one_id_in_very_many_rows_is_fetched_once(spark, monkeypatch):
+    """However many rows an id has, training fetches one row of it."""
+    docs = tools.documents(spark, [(1, f"many words number {i}", "en", "s") for i in range(3000)] + [(2, "autres mots", "fr", "s"), (3, "le mot", "fr", "s")])
+    labels = spark.createDataFrame([(i, i % 2) for i in (1, 2, 3)], "doc_id long, quality int")
+    fetched = []
+    original = type(docs).toArrow
+    monkeypatch.setattr(type(docs), "toArrow", lambda self: fetched.append(original(self)) or fetched[-1])
+    language.train(docs)
+    quality.train(docs, labels)
+    assert fetched and all(t.num_rows <= 3 for t in fetched)
