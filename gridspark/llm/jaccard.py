@@ -11,9 +11,11 @@ may lie in the band below makes a sketch for that too. So by the pigeonhole two
   passages that very many documents share from pairing them, and drops sets with T + 1 words of their own at once.
 * The words travel as packed arrays, cut by hash into buckets that grow with the shuffle partitions. A word that very many
   sets of a task share is sent once with its count, and its sets take a way of their own, spread by set.
-* The sets that share a word are first compared with one of them. Components of these links are formed; then sets that
-  share a word but are in different components are compared. Equal sets are one set throughout. No link between sets of
-  different components is left out, so the components are exact, without pairing all members of a group of copies.
+* The sets that share a word are first compared with one of them. Components of these links are formed. In further rounds
+  the sets of a word that are outside its largest component are compared with members of that component, one row each, for
+  as long as that links more. Then sets that share a word but are still in different components are compared. Equal sets are
+  one set throughout. No link between sets of different components is left out, so the components are exact, without
+  pairing all members of a group of copies.
 * Pairs are first held against bit sketches (parity of the hashes at each bit), then against the sets.
 
 Hashes have 64 bits: a shingle counts as equal if its hash is, a set if size and 64-bit hash are.
@@ -44,6 +46,8 @@ GATHERED = 1 << 19
 SHARED = 64
 #: Sets of a block that are compared with another block at once, about.
 BLOCK_SETS = 256
+#: Rounds in which sets are compared with members of the largest component of their words, at most.
+ROUNDS = 4
 #: Bits of the filter of wanted sets: 16 for each, at most this many.
 FILTER_BITS = 1 << 26
 
@@ -308,6 +312,34 @@ def _leader_pairs(words: DataFrame, similarity: int) -> DataFrame:
     return met.where("sid <> leader").where(fits).select(*pair).distinct()
 
 
+def _outside_pairs(words: DataFrame, roots: DataFrame, similarity: int, turn: int) -> DataFrame:
+    """Every set outside the largest component of one of its words with one member of that component, another each turn."""
+    named = words.join(roots, F.col("sid") == F.col("node"), "left").select("word", "sid", "n", F.coalesce("root", "sid").alias("root"))
+    member = F.min_by(F.struct("sid", "n"), F.xxhash64(F.lit(turn), "sid"))
+    parts = named.groupBy("word", "root").agg(F.count("*").alias("c"), member.alias("member"))
+    main = parts.groupBy(F.col("word").alias("w")).agg(
+        F.max_by(F.struct("root", "member"), F.struct("c", "root")).alias("main"), F.count("*").alias("parts")
+    )
+    met = named.join(main.where("parts > 1"), (F.col("word") == F.col("w")) & (F.col("root") != F.col("main.root")))
+    met = met.select("sid", "n", F.col("main.member.sid").alias("other"), F.col("main.member.n").alias("m"))
+    fits = F.least("n", "m") * 100 >= F.greatest("n", "m") * similarity
+    return met.where(fits).select(F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b"), (F.col("n") + F.col("m")).alias("total")).distinct()
+
+
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` with components joined by further ``links``; only components that a link names are touched."""
+    known = roots.select("node", "root")
+    named = links
+    for c in ("a", "b"):
+        own = known.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+        named = named.join(own, c, "left").withColumn(c, F.coalesce(f"r{c}", c)).drop(f"r{c}")
+    between = named.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    joined = components(between).select(F.col("node").alias("old"), F.col("root").alias("new"))
+    moved = known.join(joined, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root"))
+    alone = joined.join(known, F.col("old") == F.col("node"), "left_anti").select(F.col("old").alias("node"), F.col("new").alias("root"))
+    return stored(moved.union(alone), "jaccard-roots")
+
+
 def _open_pairs(words: DataFrame, roots: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """Sets that share a word, are in different components and whose brief bit sketches are close enough.
 
@@ -461,11 +493,17 @@ def _groups(documents: DataFrame, similarity: int, width: int) -> tuple[DataFram
     words = stored(_first_words(counted), "jaccard-first")
     sets = stored(_wanted_sets(documents, words.select("sid").distinct(), width), "jaccard-sets")
     leading = _close(stored(_leader_pairs(words, similarity), "jaccard-leaders"), sets, similarity)
-    links = stored(_linked(leading, sets, similarity), "jaccard-links")
-    rest = stored(_open_pairs(words, components(links), sets, similarity), "jaccard-pairs")
+    roots = stored(components(_linked(leading, sets, similarity)), "jaccard-roots")
+    for turn in range(ROUNDS):
+        asked = _close(stored(_outside_pairs(words, roots, similarity, turn), "jaccard-outside"), sets, similarity)
+        links = stored(_linked(asked, sets, similarity), "jaccard-links")
+        if links.isEmpty():
+            break
+        roots = _merged(roots, links)
+    rest = stored(_open_pairs(words, roots, sets, similarity), "jaccard-pairs")
     rest = _close(rest, sets, similarity)
-    links = links.unionByName(_linked(rest, sets, similarity))
-    return counted.where(F.col("kind") == _DOCUMENT).select("doc_id", "sid", "n"), components(links)
+    links = stored(_linked(rest, sets, similarity), "jaccard-links")
+    return counted.where(F.col("kind") == _DOCUMENT).select("doc_id", "sid", "n"), _merged(roots, links)
 
 
 def near_duplicates(documents: DataFrame, similarity: int = SIMILARITY, width: int = SHINGLE) -> DataFrame:

@@ -8,13 +8,15 @@ of whole texts, so that memory follows the piece (or the one longest text), not
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 #: Bytes of text that are turned into numpy arrays at once; one longer text makes a piece of its own.
-PIECE_BYTES = 1 << 19
+PIECE_BYTES = 1 << 17
 #: Words of a shingle, unless an operator says otherwise.
 SHINGLE = 5
 
@@ -33,11 +35,9 @@ LETTERS[0x30:0x3A] = False
 LINES = np.ones(256, dtype=bool)
 LINES[0x0A] = False
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-#: Longest window of words that ``grams`` hashes.
-LONGEST_GRAM = 64
-
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 512
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -49,27 +49,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-#: One odd factor for each place in a window.
-_ORDER = mix(np.arange(1, LONGEST_GRAM + 1, dtype=np.uint64)) | np.uint64(1)
-
-
-class _Powers:
-    """Powers of the hash base and of its inverse, kept between pieces."""
-
-    forward = backward = np.ones(1, dtype=np.uint64)
-
-    @classmethod
-    def upto(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.forward) < n:
-            size = max(n, PIECE_BYTES + 1)
-            made = [np.full(size, b, dtype=np.uint64) for b in (_BASE, _BASE_INVERSE)]
-            for powers in made:
-                powers[0] = 1
-                np.multiply.accumulate(powers, out=powers)
-            if size > 16 * PIECE_BYTES:  # one huge text: not kept
-                return made[0], made[1]
-            cls.forward, cls.backward = made
-        return cls.forward, cls.backward
+@lru_cache(maxsize=64)
+def _order(width: int) -> np.ndarray:
+    """One odd factor for each place in a window."""
+    return mix(np.arange(1, width + 1, dtype=np.uint64)) | np.uint64(1)
 
 
 class Piece:
@@ -79,7 +62,6 @@ class Piece:
         self.first, self.data, self.offsets = first, data, offsets
         self.n = len(offsets) - 1
         self.lower = _LOWER[data]
-        self._sums: np.ndarray | None = None
 
     def spans(self, word_bytes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start and end of every run of ``word_bytes``, and the index of each text's first run (one more at the end)."""
@@ -104,13 +86,22 @@ class Piece:
         return found.dictionary_encode(), np.repeat(np.arange(self.n), np.diff(first))
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """64-bit hash of each lower-cased span."""
-        forward, backward = _Powers.upto(len(self.data) + 1)
-        if self._sums is None:
-            sums = np.zeros(len(self.data) + 1, dtype=np.uint64)
-            np.cumsum((self.lower.astype(np.uint64) + np.uint64(1)) * forward[: len(self.data)], out=sums[1:])
-            self._sums = sums
-        return mix((self._sums[ends] - self._sums[starts]) * backward[starts] + (ends - starts).astype(np.uint64))
+        """64-bit hash of each lower-cased span: its blocks of eight bytes are mixed in one after the other."""
+        padded = np.zeros(len(self.lower) + 8, dtype=np.uint8)
+        padded[: len(self.lower)] = self.lower
+        blocks = np.ndarray(len(self.lower) + 1, dtype="<u8", buffer=padded, strides=(1,))
+        left = ends - starts
+        out = mix(left.astype(np.uint64) + _STEP)
+        of, at = np.flatnonzero((left > 0) & (left <= LONG_WORD)), starts
+        while len(of):
+            bits = np.minimum(left[of], 8).astype(np.uint64) * np.uint64(8)
+            own = blocks[at[of]] & (~np.uint64(0) >> (np.uint64(64) - bits))
+            out[of] = mix(out[of] ^ own) + _STEP
+            left, at = left - 8, at + 8
+            of = of[left[of] > 0]
+        for i in np.flatnonzero(ends - starts > LONG_WORD):
+            out[i] = xxhash.xxh3_64_intdigest(self.lower[starts[i] : ends[i]].tobytes())
+        return mix(out)
 
 
 def pieces(texts: pa.Array, limit: int = PIECE_BYTES) -> Iterator[Piece]:
@@ -135,8 +126,8 @@ def grams(words: np.ndarray, width: int) -> np.ndarray:
     """Hash of every ``width`` consecutive word hashes; the caller drops those that cross texts."""
     count = max(0, len(words) - width + 1)
     total = np.full(count, width, dtype=np.uint64)
-    for j in range(width):
-        total += words[j : j + count] * _ORDER[j]
+    for j, factor in enumerate(_order(width)):
+        total += words[j : j + count] * factor
     return mix(total)
 
 

@@ -394,3 +394,34 @@ def test_representatives_when_later_scans_are_split_otherwise(spark, tmp_path):
 def test_pieces_of_sliced_arrays():
     array = pa.array(["a", None, "b c", ""], pa.large_string()).slice(1)
     assert [p.data.tobytes() for p in text.pieces(array)] == [b"b c"]
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+
+
+def test_words_whose_letters_balance_do_not_collide(spark):
+    """Linear word hashes give the word and its twin one hash, whatever their base."""
+    swap = str.maketrans("ab", "ba")
+    words = [thue_morse(n) for n in (512, 1024, 2048, 4096)]
+    docs = tools.documents(spark, [(i, w, "en", "s") for i, w in enumerate([*words, *(w.translate(swap) for w in words)])])
+    out = {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs).collect()}
+    assert out == {i: i for i in range(8)}
+
+
+def test_near_misses_make_few_pairs(spark):
+    """A group of texts of which many are near misses of each other, in several components until all links are found."""
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(500)]
+    base = rng.choices(vocabulary, k=120)
+    texts = [" ".join(edited(rng, base, rng.choice((0.004, 0.01, 0.02, 0.03)))) for _ in range(250)]
+    docs = tools.documents(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]).repartition(3)
+    out = {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs).collect()}
+    assert [out[i] for i in range(len(texts))] == tools.components(texts)
+
+
+def test_long_page_ids_come_back_whole(spark):
+    ids = ["p" * 60 + str(i) for i in range(3)]
+    pages = spark.createDataFrame([(i, f"http://x.org/{i}", "h" * 1200) for i in ids], "page_id string, url string, html string")
+    out = tools.rows_of(warc.page_records(pages), "page_id", "record_type", "refers_to")
+    assert out == sorted([(ids[0], "revisit", ids[2]), (ids[1], "revisit", ids[2]), (ids[2], "response", None)])
