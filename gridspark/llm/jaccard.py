@@ -42,8 +42,10 @@ SIMILARITY = 80
 BAND = 1.7
 SLACK = 1.2
 #: Sketch words that a task gathers before it sends them, about, and sets of one task from which a shared word is sent once.
-GATHERED = 1 << 19
+GATHERED = 1 << 18
 SHARED = 64
+#: Parts, by hash, in which a task sorts its words; a power of two.
+RANGES = 16
 #: Sets of a block that are compared with another block at once, about.
 BLOCK_SETS = 256
 #: Rounds in which sets are compared with members of the largest component of their words, at most.
@@ -215,6 +217,7 @@ def _sketches(documents: DataFrame, width: int, bands: Bands, buckets: int) -> D
                     yield _batch(list(gathered.rows()), schema)
         if gathered is not None and gathered.size:
             yield _batch(list(gathered.rows()), schema)
+        pa.default_memory_pool().release_unused()
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(mapped, _MAPPED)
@@ -238,34 +241,42 @@ def _counted(mapped: DataFrame) -> DataFrame:
             for i in np.flatnonzero(kind == _MEMBER):
                 words, sids = (np.frombuffer(batch[c][int(i)].as_py(), dtype=np.int64) for c in ("words", "sids"))
                 yield _entries(schema, _MEMBER, words, sids, None)
-        if not parts["words"]:
-            return
-        words, sids, shared, counts = (np.concatenate(parts[c]) for c in ("words", "sids", "shared", "counts"))
-        order = np.lexsort((sids, words))
-        words, sids = words[order], sids[order]
-        if len(words):
-            new = np.concatenate(([True], (words[1:] != words[:-1]) | (sids[1:] != sids[:-1])))
-            words, sids = words[new], sids[new]
-        summary, where = np.unique(shared, return_inverse=True)
-        more = np.bincount(where, counts, len(summary)).astype(np.int64) if len(shared) else np.zeros(0, dtype=np.int64)
-        starts = np.flatnonzero(np.concatenate(([True], words[1:] != words[:-1]))) if len(words) else np.zeros(0, dtype=int)
-        count = np.diff(np.append(starts, len(words)))
-        if len(summary):
-            at = np.searchsorted(words[starts], summary)
-            hit = np.zeros(len(summary), dtype=bool)
-            inside = at < len(starts)
-            hit[inside] = words[starts][at[inside]] == summary[inside]
-            count[at[hit]] += more[hit]
-            total = more.copy()
-            total[hit] = count[at[hit]]
-            yield _entries(schema, _SHARED, summary.view(np.int64), None, total)
-        each = np.repeat(count, np.diff(np.append(starts, len(words))))
-        several = each > 1
-        yield _entries(schema, _ENTRY, words[several].view(np.int64), sids[several], each[several])
+        if parts["words"]:
+            held = {name: np.concatenate(parts.pop(name)) for name in list(parts)}
+            range_of, shared_range = (mix(held[c]) >> np.uint64(64 - RANGES.bit_length() + 1) for c in ("words", "shared"))
+            for r in range(RANGES):  # sorted copies of a part of the words at a time
+                own, of = range_of == r, shared_range == r
+                yield from _counted_words(schema, held["words"][own], held["sids"][own], held["shared"][of], held["counts"][of])
+        pa.default_memory_pool().release_unused()
 
     return mapped.repartition("bucket").mapInArrow(reduced, _REDUCED)
 
 
+def _counted_words(schema: pa.Schema, words: np.ndarray, sids: np.ndarray, shared: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The words that several sets have, and those that some task has sent with their count (``shared``)."""
+    order = np.lexsort((sids, words))
+    words, sids = words[order], sids[order]
+    if len(words):
+        new = np.concatenate(([True], (words[1:] != words[:-1]) | (sids[1:] != sids[:-1])))
+        words, sids = words[new], sids[new]
+    summary, where = np.unique(shared, return_inverse=True)
+    more = np.bincount(where, counts, len(summary)).astype(np.int64) if len(shared) else np.zeros(0, dtype=np.int64)
+    starts = np.flatnonzero(np.concatenate(([True], words[1:] != words[:-1]))) if len(words) else np.zeros(0, dtype=int)
+    count = np.diff(np.append(starts, len(words)))
+    if len(summary):
+        at = np.searchsorted(words[starts], summary)
+        hit = np.zeros(len(summary), dtype=bool)
+        inside = at < len(starts)
+        hit[inside] = words[starts][at[inside]] == summary[inside]
+        count[at[hit]] += more[hit]
+        total = more.copy()
+        total[hit] = count[at[hit]]
+        yield _entries(schema, _SHARED, summary.view(np.int64), None, total)
+    each = np.repeat(count, np.diff(np.append(starts, len(words))))
+    several = each > 1
+    yield _entries(schema, _ENTRY, words[several].view(np.int64), sids[several], each[several])
+
+
 def _entries(schema: pa.Schema, kind: int, words: np.ndarray, sids: np.ndarray | None, counts: np.ndarray | None) -> pa.RecordBatch:
     n = len(words)
     empty = {name: pa.nulls(n, schema.field(name).type) for name in schema.names}
@@ -523,9 +534,9 @@ def near_duplicates(documents: DataFrame, similarity: int = SIMILARITY, width: i
 
 
 def representatives(documents: DataFrame, similarity: int = SIMILARITY, width: int = SHINGLE) -> DataFrame:
-    """One row of each component, with all its columns: the one of the smallest doc_id (null last), of equal ids the
-    first in the files. Rows without words stay. The rows are written once with their numbers, and all that names or
-    drops a row by its number reads them there: another scan may be split otherwise and number them anew.
+    """One row of each component, with all its columns: the one of the smallest doc_id (null last), of equal ids the one of
+    the least hash of its columns. Rows without words stay. Rows are named by their content, which every scan sees alike;
+    rows that are equal in all columns are told apart only where they would all stay, and one of them does.
     """
 
     @F.arrow_udf("long")
@@ -534,16 +545,24 @@ def representatives(documents: DataFrame, similarity: int = SIMILARITY, width: i
             sets = (s for piece in pieces(texts) for s in shingle_sets(piece, width))
             yield pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())
 
-    numbered = stored(documents.withColumn("__row", F.monotonically_increasing_id()), "jaccard-rows")
-    _, roots = _groups(numbered, similarity, width)
-    keyed = numbered.select("doc_id", identified("text").alias("sid"), "__row").where("sid IS NOT NULL")
+    hashed = [c for c, kind in documents.dtypes if "map<" not in kind and "variant" not in kind]
+    content = [F.xxhash64(F.lit(k), *[F.struct(F.isnull(c), c) for c in hashed]).alias(f"__h{k}") for k in (1, 2)]
+    name = ["__h1", "__h2"]
+    _, roots = _groups(documents, similarity, width)
+    keyed = documents.select("doc_id", identified("text").alias("sid"), *content).where("sid IS NOT NULL")
     keyed = stored(keyed.join(roots, F.col("sid") == F.col("node"), "left").select(
-        F.coalesce("root", "sid").alias("key"), F.struct(F.col("doc_id").isNull(), "doc_id", "__row").alias("place"), "__row"
+        F.coalesce("root", "sid").alias("key"), F.struct(F.col("doc_id").isNull(), "doc_id", *name).alias("place"), *name
     ), "jaccard-keys")
     first = keyed.groupBy(F.col("key").alias("of")).agg(F.min("place").alias("first"), F.count("*").alias("c")).where("c > 1")
-    dropped = keyed.join(first, F.col("key") == F.col("of")).where("place <> first").select("__row")
-    # the planner knows the size of the stored rows: few of them are broadcast, and no text is shuffled
-    return numbered.join(stored(dropped, "jaccard-dropped"), "__row", "left_anti").drop("__row")
+    judged = keyed.join(first, F.col("key") == F.col("of")).groupBy(*name).agg(
+        F.first(F.col("place") == F.col("first")).alias("stays"), F.count("*").alias("c")
+    )
+    judged = stored(judged.where("NOT stays OR c > 1"), "jaccard-judged")
+    dropped, repeated = judged.where("NOT stays").select(name), judged.where("stays").select(name)
+    # the planner knows the sizes of stored rows: few of them are broadcast, and no text is shuffled
+    left = documents.select("*", *content).join(dropped, name, "left_anti")
+    once = left.join(repeated, name, "left_semi").dropDuplicates(name)
+    return left.join(repeated, name, "left_anti").union(once.select(left.columns)).select(documents.columns)
 
 
 #: The same as SQL.
