@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridspark.functions.ieee import NAN
+from gridspark.operators import ranks
 
 
 def merge_fields(frames: Sequence[DataFrame], dims: Sequence[str]) -> DataFrame:
@@ -37,6 +38,39 @@ def align_fields(a: DataFrame, b: DataFrame, dims: Sequence[str]) -> DataFrame:
     return a.join(b, list(dims))
 
 
+def coordinate_index(cells: DataFrame, dim: str, label: str) -> DataFrame:
+    """The labels along ``dim``, one row each with the position; a label at two positions is an error. Null is no label."""
+    at = cells.where(F.col(label).isNotNull()).groupBy(label).agg(F.min(dim).alias("_low"), F.max(dim).alias("_high"))
+    message = F.concat(F.lit(f"several positions of {dim} are labelled "), F.col(label).cast("string"))
+    once = F.when(F.col("_low") == F.col("_high"), F.col("_low")).otherwise(F.raise_error(message).cast("bigint"))
+    return at.select(label, once.alias(dim))
+
+
+def align_labels(a: DataFrame, b: DataFrame, dims: Sequence[str], labels: Mapping[str, str]) -> DataFrame:
+    """Cells present in both frames, for element-wise arithmetic, matched by label where a dimension has labels.
+
+    ``labels`` names the column, in both frames, that labels a dimension; the other dimensions are matched by position.
+    Positions along a labelled dimension are derived: the labels that both frames have, in the order of the first.
+
+    Cells are joined on labels and positions, so they move once; the indexes have a row per label, and their rows are ranked
+    in segments.
+    """
+    keys = [labels.get(d, d) for d in dims]
+    variables = [[c for c in f.columns if c not in (*dims, *keys)] for f in (a, b)]
+    twice = set(variables[0]) & set(variables[1])
+    if twice:
+        raise ValueError(f"given twice: {sorted(twice)}")
+    out = a.select(*keys, *variables[0]).join(b.select(*keys, *variables[1]), keys)
+    for dim, label in labels.items():
+        both = coordinate_index(a, dim, label).join(coordinate_index(b, dim, label).select(label, F.col(dim).alias("_other")), label)
+        segment = F.floor(F.col(dim) / ranks.SEGMENT)
+        # the other position is kept in the plan, so that its check is too
+        ranked = ranks.with_positions(both.withColumn("_all", F.lit(0)), ["_all"], [dim, "_other"], "_place", coarse=[segment])
+        out = out.join(ranked.select(label, F.col("_place").alias(dim)), label)
+    named = [label for label in labels.values() if label not in dims]
+    return out.select(*dims, *named, *variables[0], *variables[1])
+
+
 @dataclass
 class Dataset:
     """Variables of different dimensions: one table for each set of dimensions.

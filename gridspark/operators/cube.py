@@ -13,7 +13,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridspark.functions.ieee import NAN, REDUCTIONS, ieee_div, present
+from gridspark.functions.ieee import NAN, ieee_div, present
+from gridspark.operators.reductions import Reduction, expression, reduce_by
 
 #: Column metadata marking a runtime column that combines other ones.
 COMBINED = "gridspark.combined"
@@ -22,22 +23,17 @@ COMBINED = "gridspark.combined"
 # ---------------------------------------------------------------- measurements to cubes
 
 
-def _reduced(df: DataFrame, parts: Sequence[str], reduction: str) -> list[Column]:
-    """The reduced runtime columns; marks such as :data:`COMBINED` stay on them."""
-    return [REDUCTIONS[reduction](F.col(p)).alias(p, metadata=df.schema[p].metadata) for p in parts]
-
-
 def reduce_iterations(
     measurements: DataFrame,
     config: Sequence[str],
     parts: Sequence[str],
     warmup: bool = True,
-    reduction: str = "nanmean",
+    reduction: Reduction = "nanmean",
     iteration: str = "iteration",
 ) -> DataFrame:
     """One row per configuration from its timed iterations, without the warm-up one."""
     rows = measurements.filter(F.col(iteration) > 0) if warmup else measurements
-    return rows.groupBy(*config).agg(*_reduced(rows, parts, reduction))
+    return reduce_by(rows, config, parts, reduction)
 
 
 def add_options(df: DataFrame, **values: Any) -> DataFrame:
@@ -97,13 +93,13 @@ def create_cores_dimension(
     parts: Sequence[str],
     contributors: Sequence[str],
     cores: str = "cores",
-    reduction: str = "min",
+    reduction: Reduction = "min",
 ) -> DataFrame:
     """Replace the contributing dimensions by their product, reducing equal products."""
     rest = [d for d in dims if d not in contributors]
     product = reduce(Column.__mul__, [F.col(c) for c in contributors]).cast("bigint")
     keyed = results.withColumn(cores, product)
-    return keyed.groupBy(*rest, cores).agg(*_reduced(keyed, parts, reduction))
+    return reduce_by(keyed, [*rest, cores], parts, reduction)
 
 
 # ---------------------------------------------------------------- labels and runtime columns
@@ -158,19 +154,27 @@ def plain_parts(results: DataFrame, parts: Sequence[str]) -> list[str]:
 # ---------------------------------------------------------------- reductions and series
 
 
-def marginal(results: DataFrame, main: str, dim: str, parts: Sequence[str], reduction: str = "nanmin") -> DataFrame:
+def marginal(results: DataFrame, main: str, dim: str, parts: Sequence[str], reduction: Reduction = "nanmin") -> DataFrame:
     """Reduce all dimensions but ``main`` and ``dim``."""
-    return results.groupBy(main, dim).agg(*_reduced(results, parts, reduction))
+    return reduce_by(results, [main, dim], parts, reduction)
 
 
 def marginal_sets(
-    results: DataFrame, main: str, dims: Sequence[str], parts: Sequence[str], reduction: str = "nanmin"
+    results: DataFrame, main: str, dims: Sequence[str], parts: Sequence[str], reduction: Reduction = "nanmin"
 ) -> DataFrame:
-    """The marginals of all ``dims`` in one pass, as rows ``(main, dim, label, parts)``."""
+    """The marginals of all ``dims`` in one pass, as rows ``(main, dim, label, parts)``.
+
+    Spark aggregates are grouping sets; other reductions get each row once for every dimension.
+    """
+    chosen = expression(reduction)
+    if chosen is None:
+        labels = [F.struct(F.lit(d).alias("dim"), F.col(d).cast("string").alias("label")) for d in dims]
+        rows = results.select(main, *parts, F.inline(F.array(*labels)))
+        return reduce_by(rows, [main, "dim", "label"], parts, reduction)
     sets = [[F.col(main), F.col(d)] for d in dims]
     grouped = results.groupingSets(sets, F.col(main), *[F.col(d) for d in dims]).agg(
         *[F.grouping(d).alias(f"_g_{d}") for d in dims],
-        *_reduced(results, parts, reduction),
+        *[chosen(F.col(p)).alias(p, metadata=results.schema[p].metadata) for p in parts],
     )
     name, label = F.lit(None).cast("string"), F.lit(None).cast("string")
     for d in dims:

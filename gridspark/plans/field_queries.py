@@ -577,3 +577,63 @@ def assign_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_orderkey", "l_linenumber", F.col("l_partkey").alias("layout_id"), (F.col("l_orderkey") % 150).alias("position")
     )
     return layout.assign_by_layout(cells, layouts, ["layout_id"], "sizes", "position")
+
+
+# ---------------------------------------------------------------- files that differ, labelled axes, placed chunks
+
+
+@query(
+    GRID
+    + """SELECT col_id, z, round(CASE WHEN z < 4 THEN t ELSE -1e0 END, 6) + 0.0e0 AS t,
+                round(CASE WHEN z > 1 OR z = 0 THEN u ELSE -999e0 END, 6) + 0.0e0 AS u,
+                CASE WHEN z > 1 THEN n END AS n, z IN (2, 3) AS twice
+         FROM grid_cells"""
+)
+def multi_file_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three sets of files: levels overlap, each lacks variables, and one has NaN where another has values."""
+    cells = fx.grid_cells(spark, sf_dir)
+    path = scratch_path(spark, "overlapping")
+    cells.where("z < 4").select(*CELL, "t").write.parquet(f"{path}/low")
+    cells.where("z > 1").select(*CELL, F.when(F.col("z") < 4, F.col("t")).otherwise(F.lit(np.nan)).alias("t"), "u", "n").write.parquet(f"{path}/high")
+    cells.where("z < 3").select(*CELL, F.when(F.col("z") == 0, F.col("u")).otherwise(F.lit(np.nan)).alias("u")).write.parquet(f"{path}/gaps")
+    both = fields.scan_aligned(spark, [f"{path}/{part}" for part in ("low", "high", "gaps")], CELL)
+    shown = [r6(F.nanvl(v, F.lit(gap)), v) for v, gap in (("t", -1.0), ("u", -999.0))]
+    return both.select(*CELL, *shown, "n", F.col("z").isin(2, 3).alias("twice"))
+
+
+@query(
+    GRID
+    + """, a AS (SELECT col_id, 100 - 10 * z AS height, z, t FROM grid_cells WHERE z <> 2),
+    b AS (SELECT col_id, 100 - 10 * z AS height, u FROM grid_cells WHERE z > 0),
+    shared AS (SELECT height, row_number() OVER (ORDER BY min(z)) - 1 AS z FROM a
+               WHERE height IN (SELECT height FROM b) GROUP BY height)
+    SELECT col_id, CAST(s.z AS BIGINT) AS z, CAST(height AS BIGINT) AS height, round(t * u, 6) + 0.0e0 AS product
+    FROM a JOIN b USING (col_id, height) JOIN shared s USING (height)"""
+)
+def align_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two fields whose levels are numbered apart but labelled alike: one lacks a level, the other starts a level later."""
+    cells = fx.grid_cells(spark, sf_dir).withColumn("height", F.lit(100) - 10 * F.col("z"))
+    first = cells.where("z <> 2").withColumn("z", F.when(F.col("z") > 2, F.col("z") - 1).otherwise(F.col("z")))
+    later = cells.where("z > 0").withColumn("z", F.col("z") - 1)
+    both = align.align_labels(first.select(*CELL, "height", "t"), later.select(*CELL, "height", "u"), CELL, {"z": "height"})
+    return both.select(*CELL, F.col("height").cast("bigint").alias("height"), r6(F.col("t") * F.col("u"), "product"))
+
+
+@query(
+    GRID
+    + """SELECT x // 10 AS chunk_x, z, count(*) AS cells, round(avg(t * u), 6) + 0.0e0 AS mean_product
+         FROM grid_cells WHERE z > 0 GROUP BY 1, 2"""
+)
+def placed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two fields stored with equal chunks, joined by cell and averaged by chunk and level where they lie."""
+    session = fields.placed_session(spark)
+    cells = layout.with_chunks(fx.grid_cells(spark, sf_dir), {"x": 10})
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tables = []
+    for variable, kept in (("t", cells), ("u", cells.where("z > 0"))):
+        path = scratch_path(spark, f"placed_{variable}")
+        tables.append(path.rsplit("/", 1)[1].replace("-", "_"))
+        fields.write_placed(kept.select("chunk_x", *CELL, variable), tables[-1], path, ["chunk_x"], CELL, buckets)
+    t, u = (session.table(name) for name in tables)
+    mean = r6(F.avg(F.col("t") * F.col("u")), "mean_product")
+    return t.join(u, ["chunk_x", *CELL]).groupBy(F.col("chunk_x").cast("bigint").alias("chunk_x"), "z").agg(F.count("*").alias("cells"), mean)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridspark.functions import scalars
 from gridspark.functions.ieee import NAN
-from gridspark.operators import cube, records, scaling
+from gridspark.operators import cube, records, reductions, scaling
 from gridspark.plans import fixtures as fx
 from gridspark.plans.evaluation import evaluate
 from gridspark.plans.fixtures import CONFIG, PARTS, with_views
@@ -487,3 +490,68 @@ def flatten_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = fx.table(spark, sf_dir, "part").select("p_partkey", F.parse_json(text).alias("record"))
     leaves = records.record_leaves(documents, ["p_partkey"], "record", ".")
     return leaves.select("p_partkey", "path", records.leaf_text(F.col("value")).alias("value"))
+
+
+# ---------------------------------------------------------------- any reduction
+
+
+def _moments() -> reductions.Mergeable:
+    """Standard deviation from counts, means and squared distances, which merge in any order."""
+
+    def merge(a: Sequence[float], b: Sequence[float]) -> Sequence[float]:
+        n, apart = a[0] + b[0], b[1] - a[1]
+        return (n, a[1] + apart * b[0] / n, a[2] + b[2] + apart * apart * a[0] * b[0] / n) if n else a
+
+    def update(state: Sequence[float], values: np.ndarray) -> Sequence[float]:
+        held = values[~np.isnan(values)]
+        return merge(state, (len(held), held.mean(), ((held - held.mean()) ** 2).sum())) if len(held) else state
+
+    return reductions.Mergeable((0.0, 0.0, 0.0), update, merge, lambda s: (s[2] / s[0]) ** 0.5 if s[0] else NAN)
+
+
+@query(
+    MEAS
+    + f"""SELECT impl, workers, cores_per_worker, {", ".join(f"round(median({p}), 6) + 0.0e0 AS {p}" for p in PARTS)}
+          FROM measurements WHERE iteration > 0 GROUP BY ALL"""
+)
+def iteration_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reduced = cube.reduce_iterations(fx.measurements(spark, sf_dir), DIMS, PARTS, reduction="nanmedian")
+    return reduced.select(*DIMS, *_rounded())
+
+
+@query(
+    MEAS
+    + f"""SELECT impl, workers, cores_per_worker, {", ".join(f"round(stddev_pop({p}), 6) + 0.0e0 AS {p}" for p in PARTS)}
+          FROM measurements WHERE iteration > 0 GROUP BY ALL"""
+)
+def iteration_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's reduction, given as states that merge."""
+    reduced = cube.reduce_iterations(fx.measurements(spark, sf_dir), DIMS, PARTS, reduction=_moments())
+    return reduced.select(*DIMS, *_rounded())
+
+
+@query(
+    MEAS
+    + """SELECT impl, 'workers' AS dim, CAST(workers AS VARCHAR) AS label, round(quantile_cont(compute, 9e-1), 6) + 0.0e0 AS compute
+         FROM measurements GROUP BY ALL
+         UNION ALL SELECT impl, 'cores_per_worker', CAST(cores_per_worker AS VARCHAR), round(quantile_cont(compute, 9e-1), 6) + 0.0e0
+         FROM measurements GROUP BY ALL"""
+)
+def marginal_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ninth decile of all iterations along each dimension."""
+    runs = fx.measurements(spark, sf_dir)
+    sets = cube.marginal_sets(runs, "impl", ["workers", "cores_per_worker"], ["compute"], reductions.Quantile(0.9))
+    return sets.select("impl", "dim", "label", r6("compute", "compute"))
+
+
+@query(
+    CORES
+    + """SELECT impl, cores, round(full_rt, 6) + 0.0e0 AS full_rt FROM
+         (SELECT impl, workers * cores_per_worker AS cores, max(full_rt) - min(full_rt) AS full_rt FROM results GROUP BY 1, 2)"""
+)
+def cores_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equal products of cores reduced by a function of columns."""
+    spread = cube.create_cores_dimension(
+        fx.results(spark, sf_dir), DIMS, ["full_rt"], ["workers", "cores_per_worker"], reduction=lambda c: F.max(c) - F.min(c)
+    )
+    return spread.select("impl", "cores", r6("full_rt", "full_rt"))

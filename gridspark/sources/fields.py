@@ -12,7 +12,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridspark.functions.ieee import NAN
+from gridspark.functions.ieee import NAN, not_nan
 from gridspark.operators.ranks import highest, with_group_stats
 
 # Names and level types of the diagnostics' inputs.
@@ -43,6 +43,35 @@ def scan_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     return spark.read.parquet(*paths)
 
 
+def scan_aligned(spark: SparkSession, paths: Sequence[str], dims: Sequence[str], conflicts: str = "error") -> DataFrame:
+    """Files that overlap or lack variables as one table with one row per position; what no file has is NaN.
+
+    Files may hold different variables. Where several files give a position's variable, missing and NaN values yield to
+    others. Values that differ are an ``error`` that names two of the files, or the one of the ``first`` or ``last`` file
+    by path counts. All files are one scan and one aggregation, combined on the map side.
+    """
+    if conflicts not in ("error", "first", "last"):
+        raise ValueError(f"no rule for conflicts: {conflicts}")
+    cells = spark.read.option("mergeSchema", True).parquet(*paths)
+    numbers = {c for c, kind in cells.dtypes if kind in ("double", "float")}
+    variables = [c for c in cells.columns if c not in dims]
+    rows = cells.select(*dims, *variables, F.col("_metadata.file_path").alias("_file"))
+
+    def settled(name: str) -> Column:
+        given = not_nan(F.col(name)) if name in numbers else F.col(name)
+        at = F.when(given.isNotNull(), F.struct(F.col("_file").alias("file"), given.alias("value")))
+        if conflicts != "error":
+            chosen = (F.min if conflicts == "first" else F.max)(at)["value"]
+        else:
+            low, high = F.min(given), F.max(given)
+            files = [F.coalesce(f(F.col("_file"), given), F.lit("")) for f in (F.min_by, F.max_by)]
+            message = F.concat(F.lit(f"{name} differs between "), files[0], F.lit(" and "), files[1])
+            chosen = F.when(low == high, high).when(low != high, F.raise_error(message).cast(cells.schema[name].dataType))
+        return (F.coalesce(chosen, F.lit(NAN).cast(cells.schema[name].dataType)) if name in numbers else chosen).alias(name)
+
+    return rows.groupBy(*dims).agg(*map(settled, variables))
+
+
 def load_fields(
     messages: DataFrame, short_names: Sequence[str], dims: Sequence[str], key_filters: Mapping[str, Any] | None = None
 ) -> DataFrame:
@@ -150,6 +179,30 @@ def read_cells(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def write_placed(cells: DataFrame, name: str, path: str, chunk_columns: Sequence[str], dims: Sequence[str], buckets: int) -> None:
+    """Store cells as the table ``name`` that remembers where its chunks are: by chunk in ``buckets`` sorted files.
+
+    Tables with equal chunks and as many buckets join and aggregate by chunk without moving a cell, in a session of
+    ``placed_session``. A chunk stays in one task, so cut deep columns into chunks as well.
+    """
+    placed = cells.repartition(buckets, *chunk_columns).write.mode("overwrite").option("path", path)
+    placed.bucketBy(buckets, *chunk_columns).sortBy(*chunk_columns, *dims).format("parquet").saveAsTable(name)
+
+
+def placed_session(spark: SparkSession) -> SparkSession:
+    """A session on the same cluster and tables in which joins by chunk and position accept tables placed by chunk.
+
+    By default a join moves both sides unless they are placed by all of its keys.
+    """
+    own = spark.newSession()
+    for setting in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        value = spark.conf.get(setting, None)
+        if value is not None:
+            own.conf.set(setting, value)
+    own.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    return own
+
+
 def discard(df: DataFrame) -> None:
     """Compute everything and keep nothing."""
     df.write.format("noop").mode("overwrite").save()
