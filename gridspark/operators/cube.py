@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridspark.functions.ieee import NAN, ieee_div, present
+from gridspark.operators.ranks import with_positions
 from gridspark.operators.reductions import Reduction, expression, reduce_by
 
 #: Column metadata marking a runtime column that combines other ones.
@@ -75,6 +76,33 @@ def unpivot_dims(df: DataFrame, dims: Sequence[str]) -> DataFrame:
     return df.select(*dims).distinct().select(F.inline(pairs)).distinct()
 
 
+def typed_labels(df: DataFrame, dims: Sequence[str]) -> DataFrame:
+    """Distinct ``(dim, label)`` rows whose labels are JSON texts, so that ``3`` and ``"3"`` differ; null ones are left out.
+
+    Dimensions may have any type, variants too, which hold labels of several types.
+    """
+    pairs = [F.struct(F.lit(d).alias("dim"), F.to_json(F.col(d).cast("variant")).alias("label")) for d in dims]
+    rows = df.select(F.inline(F.array(*pairs))).where(F.col("label").isNotNull() & (F.col("label") != "null"))
+    return rows.distinct()
+
+
+def label_order(label: Column) -> Column:
+    """What JSON labels are sorted by: numbers by value and before all others, those by text."""
+    value = F.parse_json(label)
+    number = F.when(F.schema_of_variant(value).isin("STRING", "BOOLEAN"), None).otherwise(F.try_variant_get(value, "$", "double"))
+    return F.struct(number.isNull().alias("other"), number.alias("number"), label.alias("text"))
+
+
+def typed_summary(df: DataFrame, dims: Sequence[str]) -> DataFrame:
+    """The JSON labels of each dimension with their 0-based place in its order, flagged scalar where there is only one."""
+    labels = typed_labels(df, dims).withColumn("_order", label_order(F.col("label")))
+    # numbers fall into segments by size, texts into one for each first letter
+    coarse = [F.col("_order.other"), F.floor(F.log2(F.greatest(F.col("_order.number"), F.lit(1.0)))), F.substring("label", 1, 2)]
+    segment = [coarse[0], F.when(~coarse[0], coarse[1]), F.when(coarse[0], coarse[2])]
+    placed = with_positions(labels, ["dim"], ["_order"], "place", "_n", segment)
+    return placed.select("dim", "place", "label", (F.col("_n") == 1).alias("scalar"))
+
+
 def varying_dims(df: DataFrame, dims: Sequence[str]) -> DataFrame:
     counts = unpivot_dims(df, dims).groupBy("dim").agg(F.count("*").alias("labels"))
     return counts.filter(F.col("labels") > 1)

@@ -76,6 +76,31 @@ def record_leaves(df: DataFrame, keys: Sequence[str], record: str, separator: st
     return reduce(DataFrame.union, leaves) if leaves else level.where(F.lit(False))
 
 
+def _is_list(v: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(v).startswith("ARRAY"), F.lit(False))
+
+
+def flat_items(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Items of lists nested to any depth, which may differ from item to item: ``keys``, ``place`` and ``item`` (a variant).
+
+    ``value`` is a variant or an array. What is no list is its only item, null (not missing) included; empty lists have
+    none. ``place`` lists the positions that lead to the item, so items sort by it as a reader meets them. Every round
+    opens the lists of one level; what is left is written down until no list is.
+    """
+    kind = df.schema[value].dataType
+    given = F.col(value) if isinstance(kind, T.VariantType) else F.to_variant_object(value) if isinstance(kind, T.ArrayType) else F.col(value).cast("variant")
+    level = df.where(F.col(value).isNotNull()).select(*keys, F.array().cast("array<int>").alias("place"), given.alias("item"))
+    level = materialize(level, "lists")
+    items = [level.where(~_is_list(F.col("item")))]
+    while not level.where(_is_list(F.col("item"))).isEmpty():
+        lists = level.where(_is_list(F.col("item"))).withColumnRenamed("item", "_list")
+        opened = lists.lateralJoin(df.sparkSession.tvf.variant_explode(F.col("_list").outer()))
+        place = F.concat("place", F.array(F.col("pos").cast("int")))
+        level = materialize(opened.select(*keys, place.alias("place"), F.col("value").alias("item")), "lists")
+        items.append(level.where(~_is_list(F.col("item"))))
+    return reduce(DataFrame.union, items)
+
+
 def leaf_text(value: Column) -> Column:
     """A leaf as text: lists as JSON, strings as they are, nulls as null."""
     return F.when(F.is_variant_null(value), F.lit(None)).otherwise(F.coalesce(F.try_variant_get(value, "$", "string"), F.to_json(value)))

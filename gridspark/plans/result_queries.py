@@ -555,3 +555,54 @@ def cores_range(spark: SparkSession, sf_dir: str) -> DataFrame:
         fx.results(spark, sf_dir), DIMS, ["full_rt"], ["workers", "cores_per_worker"], reduction=lambda c: F.max(c) - F.min(c)
     )
     return spread.select("impl", "cores", r6("full_rt", "full_rt"))
+
+
+# ---------------------------------------------------------------- labels of several types, lists of any depth
+
+
+@query(
+    MEAS
+    + """, labels AS (
+           SELECT DISTINCT 'impl' AS dim, 'STRING' AS kind, impl AS label, NULL AS number FROM measurements
+           UNION ALL SELECT DISTINCT 'workers', 'BIGINT', CAST(workers AS VARCHAR), CAST(workers AS DOUBLE) FROM measurements
+           UNION ALL SELECT DISTINCT 'mixed', CASE WHEN event_id % 2 = 0 THEN 'BIGINT' ELSE 'STRING' END,
+                                     CAST(event_id % 30 // 2 AS VARCHAR),
+                                     CASE WHEN event_id % 2 = 0 THEN CAST(event_id % 30 // 2 AS DOUBLE) END FROM measurements
+           UNION ALL SELECT DISTINCT 'warmup', 'BOOLEAN', 'true', CAST(NULL AS DOUBLE) FROM measurements)
+         SELECT dim, row_number() OVER (PARTITION BY dim ORDER BY number NULLS LAST, label) - 1 AS place, kind, label,
+                count(*) OVER (PARTITION BY dim) = 1 AS scalar FROM labels"""
+)
+def typed_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels written as JSON and read back with their types; one dimension holds 3 and "3"."""
+    runs = fx.measurements(spark, sf_dir)
+    half = F.floor(F.col("event_id") % 30 / 2).cast("bigint")
+    mixed = F.when(F.col("event_id") % 2 == 0, half.cast("variant")).otherwise(half.cast("string").cast("variant"))
+    path = scratch_path(spark, "typed_config")
+    store.save_typed_config(runs.withColumns({"mixed": mixed, "warmup": F.lit(True)}), ["impl", "workers", "mixed", "warmup"], path)
+    label = F.col("label")
+    return store.load_typed_config(spark, path).select(
+        "dim", "place", F.schema_of_variant(label).alias("kind"), F.variant_get(label, "$", "string").alias("label"), "scalar"
+    )
+
+
+@query(
+    """SELECT p_partkey, place, item FROM (
+         SELECT p_partkey, '0' AS place, CAST(p_size AS VARCHAR) AS item FROM part WHERE p_partkey % 3 = 0
+         UNION ALL SELECT p_partkey, '0.0', CAST(p_size AS VARCHAR) FROM part WHERE p_partkey % 3 = 1
+         UNION ALL SELECT p_partkey, '0.1.0', 'a' FROM part WHERE p_partkey % 3 = 1
+         UNION ALL SELECT p_partkey, '0.1.2.0.0', CAST(p_partkey AS VARCHAR) FROM part WHERE p_partkey % 3 = 1
+         UNION ALL SELECT p_partkey, '1', NULL FROM part WHERE p_partkey % 3 = 1
+         UNION ALL SELECT p_partkey, '', 'part' FROM part WHERE p_partkey % 3 = 2)"""
+)
+def flat_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists whose depth differs from row to row and from item to item."""
+    size, key = F.col("p_size").cast("string"), F.col("p_partkey").cast("string")
+    text = (
+        F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("["), size, F.lit("]")))
+        .when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("[["), size, F.lit(', ["a", [], [['), key, F.lit("]]]], null]")))
+        .otherwise(F.lit('"part"'))
+    )
+    lists = fx.table(spark, sf_dir, "part").select("p_partkey", F.parse_json(text).alias("value"))
+    items = records.flat_items(lists, ["p_partkey"], "value")
+    place = F.array_join(F.transform("place", lambda i: i.cast("string")), ".")
+    return items.select("p_partkey", place.alias("place"), records.leaf_text(F.col("item")).alias("item"))

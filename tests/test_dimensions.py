@@ -111,3 +111,16 @@ def test_typed_records_need_no_jobs(spark):
     leaves = records.record_leaves(typed, ["k"], "rec").select("path", records.leaf_text(F.col("value")).alias("v"))
     assert {tuple(r) for r in leaves.collect()} == {("m_x_u", "2"), ("m_x_l", "[1,2]"), ("m_y", None), ("n", None)}
     assert records.record_leaves(typed.where("k = 2"), ["k"], "rec").count() == 0
+
+
+def test_flat_items_of_ragged_lists(spark):
+    texts = {0: "[[1, [2]], 3, [], [[[[4]]]]]", 1: "7", 2: "[]", 3: '[{"a": [1]}, null]', 4: None, 5: "null"}
+    df = spark.createDataFrame(list(texts.items()), "k int, text string").select("k", F.parse_json("text").alias("v"))
+    found = records.flat_items(df, ["k"], "v").select("k", "place", F.to_json("item").alias("item")).collect()
+    items = {k: [r["item"] for r in sorted((r for r in found if r.k == k), key=lambda r: r.place)] for k in texts}
+    assert items == {0: ["1", "2", "3", "4"], 1: ["7"], 2: [], 3: ['{"a":[1]}', "null"], 4: [], 5: ["null"]}
+    arrays = spark.createDataFrame([(1, [[1, 2], [3]]), (2, [[]])], "k int, v array<array<int>>")
+    assert sorted((r.k, r.place) for r in records.flat_items(arrays, ["k"], "v").collect()) == [(1, [0, 0]), (1, [0, 1]), (1, [1, 0])]
+    assert records.flat_items(df.limit(0), ["k"], "v").collect() == []
+    scalar = spark.createDataFrame([(1, 5)], "k int, v int")
+    assert [r.place for r in records.flat_items(scalar, ["k"], "v").collect()] == [[]]

@@ -230,3 +230,18 @@ def test_marks_labels_and_references(spark):
     assert alone.relative == 4.0
     renamed = cube.rename_labels(df, {"workers": {1: "one", 2: 7}})
     assert {r.workers for r in renamed.collect()} == {"one", "7"}
+
+
+def test_labels_keep_their_types(spark, tmp_path):
+    texts = ["3", '"3"', "10", "2.5", '"a"', "true", '"true"', "-1", "null", "3"]
+    df = spark.createDataFrame([(t, i % 2) for i, t in enumerate(texts)], "text string, n int").select(F.parse_json("text").alias("any"), "n", F.lit("x").alias("one"))
+    labels = cube.typed_labels(df, ["any"])
+    assert sorted(r.label for r in labels.collect()) == sorted(set(texts) - {"null"})
+    store.save_typed_config(df, ["any", "n", "one"], str(tmp_path / "c"))
+    rows = sorted(store.load_typed_config(spark, str(tmp_path / "c")).collect(), key=lambda r: (r.dim, r.place))
+    shown = [r.label.toPython() for r in rows if r.dim == "any"]
+    assert [str(v) for v in shown[:4]] == ["-1", "2.5", "3", "10"]
+    assert {(type(v), v) for v in shown[4:]} == {(str, "3"), (str, "a"), (str, "true"), (bool, True)}
+    assert [r.label.toPython() for r in rows if r.dim == "n"] == [0, 1]
+    assert [(r.label.toPython(), r.scalar) for r in rows if r.dim == "one"] == [("x", True)]
+    assert cube.typed_summary(df.limit(0), ["any", "n"]).collect() == []
