@@ -5,6 +5,7 @@ All of it, training included, is DataFrame functions. Rules and weights become e
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -138,7 +139,8 @@ class Model:
 
 def labelled(spark: SparkSession) -> DataFrame:
     """The labelled table as a DataFrame."""
-    return spark.createDataFrame(list(LABELLED), "url string, label int")
+    rows = json.dumps([{"url": url, "label": label} for url, label in LABELLED])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(rows), "array<struct<url:string,label:int>>")))
 
 
 def _sigmoid(z: Column) -> Column:
@@ -198,7 +200,7 @@ def train(rows: DataFrame) -> Model:
     )
     all_rows = by_row.agg(F.sort_array(F.collect_list(F.struct("i", "label", "f"))).alias("rows"))
     all_columns = by_column.agg(F.sort_array(F.collect_list(F.struct("j", "b", "f", "scale"))).alias("columns"))
-    one = all_rows.join(all_columns, how="cross").select(F.struct("rows", "columns").alias("t"))  # one row each
+    one = all_rows.select(F.struct("rows", all_columns.scalar().alias("columns")).alias("t"))
     fitted = one.select(F.col("t.columns.b").alias("b"), _descent(F.col("t")).alias("w")).first()
     weights = [0.0] * (BUCKETS + 1)
     for b, w in zip(fitted["b"], fitted["w"]):
