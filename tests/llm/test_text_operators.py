@@ -228,8 +228,10 @@ def test_licences_base(spark):
         assert (r.first_word, r.last_word) == ((min(at), max(at)) if at else (None, None))
         assert r.base_labels == ",".join(sorted({label for _, label in places}))
         assert set(filter(None, r.base_labels.split(","))) <= set(filter(None, r.labels.split(","))) and 0 <= r.score <= 1
-    for k, label in enumerate(licences.TEMPLATES):
-        assert label in out[len(texts) - len(licences.TEMPLATES) + k].labels.split(",")
+    for k, name in enumerate(licences.TEMPLATES):
+        r = out[len(texts) - len(licences.TEMPLATES) + k]
+        assert name.split("/")[0] in r.labels.split(",")
+        assert any((x.template, x.start, x.end, x.covered) == (k, 0, r.n_words, r.n_words) for x in r.spans)
 
 
 def test_automaton_gives_matching_statistics():
@@ -243,9 +245,79 @@ def test_automaton_gives_matching_statistics():
     def longest(end):
         return max(k for k in range(end + 1) if k == 0 or any(words[end - k : end] == t[i : i + k] for t in joined for i in range(len(t))))
 
-    ends = {e: n for e, n, _ in automaton.matches([ids[w] for w in words], 1)}
-    for e, n in ends.items():
-        assert longest(e) == n and (e == len(words) or longest(e + 1) <= n)
+    for e, (state, n) in enumerate(automaton.statistics([ids[w] for w in words]), 1):
+        assert longest(e) == n
+        for t, end in automaton.ends[state]:
+            assert joined[t][end - n : end] == words[e - n : e]
+
+
+def plain_spans(words, templates, least):
+    """Runs from a table of all pairs of words, chains from all pairs of runs."""
+    share, out = 0.0, []
+    for t, template in enumerate(templates):
+        runs = []
+        for d in range(-len(words), len(template)):
+            same = [0 <= i + d < len(template) and words[i] == template[i + d] for i in range(len(words))] + [False]
+            start = None
+            for i, equal in enumerate(same):
+                if equal and start is None:
+                    start = i
+                elif not equal and start is not None:
+                    if i - start >= min(least, len(template)):
+                        runs.append((i, i + d, start))
+                    start = None
+        chains = []
+        for end, t_end, start in sorted(runs):
+            chain = (end - start, start, t_end - (end - start))
+            for (b_end, bt_end), (covered, b_start, bt_start) in chains:
+                if b_end < end and bt_end < t_end and start - b_end <= licences.GAP:
+                    total = covered + min(end - max(start, b_end), t_end - max(t_end - (end - start), bt_end))
+                    chain = max(chain, (total, b_start, bt_start), key=lambda c: c[0])
+            chains.append(((end, t_end), chain))
+        share = max([share, *(c[0] / len(template) for _, c in chains)])
+        firsts = {}
+        for (end, t_end), (covered, start, t_start) in chains:
+            if covered >= licences.COVERED * len(template) and covered > firsts.get((start, t_start), (0,))[0]:
+                firsts[start, t_start] = (covered, end, t_end)
+        taken = []
+        for (start, t_start), (covered, end, t_end) in sorted(firsts.items(), key=lambda f: (-f[1][0], f[0][0], f[1][1], f[0][1])):
+            if all(end <= x[1] or x[2] <= start for x in taken):
+                taken.append((t, start, end, t_start, t_end, covered))
+        out += taken
+    return share, sorted(out, key=lambda x: (x[1], x[2], x[0]))
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_licence_spans_against_all_pairs(seed, monkeypatch):
+    random = np.random.default_rng(seed)
+    monkeypatch.setattr(licences, "GAP", 7)
+    monkeypatch.setattr(licences, "SHORTEST", 3)
+    letters = list("abcdefgh")[: 3 + seed]
+    templates = [list(map(str, random.choice(letters, n))) for n in (2, 12, 25, 40)]
+    words = []
+    for _ in range(25):
+        t = templates[random.integers(len(templates))]
+        a = random.integers(len(t))
+        words += t[a : a + random.integers(1, 30)] + list(map(str, random.choice([*letters, "zz"], random.integers(0, 6))))
+    scanner = licences.Scanner({str(i): " ".join(t) for i, t in enumerate(templates)}, {})
+    tokens = {w.decode(): i for i, w in enumerate(scanner.automaton.vocabulary)}
+    share, spans = scanner.chained(np.array([tokens.get(w, -1) for w in words]))
+    got = [(x.template, x.start, x.end, x.template_start, x.template_end, x.covered) for x in spans]
+    assert (share, got) == plain_spans(words, templates, 3) and got
+
+
+def test_licence_spans_survive_gaps_and_strays(spark):
+    words = tools.alnum_words(licences.TEMPLATES["mit/permission"])
+    broken = [*words[:30], "own", "remark", *words[5:11], *words[32:60], *["word"] * 20, *words[60:]]
+    docs = tools.documents(spark, [(1, "Start here. " + " ".join(broken), "en", "s"), (None, None, None, None), (2, "mit", "en", "s"), (2, "mit", "en", "s")])
+    rows = licences.licences(docs).collect()
+    assert len(rows) == 4 and licences.licences(docs.limit(0)).collect() == []
+    own = next(r for r in rows if r.doc_id == 1)
+    names = list(licences.TEMPLATES)
+    span = next(x for x in own.spans if names[x.template] == "mit/permission")
+    assert (span.start, span.end, span.template_start, span.template_end) == (2, 2 + len(broken), 0, len(words))
+    assert span.covered == len(words) - 2 and "mit" in own.labels.split(",")
+    assert all(r.spans == [] and r.labels == "" and r.score == 0 for r in rows if r.doc_id != 1)
 
 
 def test_decontamination_agrees_with_sql(spark, tmp_path):
