@@ -1,14 +1,16 @@
 """Benchmark decontamination: a broadcast hash set of normalised test n-grams against every window of training words.
 
 A window is ``width`` consecutive words of an item; an item of fewer words, but not none, is one window. Hash hits are
-verified word by word. The benchmark is read in blocks of bounded size, each broadcast and scanned on its own, so no
-broadcast grows with the benchmark; usually one block holds all of it.
+verified word by word. The benchmark is read in blocks of bounded size, each broadcast and scanned on its own, one after
+the other: hits of a block are stored and its broadcast is destroyed before the next, so neither broadcasts nor plan grow
+with the benchmark. Usually one block holds all of it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +18,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridspark.llm.tables import stored
 from gridspark.llm.text import ALPHANUMERIC, Piece, grams, pieces
 
 #: Words of a window.
@@ -121,21 +124,40 @@ def hits(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_b
 
     Null texts have no words. Items are named by their ids as strings; a null id is the empty string, and rows of one
     id are one item. An empty benchmark hits nothing.
+
+    Hits depend on the text alone, so those of all blocks but the last are stored once per text, named by its SHA-256, and
+    joined to the documents, which the last block adds its own to. Without earlier blocks nothing is stored or joined.
     """
     spark = documents.sparkSession
     items = benchmark.select(
         F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.coalesce("text", F.lit("")).alias("text")
-    )
+    ).distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = total // block_bytes + 1
-    found: Column | None = None
-    out = documents
-    for block in range(blocks):
-        rows = [(r.item, r.text) for r in items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).collect()]
-        found = _hits(spark.sparkContext.broadcast(Windows.of(rows, width)), F.col("text"), found)
-        out = out.withColumn("__hits", found)
-        found = F.col("__hits")
-    return out
+
+    def broadcast(block: int) -> Broadcast:
+        rows = items.where(F.pmod(F.xxhash64("text", "item"), F.lit(blocks)) == block).collect()
+        return spark.sparkContext.broadcast(Windows.of([(r.item, r.text) for r in rows], width))
+
+    key = F.sha2(F.col("text"), 256)
+    earlier: list[DataFrame] = []
+    for block in range(blocks - 1):
+        held = broadcast(block)
+        found = documents.select(key.alias("__hits_text"), _hits(held, F.col("text"), None).alias("own"))
+        earlier.append(stored(found.where(F.size("own.spans") > 0).dropDuplicates(["__hits_text"]), "hits"))
+        held.destroy()
+    if not earlier:
+        return documents.withColumn("__hits", _hits(broadcast(0), F.col("text"), None))
+    before = reduce(DataFrame.union, earlier).groupBy("__hits_text").agg(
+        F.struct(
+            F.lit(0).cast("long").alias("n_words"),
+            F.flatten(F.collect_list("own.spans")).alias("spans"),  # one row a block at most
+            F.flatten(F.collect_list("own.items")).alias("items"),
+        ).alias("__hits_before")
+    )
+    known = documents.join(before, key == F.col("__hits_text"), "left")
+    last = _hits(broadcast(blocks - 1), F.col("text"), F.col("__hits_before"))
+    return known.withColumn("__hits", last).drop("__hits_text", "__hits_before")
 
 
 def _n_hit(spans: Column) -> Column:

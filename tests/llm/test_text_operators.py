@@ -363,6 +363,32 @@ def test_decontamination_awkward_and_blocks(spark, awkward):
     assert awkward.where(F.col("score") == "x").count() == awkward.count()
 
 
+def test_benchmark_of_many_blocks_keeps_one_broadcast(spark, awkward, monkeypatch):
+    items = [(i % 7, f"one two three {i}") for i in range(40)] + [(i, "one two THREE") for i in range(9)] + [(99, "é ü"), (98, "ü ñ ça")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    extra = awkward.union(awkward).withColumn("a.b", F.lit(1))
+    whole = tools.rows_of(decontamination.hits(extra, bench), "doc_id", "__hits")
+    alive, most = set(), []
+    context = type(spark.sparkContext)
+    made, destroy = context.broadcast, decontamination.Broadcast.destroy
+
+    def broadcast(self, value):
+        held = made(self, value)
+        if isinstance(value, decontamination.Windows):
+            alive.add(id(held))
+            most.append(len(alive))
+            kept.append(held)
+        return held
+
+    kept = []
+    monkeypatch.setattr(context, "broadcast", broadcast)
+    monkeypatch.setattr(decontamination.Broadcast, "destroy", lambda self, *a: (alive.discard(id(self)), destroy(self, *a)))
+    small = decontamination.hits(extra, bench, block_bytes=120)
+    assert small.columns == [*extra.columns, "__hits"]
+    assert tools.rows_of(small, "doc_id", "__hits") == whole
+    assert len(most) > 4 and max(most) == 1
+
+
 def test_word_hashes_of_all_lengths():
     words = [c * n for c in "xy" for n in (*range(1, 40), 511, 512, 513, 520, 5000)]
     words += ["x" * 8 + "\x01", "x" * 8 + "y", "é" * 9, "e" * 18]
