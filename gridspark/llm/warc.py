@@ -1,6 +1,6 @@
 """WARC archives as a Python data source, with repeated payloads written as revisit records.
 
-Writing: every task writes ``.warc`` files of bounded size. Reading: a partition is a file; the reader parses headers
+Writing: every task writes ``.warc`` files of bounded size; a commit writes one list of those that count. Reading: a partition is a file; the reader parses headers
 first, applies pushed predicates on them, and seeks over the payload of a record that fails or if payloads are not asked
 for. Files are reached through ``pyarrow.fs``, so any store that it knows will do.
 """
@@ -36,6 +36,8 @@ from gridspark.llm.tables import shared_path, stored
 REVISIT_BYTES = 1_000
 #: A task starts a new file after this many bytes.
 FILE_BYTES = 128 << 20
+#: End of the name of a list of files.
+LIST = ".warc-files"
 #: First line of a record.
 VERSION = b"WARC/1.1"
 SCHEMA = (
@@ -95,7 +97,7 @@ class WarcWriter(DataSourceWriter):
             if out is None or size >= FILE_BYTES:
                 if out is not None:
                     out.close()
-                files.append(posixpath.join(base, f"{uuid.uuid4().hex}.warc.open"))
+                files.append(posixpath.join(base, f"{uuid.uuid4().hex}.warc"))
                 out, size = store.open_output_stream(files[-1], buffer_size=1 << 20), 0
             data = record(row)
             out.write(data)
@@ -105,12 +107,18 @@ class WarcWriter(DataSourceWriter):
         return Written(files)
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
-        """Only files of tasks that succeeded get their final name, so retried tasks leave no records behind."""
+        """One list names the files of the tasks that succeeded, so retried tasks leave no records behind.
+
+        It is written aside and then renamed, the only rename of a write, however many files there are.
+        """
         store, base = fs.FileSystem.from_uri(self.path)
         store.create_dir(base, recursive=True)
-        for message in messages:
-            for file in message.files if message else ():
-                store.move(file, file.removesuffix(".open"))
+        listed = posixpath.join(base, uuid.uuid4().hex + LIST)
+        with store.open_output_stream(listed + ".open") as out:
+            for message in messages:
+                for file in message.files if message else ():
+                    out.write(posixpath.basename(file).encode() + b"\n")
+        store.move(listed + ".open", listed)
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
         store, _ = fs.FileSystem.from_uri(self.path)
@@ -148,9 +156,18 @@ class WarcReader(DataSourceReader):
         self.wanted[column] = self.wanted[column] & values if column in self.wanted else values
 
     def partitions(self) -> list[InputPartition]:
+        """The files that the lists of the folder name; all of them in a folder without a list, made by other programs."""
         store, base = fs.FileSystem.from_uri(self.path)
         found = store.get_file_info(fs.FileSelector(base))
-        return [WarcFile(f.path) for f in sorted(found, key=lambda f: (-f.size, f.path)) if f.path.endswith(".warc")]
+        names: set[str] = set()
+        lists = [f.path for f in found if f.path.endswith(LIST)]
+        for path in lists:
+            with store.open_input_file(path) as listed:
+                names |= set(listed.read().decode().split())
+        files = [f for f in found if f.path.endswith(".warc") and (not lists or posixpath.basename(f.path) in names)]
+        if lists and len(files) < len(names):
+            raise FileNotFoundError(f"files of {self.path} that its lists name are missing")
+        return [WarcFile(f.path) for f in sorted(files, key=lambda f: (-f.size, f.path))]
 
     def read(self, partition: InputPartition | None) -> Iterator[tuple[Any, ...]]:
         if partition is None:  # a folder without files

@@ -195,6 +195,26 @@ def test_warc_payloads_and_pushdown(spark, tmp_path):
     assert spark.read.format("warc").option("path", path).option("payloads", "false").load().where("payload IS NOT NULL").count() == 0
 
 
+def test_warc_files_that_no_list_names_are_passed_over(spark, tmp_path):
+    warc.register(spark)
+    pages = spark.createDataFrame([(i, f"http://h/{i}", f"page {i}", "p", "t") for i in range(4)], PAGES)
+    path = tmp_path / "w"
+    for part in (pages.where("page_id < 2"), pages.where("page_id >= 2")):  # two writes, two lists
+        warc.records(part).write.format("warc").option("path", str(path)).mode("append").save()
+    files = sorted(path.glob("*.warc"))
+    (path / ("0" * 32 + ".warc")).write_bytes(files[0].read_bytes())  # what a task that failed leaves behind
+    read = spark.read.format("warc").option("path", str(path))
+    assert sorted(r.record_id for r in read.load().collect()) == [f"urn:page:{i}" for i in range(4)]
+    assert len(list(path.glob("*" + warc.LIST))) == 2 and not list(path.glob("*.open"))
+    foreign = tmp_path / "foreign"
+    foreign.mkdir()
+    (foreign / "a.warc").write_bytes(files[0].read_bytes())
+    assert spark.read.format("warc").option("path", str(foreign)).load().count() > 0
+    (path / files[0].name).rename(tmp_path / "elsewhere")
+    with pytest.raises(Exception, match="missing"):
+        read.load().count()
+
+
 class Counting:
     """A file that counts what is read of it."""
 
