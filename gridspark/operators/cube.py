@@ -246,7 +246,9 @@ def speedup(
 ) -> DataFrame:
     """Base runtime over runtime; the base is the first value of the series unless given."""
     base = series_base(results, series, dim, part).select(*series, "base_runtime") if base is None else base
-    joined = results.select(*series, dim, part).join(base, list(series))
+    own = results.select(*series, dim, part)
+    # without a series there is one base
+    joined = own.join(base, list(series)) if series else own.withColumn("base_runtime", base.select(F.max("base_runtime")).scalar())
     return joined.select(*series, dim, ieee_div(F.col("base_runtime"), F.col(part)).alias("speedup"))
 
 
@@ -256,11 +258,18 @@ def relative_runtime(results: DataFrame, main: str, dim: str, part: str, referen
     The reference is the first label unless given. With one label only there is nothing to compare with, and runtimes
     stay as they are.
     """
-    first = results.agg(F.min(main)).scalar()
-    alone = results.agg(F.min(main) == F.max(main)).scalar()
-    ref = results.filter(F.col(main) == (first if reference is None else F.lit(reference))).groupBy(dim).agg(F.min(part).alias("_ref"))
-    joined = results.select(main, dim, part).join(ref, dim, "left")
-    relative = F.when(alone, F.col(part)).otherwise(ieee_div(F.col(part), F.col("_ref")))
+    # one aggregate over (main, dim), the smallest of its tables that the rest needs
+    least = results.groupBy(dim, main).agg(F.min(part).alias("_least"))
+    if reference is None:
+        found = least.groupBy(dim).agg(F.min_by("_least", main).alias("_ref"), F.min(main).alias("_at"))
+    else:
+        found = least.where(F.col(main) == F.lit(reference)).select(dim, F.col("_least").alias("_ref"), F.col(main).alias("_at"))
+    ends = results.agg(F.struct(F.min(main).alias("first"), F.max(main).alias("last"))).scalar()
+    joined = results.select(main, dim, part).join(found, dim, "left").withColumn("_ends", ends)
+    # without a given reference a position that lacks the first label has none
+    given = F.lit(True) if reference is not None else F.col("_at") == F.col("_ends.first")
+    ratio = ieee_div(F.col(part), F.when(given, F.col("_ref")))
+    relative = F.when(F.col("_ends.first") == F.col("_ends.last"), F.col(part)).otherwise(ratio)
     return joined.select(main, dim, relative.alias("relative"))
 
 
