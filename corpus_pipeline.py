@@ -7,34 +7,55 @@ texts, repeated rows and empty tables are treated as the operators of ``gridspar
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridspark.llm import decontamination, jaccard, mixing, pii, quality
-from gridspark.llm.tables import stored, table
+from gridspark.llm.tables import small_batches, stored, table
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _in_small_batches(stage: Stage) -> Stage:
+    """The stages share their executors, so each hands texts to Python in batches of bounded size."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
 
 
+@_in_small_batches
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the quality classifier rejects."""
     return quality.keep_good(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+@_in_small_batches
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near duplicates."""
     return jaccard.representatives(docs)
 
 
+@_in_small_batches
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that hold a window of a benchmark item."""
     return decontamination.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+@_in_small_batches
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Put the names of their kinds in place of personal data; ``n_chars`` follows the text."""
     cleaned = docs.withColumn("text", pii.redact(pii.train(docs), docs["text"]))
     return cleaned.withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), "n_chars"))
 
 
+@_in_small_batches
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """How often each document is copied, so that the sources come near their target weights."""
     return mixing.mix(docs)
