@@ -50,3 +50,13 @@ def variant_parity(
         F.max(F.when(~both_nan, error)).alias("max_error"),
         F.bool_and(ok).alias("close"),
     )
+
+
+def whole_parity(parts: DataFrame) -> DataFrame:
+    """One report from those of :func:`variant_parity` on parts of the cells."""
+    return parts.groupBy("variant").agg(
+        F.sum("cells").alias("cells"),
+        F.sum("unmatched").alias("unmatched"),
+        F.max("max_error").alias("max_error"),
+        F.bool_and("close").alias("close"),
+    )

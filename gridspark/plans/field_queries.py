@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from gridspark.functions import scalars
 from gridspark.operators import align, averages, blocks, layout, physics, structure
 from gridspark.operators.parity import variant_parity as parity
+from gridspark.operators.parity import whole_parity
+from gridspark.operators.rounds import rounds
 from gridspark.plans import catalog
 from gridspark.plans import fixtures as fx
 from gridspark.plans.fixtures import with_views
 from gridspark.plans.registry import query, r6
 from gridspark.plans.sweep import sweep
-from gridspark.session import scratch_path
+from gridspark.session import scratch_path, store
 from gridspark.sources import fields
 
 KEYS = ["col_id"]
@@ -368,15 +370,21 @@ def avg_split(spark: SparkSession, sf_dir: str) -> DataFrame:
          FROM grid_cells, (VALUES ('brn_arrow'), ('brn_windows'), ('brn_segmented'), ('thetav_arrow')) AS t(variant) GROUP BY variant"""
 )
 def variant_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All implementations of the Richardson number against the profile form, and those of theta against the first."""
-    cells = fx.grid_cells(spark, sf_dir)
-    forms = {n: f(cells, KEYS) for n, f in physics.BRN_VARIANTS.items()}
-    expected = forms.pop("brn_profile")
-    out = parity(expected, forms, CELL, "brn", atol=1e-9, rtol=1e-7)
+    """All implementations of the Richardson number against the profile form, and those of theta against the first.
+
+    Parts of whole columns are compared one after the other, so that the shuffles of all forms hold one part at a time.
+    """
+    path = scratch_path(spark, "parity")
     first, *others = physics.THETAV_VARIANTS
-    thetas = {n: physics.THETAV_VARIANTS[n](cells, CELL) for n in others}
-    out = out.unionByName(parity(physics.THETAV_VARIANTS[first](cells, CELL), thetas, CELL, "thetav", atol=1e-9, rtol=1e-7))
-    return out.select("variant", "cells", "unmatched", "close")
+    for cells in rounds(fx.grid_cells(spark, sf_dir), KEYS):
+        forms = {n: f(cells, KEYS) for n, f in physics.BRN_VARIANTS.items()}
+        expected = forms.pop("brn_profile")
+        store(parity(expected, forms, CELL, "brn", atol=1e-9, rtol=1e-7), path, "append")
+        thetas = {n: physics.THETAV_VARIANTS[n](cells, CELL) for n in others}
+        of_theta = parity(physics.THETAV_VARIANTS[first](cells, CELL), thetas, CELL, "thetav", atol=1e-9, rtol=1e-7)
+        store(of_theta, path, "append")
+    reports = spark.read.schema(of_theta.schema).parquet(path)
+    return whole_parity(reports).select("variant", "cells", "unmatched", "close")
 
 
 # ---------------------------------------------------------------- chunks of fields

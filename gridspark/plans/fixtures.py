@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from gridspark.operators.cube import reduce_iterations
 from gridspark.operators.ranks import with_positions
-from gridspark.session import scratch_path
+from gridspark.operators.rounds import in_round, number_of_rounds
+from gridspark.session import scratch_path, store
 
 PARTS = ("full_rt", "input_loading", "compute", "graph_construction", "optimization", "serialization")
 CONFIG = ("impl", "workers", "cores_per_worker")
@@ -42,26 +43,29 @@ def _y(key: str) -> Column:
 
 
 def grid_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The derived grid as a stored version: written to the shared folder once per session and set of tables, then read
-    as fields are, by column and with pushed filters."""
+    """The derived grid as a stored version: written to the shared folder once per session and set of tables, in rounds of
+    orders, then read as fields are, by column and with pushed filters."""
     key = (spark.sparkContext.applicationId, sf_dir)
     try:
         return spark.read.parquet(_STORED[key])
     except (KeyError, AnalysisException):  # not written yet, or the folder was cleared
-        _STORED[key] = scratch_path(spark, "grid")
-        derived_cells(spark, sf_dir).write.parquet(_STORED[key])
-        return spark.read.parquet(_STORED[key])
+        path, n = scratch_path(spark, "grid"), number_of_rounds(table(spark, sf_dir, "lineitem"))
+        for i in range(n):
+            store(derived_cells(spark, sf_dir, i, n), path, "append")
+        _STORED[key] = path
+        return spark.read.parquet(path)
 
 
-def derived_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """3-D fields on ragged columns; one column per order.
+def derived_cells(spark: SparkSession, sf_dir: str, i: int = 0, n: int = 1) -> DataFrame:
+    """3-D fields on ragged columns; one column per order, those of round ``i`` of ``n``.
 
     Lines are ranked inside segments of their order (line number and range of parts) and then joined with the order.
     """
     lines = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"
     )
-    orders = surface(spark, sf_dir).select("col_id", "hsurf")
+    lines = lines.filter(in_round([F.col("l_orderkey").cast("bigint")], i, n))
+    orders = surface(spark, sf_dir).select("col_id", "hsurf").filter(in_round([F.col("col_id").cast("bigint")], i, n))
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
     coarse = [F.col("l_linenumber"), F.floor(F.col("l_partkey") / 1024).alias("parts")]
     ranked = with_positions(lines, ["l_orderkey"], order, "z", "n", coarse)

@@ -6,6 +6,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """Single-machine session for tests and ``bench.py``; on a cluster use the session it provides."""
     spark = (
@@ -34,8 +37,20 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
+def store(df: DataFrame, path: str, mode: str = "error") -> None:
+    """Write ``df`` as Parquet. The shuffle files of the write go with its end; else they would stay until the driver
+    happens to collect its garbage."""
+    spark = df.sparkSession
+    before = spark.conf.getAll.get(_CLEAN)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.mode(mode).parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: stable values, short lineage."""
     path = scratch_path(df.sparkSession, tag)
-    df.write.mode("overwrite").parquet(path)
+    store(df, path, "overwrite")
     return df.sparkSession.read.parquet(path)
