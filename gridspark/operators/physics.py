@@ -17,7 +17,8 @@ from pyspark.sql import types as T
 
 from gridspark.functions import physics as phys
 from gridspark.operators.ranks import across_segments, cut, last, number_of_rows, with_group_stats
-from gridspark.session import materialize
+from gridspark.operators.rounds import rounds
+from gridspark.session import materialize, remove, scratch_path, store
 
 THETAV_INPUTS = ("p", "t", "qv")
 BRN_INPUTS = ("p", "t", "qv", "u", "v", "hhl", "hsurf")
@@ -302,17 +303,28 @@ def iterate_thetav(cells: DataFrame, dims: Sequence[str], n: int, carry: str = "
 def repeated_brn(cells: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
     """``n`` rounds of the Richardson number, each round's output being the next round's pressure.
 
-    The other inputs ride along. Each round reads its cells twice, so its input is written out.
+    The other inputs ride along. Each round reads its cells twice, so its input is written out, until the next one is.
+    Large tables go through all rounds in parts of whole columns; only the results of all parts are kept.
     """
-    others = BRN_INPUTS[1:]
+    spark, others = cells.sparkSession, BRN_INPUTS[1:]
 
     def step(state: DataFrame) -> DataFrame:
         return brn(state, keys, carry=others).withColumnRenamed("brn", "p")
 
-    state = cells.select(*keys, "z", *BRN_INPUTS)
-    for _ in range(n - 1):
-        state = materialize(step(state), "repeat")
-    return brn(state, keys)
+    out = scratch_path(spark, "repeated")
+    for part in rounds(cells.select(*keys, "z", *BRN_INPUTS), keys):
+        state, held = part, None
+        for _ in range(n - 1):
+            path = scratch_path(spark, "repeat")
+            store(step(state), path)
+            if held:
+                remove(spark, held)
+            state, held = spark.read.parquet(path), path
+        last_round = brn(state, keys)
+        store(last_round, out, "append")
+        if held:
+            remove(spark, held)
+    return spark.read.schema(last_round.schema).parquet(out)
 
 
 def repeated_brn_of_profiles(profiles: DataFrame, carry: Sequence[str], n: int) -> DataFrame:

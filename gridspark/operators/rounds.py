@@ -12,6 +12,8 @@ from collections.abc import Iterator, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridspark.session import shuffle_files_removed
+
 #: Rows of a round, about.
 ROUND_ROWS = 1 << 24
 #: Most rounds; larger tables have larger rounds.
@@ -20,7 +22,8 @@ MOST_ROUNDS = 16
 
 def number_of_rounds(df: DataFrame) -> int:
     """For a stored table the count reads the footers of its files alone."""
-    return max(1, min(MOST_ROUNDS, -(-df.count() // ROUND_ROWS)))
+    with shuffle_files_removed(df.sparkSession):
+        return max(1, min(MOST_ROUNDS, -(-df.count() // ROUND_ROWS)))
 
 
 def in_round(keys: Sequence[Column], i: int, n: int) -> Column:
@@ -28,7 +31,11 @@ def in_round(keys: Sequence[Column], i: int, n: int) -> Column:
 
 
 def rounds(df: DataFrame, keys: Sequence[str]) -> Iterator[DataFrame]:
-    """Parts of ``df`` with whole groups, which together have every row once."""
-    n = number_of_rounds(df)
+    """Parts of ``df`` with whole groups, which together have every row once.
+
+    One part if there are no keys, or if keys are collated: strings that differ may then be equal, while their hashes differ.
+    """
+    hashed = keys and not any("collate" in kind for c, kind in df.dtypes if c in keys)
+    n = number_of_rounds(df) if hashed else 1
     for i in range(n):
         yield df.filter(in_round([F.col(k) for k in keys], i, n))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,18 +39,30 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
-def store(df: DataFrame, path: str, mode: str = "error") -> None:
-    """Write ``df`` as Parquet. The shuffle files of the write go with its end; else they would stay until the driver
-    happens to collect its garbage."""
-    spark = df.sparkSession
+@contextmanager
+def shuffle_files_removed(spark: SparkSession) -> Iterator[None]:
+    """The shuffle files of an action go with its end; else they would stay until the driver happens to collect its
+    garbage."""
     before = spark.conf.getAll.get(_CLEAN)
     spark.conf.set(_CLEAN, "true")
     try:
-        df.write.mode(mode).parquet(path)
+        yield
     finally:
         spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
 
 
+def store(df: DataFrame, path: str, mode: str = "error") -> None:
+    """Write ``df`` as Parquet and leave no shuffle files."""
+    with shuffle_files_removed(df.sparkSession):
+        df.write.mode(mode).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete an intermediate table that nothing reads any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: stable values, short lineage."""
     path = scratch_path(df.sparkSession, tag)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from gridspark.operators import physics, rounds
 from gridspark.operators.parity import variant_parity, whole_parity
 from gridspark.plans import field_queries, fixtures
-from tests.test_physics import CELL, KEYS, random_columns
+from gridspark.session import scratch_path
+from tests.test_physics import CELL, KEYS, brute_brn, by_cell, random_columns
 
 ORDERS = "o_orderkey bigint, o_totalprice double"
 LINES = (
@@ -40,6 +42,11 @@ def tables(spark, tmp_path):
     return str(tmp_path)
 
 
+def folders(spark, tag):
+    base = Path(scratch_path(spark, tag).removeprefix("file:")).parent
+    return {str(f) for f in base.glob(f"{tag}-*")}
+
+
 def shuffle_files(spark):
     found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().iterator()
     names = set()
@@ -78,6 +85,8 @@ def test_rounds_hold_whole_groups_once(spark, many_rounds):
     assert sorted(map(str, sum(parts, []))) == sorted(map(str, [*rows, rows[0]]))
     assert sum(len({c for c, _ in p}) for p in parts) == 30
     assert [p.count() for p in rounds.rounds(df.limit(0), ["c"])] == [0]
+    folded = df.select(F.expr("string(z) COLLATE UTF8_LCASE AS s"))
+    assert [p.count() for p in rounds.rounds(folded, ["s"])] == [p.count() for p in rounds.rounds(df, [])] == [df.count()]
 
 
 def test_grid_in_rounds_is_the_whole_grid(spark, many_rounds, tables, monkeypatch):
@@ -108,6 +117,29 @@ def test_grid_is_used_only_when_all_rounds_are_stored(spark, many_rounds, tables
     assert fixtures.grid_cells(spark, tables).count() == whole
 
 
+@pytest.mark.parametrize("n", [1, 3])
+def test_repeated_brn_in_rounds(spark, many_rounds, monkeypatch, n):
+    cells = random_columns(spark, [1, 4, 9, 2, 13, 5, 7, 3, 30, 6])
+    sizes = most_rows_stored(monkeypatch, physics)
+    out = physics.repeated_brn(cells, KEYS, n)
+    assert len(sizes) == many_rounds * n and sum(sizes) == 80 * n and max(sizes) < 60
+    got = by_cell(out, "brn")
+    expected = brute_brn(cells.collect())
+    assert got.keys() == expected.keys() and out.count() == 80 and out.columns == [*CELL, "brn"]
+    for k, v in expected.items():
+        assert got[k] == pytest.approx(v if n == 1 else float("nan"), rel=1e-9, abs=1e-12, nan_ok=True)
+
+
+def test_repeated_brn_keeps_the_results_alone(spark):
+    """Neither shuffle files nor the states between two rounds of the formula stay."""
+    cells = random_columns(spark, [1, 4, 9])
+    before, states = shuffle_files(spark), folders(spark, "repeat")
+    out = physics.repeated_brn(cells, KEYS, 3)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert not left_over(spark, before)
+    assert folders(spark, "repeat") == states
+
+
 def test_variant_parity_in_rounds(spark, many_rounds, tables, monkeypatch):
     """Every form is run on parts of the grid, which add up to it; shuffle files go with each part."""
     whole = fixtures.grid_cells(spark, tables).count()
